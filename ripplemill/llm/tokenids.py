@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -97,37 +98,76 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-_loaded: dict = {}
+#: Fixed value: how byte-level BPE cuts a text into words before it merges within them.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters whose classes might differ between regular expression libraries.
+UNSURE = re.compile("[^\t-\r -~\xa1-\u024f\u2010-\u2027]")
+
 
+class Encoder:
+    """The tokenizer's ids of whole texts as bytes, with a store of the words met lately.
 
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _loaded:
+    Byte-level BPE merges inside words only, so a text's ids are those of its words one
+    after another: each distinct word is given to the tokenizer once. Texts with special
+    tokens or with rare characters, and other kinds of tokenizer, are encoded whole.
+    """
+
+    def __init__(self, path: str, end_id: int, most: int = 800_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path)
-    return _loaded[path]
+        self.tok, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.kind = np.dtype("<u2" if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        with open(path) as f:
+            spec = json.load(f)
+        cut = spec.get("pre_tokenizer") or {}
+        self.by_word = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec.get("truncation") and not spec.get("padding")
+        self.words = regex.compile(WORDS).findall
+        special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
+        self.special = re.compile("|".join(special)) if special else None
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return self._whole(texts)
+        each = [None if UNSURE.search(t) or self.special and self.special.search(t) else self.words(t) for t in texts]
+        if len(self.known) > self.most:
+            self.known.clear()
+        new = list({w for words in each if words for w in words}.difference(self.known))
+        self.known.update(zip(new, self._whole(new)))
+        of = self.known.__getitem__
+        return [self._whole([t])[0] if words is None else b"".join(map(of, words)) for t, words in zip(texts, each)]
+
+
+_loaded: dict = {}
+
+
+def _encoder(path: str, end_id: int) -> Encoder:
+    """One for all tasks that a Python worker runs."""
+    if (path, end_id) not in _loaded:
+        _loaded[path, end_id] = Encoder(path, end_id)
+    return _loaded[path, end_id]
 
 
 def _write_shard(folder: str, tokenizer: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, store = TaskContext.get().partitionId(), None
-        tok, lengths, ids, crc, out = _tokenizer(tokenizer), [], [], 0, None
-        kind = np.dtype("<u2" if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        for piece in in_pieces(batches, limit=1 << 20):
+        encode, lengths, ids, crc, out = _encoder(tokenizer, end_id), [], [], 0, None
+        kind = encode.kind
+        end = np.array([end_id], kind).tobytes()
+        for piece in in_pieces(batches, limit=3 << 20):
             if out is None:
                 store, path = _store(folder)
                 # each attempt writes files of its own; the last step puts them in place
                 name, mark = f"{path}/{shard:06d}", uuid.uuid4().hex
                 out = store.open_output_stream(f"{name}.ids.{mark}")
             texts = [t or "" for t in piece.column("text").to_pylist()]
-            parts = []
-            for e in tok.encode_batch_fast(texts, add_special_tokens=False):
-                one = e.ids
-                one.append(end_id)
-                lengths.append(len(one))
-                parts.append(np.array(one, dtype=kind))
-            data = np.concatenate(parts).tobytes()
+            parts = [x + end for x in encode(texts)]
+            lengths += [len(x) // kind.itemsize for x in parts]
+            data = b"".join(parts)
             crc = zlib.crc32(data, crc)
             out.write(data)
             ids.append(piece.column("doc_id").to_numpy(zero_copy_only=False) if not piece.column("doc_id").null_count else piece.column("doc_id"))
@@ -145,8 +185,8 @@ def _write_shard(folder: str, tokenizer: str, end_id: int):
             f.write(json.dumps(header).encode() + b"\n")
             for x in (*bytes_a, *bytes_b):
                 f.write(x)
-        for end in ("ids", "idx"):
-            store.move(f"{name}.{end}.{mark}", f"{name}.{end}")
+        for kept in ("ids", "idx"):
+            store.move(f"{name}.{kept}.{mark}", f"{name}.{kept}")
         yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(lengths)], "n_tokens": [int(ends[-1])], "file_crc32": [crc]})
 
     return write
