@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, quality, tokenids, toxicity
+from . import jaccard, mixing, quality, substrings, tokenids, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +29,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokenids.token_digest(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_ngram_join, op6_toxicity, op8_mixing, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_ngram_join, op6_toxicity, op8_mixing, op9_substrings, op10_token_ids)}
 
 ORACLE_SQL: dict[str, str] = {}
