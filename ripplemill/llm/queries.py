@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, quality, substrings, tokenids, toxicity
+from . import jaccard, mixing, quality, substrings, tokenids, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,6 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_digest(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_ngram_join, op6_toxicity, op8_mixing, op9_substrings, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_vectors, op3_ngram_join, op6_toxicity, op8_mixing, op9_substrings, op10_token_ids)}
 
 ORACLE_SQL: dict[str, str] = {}
