@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, mixing, quality, substrings, tokenids, toxicity, vectors
+from . import decontam, html_text, jaccard, mixing, preference, quality, substrings, tokenids, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +25,25 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference.format_pairs(preference.neighbours_as_pairs(_table(spark, sf_dir, "conversations")))
+    spans = {c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))) for c in ("chosen_loss", "rejected_loss")}
+    return pairs.select("pair_id", "n_common", "prompt", "chosen", "rejected", *[F.when(F.col(c).isNotNull(), v).alias(c) for c, v in spans.items()])
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,6 +58,6 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_digest(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_vectors, op3_ngram_join, op6_toxicity, op8_mixing, op9_substrings, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_vectors, op3_ngram_join, op4_main_text, op5_preference, op6_toxicity, op7_decontamination, op8_mixing, op9_substrings, op10_token_ids)}
 
 ORACLE_SQL: dict[str, str] = {}
