@@ -108,9 +108,10 @@ def root_attachment(tree: DataFrame, steps: int = 200) -> DataFrame:
 
 
 def all_features(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    tree = reshare_trees(edges, roots)
-    authors = tree_authors(edges, tree, roots)
+    # every family reads them, and a recursive query is not shared between branches of a plan
+    tree = reshare_trees(edges, roots).persist()
+    authors = tree_authors(edges, tree, roots).persist()
     out = structure(tree)
-    for part in (timing(tree, authors), platforms(tree, authors), author_reuse(tree, authors), structural_virality(tree), root_attachment(tree)):
+    for part in (timing(tree, authors), platforms(tree, authors), author_reuse(tree, authors), structural_virality(edges, roots), root_attachment(tree)):
         out = out.join(part, "root_id", "left")
     return out.fillna(0)

@@ -65,19 +65,22 @@ def tree_authors(edges: DataFrame, tree: DataFrame, roots: DataFrame) -> DataFra
     return posts.join(a, "content_id").select("root_id", "content_id", "author_id", "t", "platform")
 
 
-def structural_virality(tree: DataFrame) -> DataFrame:
-    """Mean distance of all pairs of a tree's posts, from the sizes of the subtrees below its edges."""
-    e = tree.select("root_id", "source_id", "target_id")
-    sql = """
-      WITH RECURSIVE up(root_id, ancestor, node) AS (
-        SELECT root_id, target_id, target_id FROM {e}
+def structural_virality(edges: DataFrame, roots: DataFrame, max_depth: int = TREE_DEPTH) -> DataFrame:
+    """Mean distance of all pairs of a tree's posts, from the sizes of the subtrees below its edges.
+
+    Each post carries its ancestors down the recursion, so one pass gives every subtree's size.
+    """
+    sql = f"""
+      WITH RECURSIVE tree(root_id, node, above, depth) AS (
+        SELECT r.root_id, e.target_id, array(e.target_id), 1 FROM {{e}} e JOIN {{r}} r ON e.source_id = r.root_id
         UNION ALL
-        SELECT u.root_id, e.source_id, u.node FROM up u JOIN {e} e ON e.root_id = u.root_id AND e.target_id = u.ancestor
-        WHERE e.source_id <> e.root_id)
-      SELECT root_id, ancestor, count(*) AS s FROM up GROUP BY root_id, ancestor"""
-    below = _recursive(tree.sparkSession, sql, e=e)
-    n = tree.groupBy("root_id").agg((F.count("*") + 1).alias("n"))
-    return below.join(n, "root_id").groupBy("root_id").agg((2.0 * F.sum(F.col("s") * (F.col("n") - F.col("s"))) / (F.first("n") * (F.first("n") - 1))).alias("structural_virality"))
+        SELECT p.root_id, e.target_id, concat(p.above, array(e.target_id)), p.depth + 1
+        FROM {{e}} e JOIN tree p ON e.source_id = p.node WHERE p.depth < {max_depth})
+      SELECT root_id, explode(above) AS ancestor FROM tree"""
+    below = _recursive(edges.sparkSession, sql, e=edges.where("edge_type = 'reshare'"), r=roots)
+    s = below.groupBy("root_id", "ancestor").agg(F.count("*").alias("s"))
+    per = s.groupBy("root_id").agg((F.count("*") + 1).alias("n"), F.sum("s").alias("s1"), F.sum(F.col("s") * F.col("s")).alias("s2"))
+    return per.select("root_id", (2.0 * (F.col("n") * F.col("s1") - F.col("s2")) / (F.col("n") * (F.col("n") - 1))).alias("structural_virality"))
 
 
 def entity_activity(edges: DataFrame, entity: str, window_s: float = 3600.0, top: int = 5, hops: int = 20) -> DataFrame:

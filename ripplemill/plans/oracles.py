@@ -69,7 +69,7 @@ _SQL = {
     "w1_t1_velocity": "SELECT entity_id, arrival, n_events, round(velocity, 6) AS velocity FROM v",
     "w2_t8_late_velocity": "SELECT a.entity_id, a.arrival, count(*) AS n_events FROM (SELECT *, max(t) OVER (PARTITION BY entity_id ORDER BY arrival) AS newest FROM l) a JOIN l b ON a.entity_id = b.entity_id AND b.arrival <= a.arrival AND b.t >= a.newest - 3600 GROUP BY ALL",
     "w3_peak_rates": "SELECT cascade, max(k) AS peak FROM (SELECT cascade, count(*) OVER (PARTITION BY cascade ORDER BY t RANGE BETWEEN CURRENT ROW AND 600 FOLLOWING) AS k FROM p) GROUP BY 1",
-    "w4_b1_b2_zscores": "SELECT entity_id, arrival, round(velocity, 3) AS velocity, CASE WHEN list_stddev_pop(h) > 1e-12 THEN round(round((velocity - list_avg(h)) / list_stddev_pop(h), 4), 3) END AS zscore, CASE WHEN mad > 1e-12 THEN round(round((velocity - list_median(h)) / (1.4826::DOUBLE * mad), 4), 3) END AS robust FROM (SELECT *, list_median(list_transform(h, lambda x: abs(x - list_median(h)))) AS mad FROM (SELECT *, list(velocity) OVER (PARTITION BY entity_id ORDER BY arrival ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS h FROM v) WHERE len(h) >= 5)",
+    "w4_b1_b2_zscores": "SELECT entity_id, arrival, round(velocity, 6) AS velocity, CASE WHEN list_stddev_pop(h) > 1e-12 THEN round((velocity - list_avg(h)) / list_stddev_pop(h), 4) END AS zscore, CASE WHEN mad > 1e-12 THEN round((velocity - list_median(h)) / (1.4826::DOUBLE * mad), 4) END AS robust FROM (SELECT *, list_median(list_transform(h, lambda x: abs(x - list_median(h)))) AS mad FROM (SELECT *, list(velocity) OVER (PARTITION BY entity_id ORDER BY arrival ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS h FROM v) WHERE len(h) >= 5)",
     "w5_gaps": "SELECT cascade, round(avg(g), 3) AS mean, round(stddev_pop(g), 3) AS std FROM (SELECT cascade, t - lag(t) OVER (PARTITION BY cascade ORDER BY t) AS g FROM p) GROUP BY 1",
     "w6_half_life": "SELECT cascade, event_id FROM (SELECT *, row_number() OVER (PARTITION BY cascade ORDER BY t) AS k, count(*) OVER (PARTITION BY cascade) AS c FROM p WHERE pos > 0) WHERE k = greatest(ceil(c / 2)::BIGINT, 1)",
     "o2_oldest_backlog": "SELECT event_id, round(value, 6) AS value FROM p WHERE value > 50 ORDER BY t, event_id LIMIT 50",
@@ -113,7 +113,7 @@ _SQL = {
     "b3_ewma": """, q AS (SELECT arrival, velocity, row_number() OVER (ORDER BY arrival) AS k FROM v WHERE entity_id = 'entity:org:click'),
       w AS (SELECT k, arrival, velocity AS m, 0.0::DOUBLE AS var, NULL::DOUBLE AS z FROM q WHERE k = 1 UNION ALL
         SELECT q.k, q.arrival, w.m + 0.1::DOUBLE * (velocity - w.m), 0.9::DOUBLE * (w.var + 0.1::DOUBLE * (velocity - w.m) * (velocity - w.m)), CASE WHEN q.k > 5 AND w.var > 1e-24 THEN (velocity - w.m) / sqrt(w.var) END FROM w JOIN q ON q.k = w.k + 1)
-      SELECT arrival, round(round(z, 4), 3) AS ewma FROM w""",
+      SELECT arrival, round(z, 4) AS ewma FROM w""",
     "b4_poisson_tail": "SELECT entity_id, arrival, round(1 - (SELECT sum(exp(i * ln(4.0::DOUBLE) - 4 - lgamma(i + 1))) FROM range(0, least(v.n_events, 12)) g(i)), 6) AS tail FROM v",
     "c5_trending": "WITHTREND SELECT * FROM tr",
     "c5_first_arrivals": "WITHTREND SELECT e.target_id AS id, e.platform, floor((any_value(as_of) - min(e.t)) / 60)::BIGINT AS minutes_ago FROM e JOIN tr ON tr.id = e.target_id, now GROUP BY 1, 2",

@@ -257,7 +257,7 @@ def w3_peak_rates(spark, sf):
 
 @query
 def w4_b1_b2_zscores(spark, sf):
-    return A.zscores(A.velocity(A.mentions(graph(spark, sf).edges))).transform(lambda d: _r(d, 3))
+    return A.zscores(A.velocity(A.mentions(graph(spark, sf).edges))).transform(_r)
 
 
 @query
@@ -360,14 +360,14 @@ def g9_trace(spark, sf):
 @query
 def g12_structural_virality(spark, sf):
     g = graph(spark, sf)
-    return G.structural_virality(G.reshare_trees(g.edges, G.cascade_roots(g.edges))).transform(_r)
+    return G.structural_virality(g.edges, G.cascade_roots(g.edges)).transform(_r)
 
 
 def _tree(spark, sf):
     g = graph(spark, sf)
     roots = G.cascade_roots(g.edges)
-    tree = G.reshare_trees(g.edges, roots)
-    return tree, G.tree_authors(g.edges, tree, roots)
+    tree = G.reshare_trees(g.edges, roots).persist()
+    return tree, G.tree_authors(g.edges, tree, roots).persist()
 
 
 @query
@@ -494,7 +494,7 @@ def b3_b6_sequential(spark, sf):
 
 @query
 def b3_ewma(spark, sf):
-    return A.sequential_scores(A.velocity(A.mentions(graph(spark, sf).edges).where("entity_id = 'entity:org:click'"))).select("arrival", "ewma").transform(lambda d: _r(d, 3))
+    return A.sequential_scores(A.velocity(A.mentions(graph(spark, sf).edges).where("entity_id = 'entity:org:click'"))).select("arrival", "ewma").transform(_r)
 
 
 @query
