@@ -60,4 +60,26 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_vectors, op3_ngram_join, op4_main_text, op5_preference, op6_toxicity, op7_decontamination, op8_mixing, op9_substrings, op10_token_ids)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('17:' || doc_id) AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(k % 3 + 1)::INT] AS weight, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s),
+l AS (SELECT *, cap / weight AS fill, (total - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT *, max(level) FILTER (fill >= level) OVER () AS open FROM l),
+t AS (SELECT source, source_size, CASE WHEN open IS NULL OR fill < open THEN cap ELSE weight * open END AS target FROM o),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+x AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.whole, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place) - d.size / 2 AS middle FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN size > 0 AND middle < target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM x""",
+    "op5_preference": """
+WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+k AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS i FROM t),
+n AS (SELECT pair_id, count(*) FILTER (side = 0) AS n0, count(*) FILTER (side = 1) AS n1 FROM k GROUP BY 1),
+m AS (SELECT n.*, CASE WHEN n0 = 0 OR n1 = 0 THEN 0 ELSE coalesce((SELECT min(a.i) FROM k a LEFT JOIN k b ON b.pair_id = a.pair_id AND b.side = 1 AND b.i = a.i WHERE a.pair_id = n.pair_id AND a.side = 0 AND (b.i IS NULL OR a.role <> b.role OR a.text <> b.text)) - 1, n0) END AS n_common FROM n),
+h AS (SELECT k.*, n_common, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown, length('<|' || role || '|>') + 1 AS head FROM k JOIN m USING (pair_id)),
+o AS (SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY pair_id, side, i > n_common ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + head AS start FROM h),
+g AS (SELECT pair_id, coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 0 AND i <= n_common), '') AS prompt,
+  coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 0 AND i > n_common), '') AS c, coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 1 AND i > n_common), '') AS r,
+  coalesce(string_agg(start || '-' || (start + length(text)), ',' ORDER BY i) FILTER (side = 0 AND i > n_common AND role = 'assistant'), '') AS cl, coalesce(string_agg(start || '-' || (start + length(text)), ',' ORDER BY i) FILTER (side = 1 AND i > n_common AND role = 'assistant'), '') AS rl FROM o GROUP BY 1)
+SELECT pair_id, n_common::INT AS n_common, prompt, CASE WHEN n0 > 0 THEN c END AS chosen, CASE WHEN n1 > 0 THEN r END AS rejected, CASE WHEN n0 > 0 THEN cl END AS chosen_loss, CASE WHEN n1 > 0 THEN rl END AS rejected_loss FROM m JOIN g USING (pair_id)""",
+}
