@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, batches_of, broadcast_if_small, components
+from .common import BROADCAST_ROWS, Workspace, batches_of, broadcast_if_small, components
 from .words import Runs, flat, in_pieces, mix, split
 
 WIDTH = 5
@@ -77,6 +77,23 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc", "members"])
 
 
+def _reordered(late):
+    """Keys of each document with the often found members last, and those not often found that are new."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in in_pieces(batches):
+            n, new, extra = [], [], []
+            for s in shingle_sets(piece.column("text").to_pylist()):
+                often, k = np.isin(s, late.value), short_keys(len(s))
+                keys = np.concatenate((s[~often], s[often]))[:k]
+                n.append(len(s))
+                new.append(keys)
+                extra.append(np.setdiff1d(s[~often][:k], s[:k]))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(new, pa.list_(pa.int64())), pa.array(extra, pa.list_(pa.int64()))], ["doc", "n", "new", "extra"])
+
+    return run
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Heap-merge of the short lists of each document; candidates are later documents, each once."""
     for batch in batches:
@@ -157,7 +174,7 @@ class JaccardJoin:
         links = self._linked(self._short(rows, few), "short")
         n_long = often.count()
         if n_long:
-            links = self._long(rows, often, info, links)
+            links = self._long(rows, often, links)
         linked = components(links, space)
         class_of = filled.join(same, ["n_shingles", "f1", "f2"]).select("doc_id", "n_shingles", "rep")
         joined = class_of.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
@@ -166,22 +183,29 @@ class JaccardJoin:
     def _often_last(self, keys: DataFrame, counts: DataFrame, n_often: int) -> tuple[DataFrame, DataFrame]:
         """Move the often found keys to the end of the order of the documents that have them.
 
-        Returns all documents' keys in the new order, and of the documents concerned: n,
-        ``left`` (members that some other such document has) and the keys that are new.
+        Returns all documents' keys in the new order, and of the documents concerned the
+        keys that are new and not often found. Texts are read again, nothing of them is
+        shuffled while the often found keys may be broadcast.
         """
         space = self.space
-        often = counts.where(F.col("df") > self.long).select("key", F.lit(1).alias("late"))
-        often = broadcast_if_small(often, n_often)
-        concerned = space.keep(keys.join(often, "key", "left_semi").select("doc", "n").distinct(), "concerned")
-        members = self._members_of(concerned, concerned.count(), "concerned-members").select("doc", F.explode("members").alias("key"))
-        df = members.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").withColumn("shared", F.lit(1)).select("key", "shared")
-        marked = members.join(df, "key", "left").join(often, "key", "left")
-        n, t = F.count("*"), F.floor((4 * F.count("*") + 4) / 5)
-        order = F.array_sort(F.collect_list(F.struct(F.coalesce("late", F.lit(0)).alias("late"), "key")))
-        info = marked.groupBy("doc").agg(n.alias("n"), F.coalesce(F.sum("shared"), F.lit(0)).alias("left"), F.slice(order, 1, (n - t + 1).cast("int")).alias("new"), F.slice(F.sort_array(F.collect_list("key")), 1, (n - t + 1).cast("int")).alias("old"))
-        info = space.keep(info.select("doc", "n", "left", F.col("new.key").alias("new"), F.array_except(F.expr("transform(filter(new, x -> x.late = 0), x -> x.key)"), "old").alias("extra")), "info")
-        space.drop("concerned-members")
-        rest = keys.join(broadcast_if_small(concerned.select("doc"), concerned.count()), "doc", "left_anti").select("doc", "n", "key")
+        often = space.keep(counts.where(F.col("df") > self.long).select("key"), "often")
+        few = broadcast_if_small(often, n_often)
+        concerned = space.keep(keys.join(few, "key", "left_semi").select("doc").distinct(), "concerned")
+        n_concerned = concerned.count()
+        if n_often <= BROADCAST_ROWS:
+            late = self.spark.sparkContext.broadcast(np.sort(np.array([r.key for r in often.toLocalIterator()], dtype=np.int64)))
+            ids = broadcast_if_small(concerned.select(F.col("doc").alias("doc_id")), n_concerned)
+            info = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_reordered(late), "doc long, n long, new array<long>, extra array<long>").dropDuplicates(["doc"])
+        else:
+            members = self._members_of(concerned, n_concerned, "concerned-members").select("doc", F.explode("members").alias("key"))
+            marked = members.join(often.withColumn("late", F.lit(1)), "key", "left")
+            t = F.floor((4 * F.count("*") + 4) / 5)
+            order = F.array_sort(F.collect_list(F.struct(F.coalesce("late", F.lit(0)).alias("late"), "key")))
+            first = lambda x: F.slice(x, 1, (F.count("*") - t + 1).cast("int"))
+            info = marked.groupBy("doc").agg(F.count("*").alias("n"), first(order).alias("new"), first(F.sort_array(F.collect_list("key"))).alias("old"))
+            info = info.select("doc", "n", F.col("new.key").alias("new"), F.array_except(F.expr("transform(filter(new, x -> x.late = 0), x -> x.key)"), "old").alias("extra"))
+        info = space.keep(info, "info")
+        rest = keys.join(broadcast_if_small(concerned, n_concerned), "doc", "left_anti").select("doc", "n", "key")
         return rest.union(info.select("doc", "n", F.explode("new").alias("key"))), info
 
     def _short(self, rows: DataFrame, few: DataFrame) -> DataFrame:
@@ -194,20 +218,22 @@ class JaccardJoin:
         found = found.join(sizes.withColumnsRenamed({"doc": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"doc": "b", "n": "nb"}), "b")
         return found.where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b")
 
-    def _long(self, rows: DataFrame, often: DataFrame, info: DataFrame | None, links: DataFrame) -> DataFrame:
+    def _long(self, rows: DataFrame, often: DataFrame, links: DataFrame) -> DataFrame:
         """Links inside long lists: with the most central member first, then between components."""
         space = self.space
-        listed = rows.join(often.select("key"), "key")
-        left = F.col("n") if info is None else F.coalesce("left", "n")
-        listed = (listed if info is None else listed.join(info.select("doc", "left"), "doc", "left")).select("key", "doc", "n", left.alias("left"), F.lit(info is not None).alias("_") if info is None else F.col("left").isNotNull().alias("known"))
-        if info is None:
-            listed = listed.withColumn("known", F.lit(False)).drop("_")
+        listed = space.keep(rows.join(often.select("key"), "key", "left_semi"), "long-rows")
+        ids = space.keep(listed.select("doc").distinct(), "long-ids")
+        # ``left``: members that some other document of long lists has; no pair of them shares more
+        members = self._members_of(ids, ids.count(), "long-members").select("doc", F.explode("members").alias("member"))
+        alone = members.groupBy("member").agg(F.min("doc").alias("doc"), F.max("doc").alias("hi")).where("doc = hi").groupBy("doc").agg(F.count("*").alias("alone"))
+        listed = listed.join(alone, "doc", "left").select("key", "doc", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("left"))
         # a document most of whose members no other has can't reach T with any other
         listed = space.keep(listed.where("5 * left >= 4 * n"), "listed")
-        enough = "5 * least(na, nb) >= 4 * greatest(na, nb) AND (NOT (ka AND kb) OR 9 * least(la, lb) >= 4 * (na + nb))"
-        a = listed.withColumnsRenamed({"doc": "a", "n": "na", "left": "la", "known": "ka"})
-        b = listed.withColumnsRenamed({"doc": "b", "n": "nb", "left": "lb", "known": "kb"})
-        central = listed.groupBy("key").agg(F.max_by(F.struct("doc", "n", "left", "known"), F.struct(F.col("left") / F.col("n"), -F.col("doc"))).alias("c")).select("key", F.col("c.doc").alias("b"), F.col("c.n").alias("nb"), F.col("c.left").alias("lb"), F.col("c.known").alias("kb"))
+        space.drop("long-members")
+        enough = "5 * least(na, nb) >= 4 * greatest(na, nb) AND 9 * least(la, lb) >= 4 * (na + nb)"
+        a = listed.withColumnsRenamed({"doc": "a", "n": "na", "left": "la"})
+        b = listed.withColumnsRenamed({"doc": "b", "n": "nb", "left": "lb"})
+        central = listed.groupBy("key").agg(F.max_by(F.struct("doc", "n", "left"), F.struct(F.col("left") / F.col("n"), -F.col("doc"))).alias("c")).select("key", F.col("c.doc").alias("b"), F.col("c.n").alias("nb"), F.col("c.left").alias("lb"))
         star = a.join(central, "key").where(f"a <> b AND {enough}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = links.union(self._linked(star, "star"))
         now = components(links, space, "between")
@@ -216,8 +242,8 @@ class JaccardJoin:
         # keys whose documents are all of one component link nothing new
         several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         named = space.keep(named.join(several, "key", "left_semi"), "named")
-        a = named.withColumnsRenamed({"doc": "a", "n": "na", "left": "la", "known": "ka", "comp": "ca"})
-        b = named.withColumnsRenamed({"doc": "b", "n": "nb", "left": "lb", "known": "kb", "comp": "cb"})
+        a = named.withColumnsRenamed({"doc": "a", "n": "na", "left": "la", "comp": "ca"})
+        b = named.withColumnsRenamed({"doc": "b", "n": "nb", "left": "lb", "comp": "cb"})
         between = a.join(b, (a["key"] == b["key"]) & F.expr(f"a < b AND ca <> cb AND {enough}")).select("a", "b").distinct()
         return links.union(self._linked(between, "across"))
 
