@@ -10,7 +10,9 @@ must occur in one of the other, short ones. Here
    T - 1, are the short lists' keys; Spark builds these lists by key. Keys found in one
    class only link nothing and go;
 3. the lists that a document occurs in are merged with a heap; candidates that could
-   still reach T are kept, and their long lists are probed by binary search;
+   still reach T by their sizes and by the parities of their hashed members (which bound
+   how many they share from above) are kept, and their long lists are probed by binary
+   search;
 4. lists longer than ``LONG`` are never merged: each such list is first compared with the
    member that shares most with others, and afterwards only members of different
    components are compared, unless the members that no other document has already
@@ -60,6 +62,24 @@ def short_keys(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
+def parities(members: np.ndarray) -> bytes:
+    """For each of about as many slots as there are members, whether an odd number of them falls there."""
+    slots = max(64, 1 << (len(members) - 1).bit_length())
+    odd = np.bincount(members & (slots - 1), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ(x: bytes, y: bytes) -> int:
+    """Members that are in one of the sets only are at least so many."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, bits = int.from_bytes(x, "little"), 8 * len(x)
+    while bits > 8 * len(y):
+        bits //= 2
+        a = a >> bits ^ a & (1 << bits) - 1
+    return (a ^ int.from_bytes(y, "little")).bit_count()
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in in_pieces(batches):
         sets = shingle_sets(piece.column("text").to_pylist())
@@ -68,7 +88,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [s[: short_keys(len(s))] if len(s) else s for s in sets]
         offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(p, pa.int64()) for p in prints), lists], ["doc_id", "n_shingles", "f1", "f2", "keys"])
+        bits = pa.array([parities(s) if len(s) else None for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(p, pa.int64()) for p in prints), lists, bits], ["doc_id", "n_shingles", "f1", "f2", "keys", "bits"])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,6 +129,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parities leave the overlap possible: 2 * overlap is at most na + nb - differing members."""
+    for batch in batches:
+        size = np.add(batch.column("na").to_numpy(), batch.column("nb").to_numpy()).tolist()
+        keep = [n >= 9 * differ(x, y) for n, x, y in zip(size, batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
     """Binary probes of the smaller set's members in the larger."""
     if len(x) > len(y):
@@ -145,7 +174,9 @@ class JaccardJoin:
 
     def _linked(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of the distinct ``pairs`` (a, b) that reach the similarity."""
-        pairs = self.space.keep(pairs, f"{name}-pairs")
+        x, y = (self.bits.select(F.col("doc").alias(d), F.col("n").alias(f"n{d}"), F.col("bits").alias(c)) for d, c in (("a", "x"), ("b", "y")))
+        possible = pairs.join(x, "a").join(y, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b", "na", "nb", "x", "y")
+        pairs = self.space.keep(possible.mapInArrow(_possible, "a long, b long"), f"{name}-pairs")
         ids = self.space.keep(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), f"{name}-ids")
         members = self._members_of(ids, ids.count(), f"{name}-members")
         both = pairs.join(members.withColumnsRenamed({"doc": "a", "members": "x"}), "a").join(members.withColumnsRenamed({"doc": "b", "members": "y"}), "b")
@@ -155,10 +186,13 @@ class JaccardJoin:
 
     def classes(self) -> DataFrame:
         space, long = self.space, self.long
-        sets = space.keep(self.docs.mapInArrow(_signatures, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"), "sets")
+        sets = space.keep(self.docs.mapInArrow(_signatures, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, bits binary"), "sets")
         filled = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
         same = space.keep(filled.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "same")
-        reps = filled.join(same.where("rows > 1"), ["n_shingles", "f1", "f2"], "left").where("rep IS NULL OR rep = doc_id").groupBy("doc_id").agg(F.max_by("keys", "n_shingles").alias("keys"), F.max("n_shingles").alias("n"))
+        copies = filled.select("doc_id", "n_shingles", "f1", "f2").join(same.where("rows > 1"), ["n_shingles", "f1", "f2"]).where("doc_id <> rep").select("doc_id", "f1")
+        copies = space.keep(copies, "copies")
+        reps = filled.join(broadcast_if_small(copies, 2 * copies.count()), ["doc_id", "f1"], "left_anti").select("doc_id", "keys", "bits", F.col("n_shingles").alias("n"))
+        self.bits = reps.select(F.col("doc_id").alias("doc"), "n", "bits")
         keys = reps.select(F.col("doc_id").alias("doc"), "n", F.explode("keys").alias("key"))
         counts = space.keep(keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "counts")
         n_often = counts.where(F.col("df") > long).count()
@@ -195,7 +229,7 @@ class JaccardJoin:
         if n_often <= BROADCAST_ROWS:
             late = self.spark.sparkContext.broadcast(np.sort(np.array([r.key for r in often.toLocalIterator()], dtype=np.int64)))
             ids = broadcast_if_small(concerned.select(F.col("doc").alias("doc_id")), n_concerned)
-            info = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_reordered(late), "doc long, n long, new array<long>, extra array<long>").dropDuplicates(["doc"])
+            info = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_reordered(late), "doc long, n long, new array<long>, extra array<long>")
         else:
             members = self._members_of(concerned, n_concerned, "concerned-members").select("doc", F.explode("members").alias("key"))
             marked = members.join(often.withColumn("late", F.lit(1)), "key", "left")
@@ -213,10 +247,7 @@ class JaccardJoin:
         lists = rows.join(few.select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_set("doc")).alias("list"))
         lists = lists.select("list").distinct()
         per_doc = lists.select(F.explode("list").alias("doc"), "list").groupBy("doc").agg(F.collect_list("list").alias("lists"))
-        found = per_doc.mapInArrow(_merge, "a long, b long")
-        sizes = rows.select("doc", "n").distinct()
-        found = found.join(sizes.withColumnsRenamed({"doc": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"doc": "b", "n": "nb"}), "b")
-        return found.where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b")
+        return per_doc.mapInArrow(_merge, "a long, b long")
 
     def _long(self, rows: DataFrame, often: DataFrame, links: DataFrame) -> DataFrame:
         """Links inside long lists: with the most central member first, then between components."""
