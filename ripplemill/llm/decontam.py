@@ -2,7 +2,8 @@
 
 1. Document frequencies of hashed terms over all documents.
 2. A randomised SVD of the benchmark's TF-IDF passages: tasks multiply their passages with
-   a random matrix and its successor, the sums (terms x rank, no passages) give the basis.
+   a random matrix and its successor, the sums (terms of the benchmark x rank, no passages)
+   give the basis.
 3. Every passage (48 words, every 24) of every document is projected; benchmark passages
    that are near in cosine and whose weight it covers to a fair part are its candidates.
 4. Around a candidate the longest common subsequence with the whole benchmark item is
@@ -90,19 +91,25 @@ def item_passages(words: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray,
     return out
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in in_pieces(batches):
+        word, _ = term_words(piece.column("text").to_pylist())
+        yield pa.RecordBatch.from_pydict({"term": pa.array(np.unique(buckets(word)), pa.int32())})
+
+
 def _gram(shared, slab: int):
     """A' (A m) of a task's passages A, in slabs of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, m = shared.value
+        idf, row, m = shared.value
         total = np.zeros(m.shape, np.float64)
         for piece in in_pieces(batches):
             word, start = term_words(piece.column("text").to_pylist())
             for a, b in zip(start, start[1:]):
                 if b - a >= LEAST_WORDS:
                     for i, v in item_passages(word[a:b], idf):
-                        total[i] += v[:, None] * (v @ m[i])
-        for k in range(0, TERMS, slab):
+                        total[row[i]] += v[:, None] * (v @ m[row[i]])
+        for k in range(0, len(m), slab):
             if total[k : k + slab].any():
                 yield pa.RecordBatch.from_pydict({"slab": [k], "part": [total[k : k + slab].astype(np.float32).tobytes()]})
 
@@ -111,28 +118,39 @@ def _gram(shared, slab: int):
 
 def _add(table: pa.Table) -> pa.Table:
     parts = [np.frombuffer(p.as_py(), np.float32) for p in table["part"].combine_chunks()]
-    return pa.table({"slab": pa.array([table["slab"][0].as_py()], pa.int64()), "part": [sum(p.astype(np.float64) for p in parts).tobytes()]})
+    return pa.table({"slab": pa.array([table["slab"][0].as_py()], pa.int64()), "part": [sum(p.astype(np.float64) for p in parts).astype(np.float32).tobytes()]})
+
 
+def basis(items: DataFrame, idf: np.ndarray, rank: int = RANK, tasks: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors of the items' passages, by randomised SVD.
 
-def basis(items: DataFrame, idf: np.ndarray, rank: int = RANK, tasks: int = 8) -> np.ndarray:
-    """terms x rank: the leading right singular vectors of the items' passages, by randomised SVD."""
-    slab, sc = 4096, items.sparkSession.sparkContext
-    m = np.random.default_rng(SEED).standard_normal((TERMS, rank + EXTRA)).astype(np.float32)
+    (the row of each term, rows x rank): only terms of the items have a row of their own,
+    the others share the last one, which is zero. There are 2**16 terms at most.
+    """
+    slab, sc = 2048, items.sparkSession.sparkContext
     spread = items.select(F.col("text").cast("string").cast("binary").alias("text")).repartition(tasks)
+    terms = np.sort(spread.mapInArrow(_terms, "term int").distinct().toPandas().term.to_numpy(np.int32))
+    row = np.full(TERMS, len(terms), np.int32)
+    row[terms] = np.arange(len(terms))
+    if not len(terms):
+        return row, np.zeros((1, 1), np.float32)
+    m = np.random.default_rng(SEED).standard_normal((len(terms), rank + EXTRA), np.float32)
+    m = m[:, : len(terms)]
     for step in range(2):
-        shared = sc.broadcast((idf, m))
-        got = spread.mapInArrow(_gram(shared, slab), "slab long, part binary").groupBy("slab").applyInArrow(_add, "slab long, part binary").collect()
-        z = np.zeros(m.shape)
-        for r in got:
-            z[r["slab"] : r["slab"] + slab] = np.frombuffer(r["part"]).reshape(slab, -1)
+        shared = sc.broadcast((idf, row, m))
+        got = spread.mapInArrow(_gram(shared, slab), "slab long, part binary").groupBy("slab").applyInArrow(_add, "slab long, part binary")
+        z = np.zeros(m.shape, np.float32)
+        for r in got.toLocalIterator():
+            z[r["slab"] : r["slab"] + slab] = np.frombuffer(r["part"], np.float32).reshape(-1, z.shape[1])
         shared.unpersist()
         if step == 0:
-            m = np.linalg.qr(z)[0].astype(np.float32)
+            m = np.linalg.qr(z)[0]
     # m' A'A m is small; its eigenvectors turn m towards the singular vectors
-    values, turn = np.linalg.eigh(m.T.astype(np.float64) @ z)
+    values, turn = np.linalg.eigh((m.T @ z).astype(np.float64))
     keep = np.argsort(-values)[:rank]
-    keep = keep[values[keep] > 1e-9 * max(values.max(), 1e-30)]
-    return (m @ turn[:, keep]).astype(np.float32)
+    keep = keep[values[keep] > 1e-6 * max(values.max(), 1e-30)]
+    space = (m @ turn[:, keep].astype(np.float32)).astype(np.float32)
+    return row, np.concatenate((space, np.zeros((1, space.shape[1]), np.float32)))
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -150,14 +168,16 @@ def lcs(a: list[int], b: list[int]) -> int:
 class Block:
     """What tasks need of some benchmark items; its size is bounded by the number of items."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], idf: np.ndarray, space: np.ndarray):
+    def __init__(self, ids: list[int], texts: list[bytes], idf: np.ndarray, row: np.ndarray, space: np.ndarray):
         word, start = term_words(texts)
-        self.weights = (idf[:, None] * space).astype(np.float32)
+        self.row, self.weights = row, space.copy()
+        known = np.flatnonzero(row < len(space) - 1)
+        self.weights[row[known]] *= idf[known, None].astype(np.float32)
         self.ids, self.words, self.of, rows = [], [], [], []
         for k, (a, b) in enumerate(zip(start, start[1:])):
             if b - a >= LEAST_WORDS:
                 for i, v in item_passages(word[a:b], idf):
-                    rows.append(v.astype(np.float32) @ space[i])
+                    rows.append(v.astype(np.float32) @ space[row[i]])
                     self.of.append(len(self.ids))
                 self.ids.append(ids[k])
                 self.words.append(word[a:b])
@@ -180,7 +200,7 @@ class Block:
     def _one(self, word: np.ndarray, found: dict[int, float]) -> None:
         for base in range(0, len(word), HALF * 4096):
             part = word[base : base + HALF * 4097]
-            half = np.add.reduceat(self.weights[buckets(part)], np.arange(0, len(part), HALF), axis=0)
+            half = np.add.reduceat(self.weights[self.row[buckets(part)]], np.arange(0, len(part), HALF), axis=0)
             y = half[:-1] + half[1:] if len(half) > 1 else half
             dot = y @ self.rows.T
             near = (dot >= COSINE * self.norm * np.maximum(np.linalg.norm(y, axis=1), 1e-12)[:, None]) & (dot >= COVERED * self.norm**2)
@@ -214,11 +234,11 @@ def _blocks(docs: DataFrame, benchmark: DataFrame):
     if not n:
         return
     idf = idf_of(docs)
-    space = basis(items, idf)
+    row, space = basis(items, idf)
     blocks = -(-n // BLOCK)
     for k in range(blocks):
         rows = (items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items).orderBy("item_id", "text").collect()
-        yield spark.sparkContext.broadcast(Block([r.item_id for r in rows], [r.text.encode() for r in rows], idf, space))
+        yield spark.sparkContext.broadcast(Block([r.item_id for r in rows], [r.text.encode() for r in rows], idf, row, space))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
