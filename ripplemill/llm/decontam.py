@@ -4,8 +4,10 @@
 2. A randomised SVD of the benchmark's TF-IDF passages: tasks multiply their passages with
    a random matrix and its successor, the sums (terms of the benchmark x rank, no passages)
    give the basis.
-3. Every passage (48 words, every 24) of every document is projected; benchmark passages
-   that are near in cosine and whose weight it covers to a fair part are its candidates.
+3. Passages are 48 words, every 24 of every document. Of an item's words few may be missing
+   (see 4), so of its rarest ones so many must be around a passage; where they are, the
+   passage is projected, and the item's passages that are near in cosine and whose weight
+   it covers to a fair part are its candidates.
 4. Around a candidate the longest common subsequence with the whole benchmark item is
    taken. A document leaks the item if that holds 80% of the item's words, or 60% and the
    item's answer (its last quarter) nearly whole: a paraphrase that keeps the answer.
@@ -60,7 +62,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in in_pieces(batches):
         word, start = term_words(piece.column("text").to_pylist())
         doc = np.repeat(np.arange(len(start) - 1), np.diff(start))
-        pairs = np.unique(doc * TERMS + buckets(word))
+        pairs = np.sort(doc * TERMS + buckets(word))
+        pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))] if len(pairs) else pairs
         total += np.bincount(pairs % TERMS, minlength=TERMS)
         docs += len(start) - 1
     at = np.flatnonzero(total)
@@ -165,6 +168,12 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def _counted(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each entry, ``n`` numbers each."""
+    ends = np.cumsum(n)
+    return np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Block:
     """What tasks need of some benchmark items; its size is bounded by the number of items."""
 
@@ -184,6 +193,28 @@ class Block:
         self.rows = np.array(rows, np.float32).reshape(len(rows), space.shape[1])
         self.norm = np.maximum(np.linalg.norm(self.rows, axis=1), 1e-12)
         self.of = np.array(self.of, np.int64)
+        self.rows_of = np.searchsorted(self.of, np.arange(len(self.ids) + 1))
+        self._keys(idf)
+
+    def _keys(self, idf: np.ndarray) -> None:
+        """For each item its rarest words, and how many of them any leak must hold."""
+        n = np.array([len(w) for w in self.words], np.int64)
+        may_miss = n - np.ceil(PARAPHRASE * n - 1e-9).astype(np.int64)
+        self.size, self.need = n, np.maximum(1, n // 5)
+        item, term = [], []
+        for k, words in enumerate(self.words):
+            at = buckets(words)
+            rare = np.unique(at[np.argsort(-idf[at], kind="stable")[: may_miss[k] + self.need[k]]])
+            item.append(np.full(len(rare), k))
+            term.append(rare)
+        if not term:
+            return
+        item, term = np.concatenate(item), np.concatenate(term)
+        order = np.argsort(term, kind="stable")
+        self.listed, known, first = item[order], *np.unique(term[order], return_index=True)
+        self.list_start = np.append(first, len(order))
+        self.key = np.full(TERMS, -1, np.int32)
+        self.key[known] = np.arange(len(known))
 
     def search(self, texts: list[bytes | None]) -> list[dict[int, float]]:
         """For each text the items it leaks, with the share of their words."""
@@ -191,25 +222,55 @@ class Block:
         if not len(self.ids):
             return out
         word, start = term_words(texts)
-        for first in range(0, len(texts)):
-            a, b = int(start[first]), int(start[first + 1])
-            if b - a >= LEAST_WORDS // 2:
-                self._one(word[a:b], out[first])
+        term = buckets(word)
+        doc, at, item = self._places(term, start)
+        windows, back = np.unique(at, return_inverse=True)
+        ends = start[np.searchsorted(start, windows, side="right")]
+        for first in range(0, len(windows), 2048):
+            y = self._projected(term, windows[first : first + 2048], ends[first : first + 2048])
+            some = np.flatnonzero((back >= first) & (back < first + 2048))
+            pair = np.repeat(some, np.diff(self.rows_of)[item[some]])
+            row = _counted(self.rows_of[item[some]], np.diff(self.rows_of)[item[some]])
+            of = y[back[pair] - first]
+            dot = np.einsum("ij,ij->i", of, self.rows[row])
+            near = (dot >= COSINE * self.norm[row] * np.maximum(np.linalg.norm(of, axis=1), 1e-12)) & (dot >= COVERED * self.norm[row] ** 2)
+            for k in np.unique(pair[near]):
+                d, i = int(doc[k]), int(item[k])
+                found = out[d]
+                if found.get(i, 0.0) < 1.0:
+                    share = self._verify(self.words[i], word[start[d] : start[d + 1]], int(at[k] - start[d]))
+                    if share:
+                        found[i] = max(share, found.get(i, 0.0))
         return out
 
-    def _one(self, word: np.ndarray, found: dict[int, float]) -> None:
-        for base in range(0, len(word), HALF * 4096):
-            part = word[base : base + HALF * 4097]
-            half = np.add.reduceat(self.weights[self.row[buckets(part)]], np.arange(0, len(part), HALF), axis=0)
-            y = half[:-1] + half[1:] if len(half) > 1 else half
-            dot = y @ self.rows.T
-            near = (dot >= COSINE * self.norm * np.maximum(np.linalg.norm(y, axis=1), 1e-12)[:, None]) & (dot >= COVERED * self.norm**2)
-            for p, r in zip(*np.nonzero(near)):
-                item = int(self.of[r])
-                if found.get(item, 0.0) < 1.0:
-                    share = self._verify(self.words[item], word, base + int(p) * HALF)
-                    if share:
-                        found[item] = max(share, found.get(item, 0.0))
+    def _places(self, term: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word of a passage, item) wherever enough of the item's rare words are around the passage."""
+        key = self.key[term]
+        hit = np.flatnonzero(key >= 0)
+        n = np.diff(self.list_start)[key[hit]]
+        item, at = self.listed[_counted(self.list_start[key[hit]], n)], np.repeat(hit, n)
+        order = np.argsort(item, kind="stable")
+        item, at = item[order], at[order]
+        last = np.minimum(np.arange(len(at)) + self.need[item] - 1, len(at) - 1)
+        doc = np.searchsorted(start, at, side="right") - 1
+        reach = 2 * HALF + self.size[item]
+        ok = (np.arange(len(at)) + self.need[item] <= len(at)) & (item[last] == item) & (doc[last] == doc) & (at[last] - at < reach + self.size[item])
+        item, doc, low, high = item[ok], doc[ok], (at[last] - reach + 1)[ok], (at + self.size[item])[ok]
+        a, final = start[doc], np.maximum(0, -(-(start[doc + 1] - start[doc]) // HALF) - 2)
+        low = np.maximum(0, -(-(low - a) // HALF))
+        low, high = np.minimum(low, final), np.minimum((high - a) // HALF, final)
+        n = np.maximum(0, high - low + 1)
+        place = np.repeat(a, n) + HALF * _counted(low, n)
+        pairs = np.unique(place * len(self.ids) + np.repeat(item, n))
+        place, item = np.divmod(pairs, len(self.ids))
+        return np.searchsorted(start, place, side="right") - 1, place, item
+
+    def _projected(self, term: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        y = np.zeros((len(begin), self.weights.shape[1]), np.float32)
+        for k in range(2 * HALF):
+            inside = begin + k < end
+            y[inside] += self.weights[self.row[term[begin[inside] + k]]]
+        return y
 
     @staticmethod
     def _verify(item: np.ndarray, word: np.ndarray, at: int) -> float:
