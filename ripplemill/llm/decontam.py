@@ -275,14 +275,13 @@ class Block:
     @staticmethod
     def _verify(item: np.ndarray, word: np.ndarray, at: int) -> float:
         n = len(item)
-        near = word[max(0, at - n) : at + 2 * HALF + n]
-        if np.isin(item, near).sum() < PARAPHRASE * n:
+        text, words = word[max(0, at - n) : at + 2 * HALF + n].tolist(), item.tolist()
+        if sum(map(set(text).__contains__, words)) < PARAPHRASE * n:
             return 0.0
-        text = near.tolist()
-        share = lcs(item.tolist(), text) / n
+        share = lcs(words, text) / n
         if share >= LEAK:
             return share
-        answer = item[-max(3, n // 4) :].tolist()
+        answer = words[-max(3, n // 4) :]
         return share if share >= PARAPHRASE and lcs(answer, text) >= ANSWER * len(answer) else 0.0
 
 
