@@ -23,6 +23,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,10 +99,11 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-#: Fixed value: how byte-level BPE cuts a text into words before it merges within them.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters whose classes might differ between regular expression libraries.
+#: Characters that texts cut here are made of; texts with any other are encoded whole.
 UNSURE = re.compile("[^\t-\r -~\xa1-\u024f\u2010-\u2027]")
+# How byte-level BPE cuts a text into words before it merges within them, for those characters.
+LETTER, NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+WORDS = re.compile(rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBER}]+| ?[^\t-\r {LETTER}{NUMBER}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
 class Encoder:
@@ -114,7 +116,6 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tok, self.most, self.known = Tokenizer.from_file(path), most, {}
@@ -123,12 +124,33 @@ class Encoder:
             spec = json.load(f)
         cut = spec.get("pre_tokenizer") or {}
         self.by_word = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec.get("truncation") and not spec.get("padding")
-        self.words = regex.compile(WORDS).findall
+        self.words, self.code = WORDS.findall, "H" if self.kind.itemsize == 2 else "I"
+        self.width = np.zeros(max(self.tok.get_vocab(True).values(), default=0) + 1, np.int64)
+        for name, i in self.tok.get_vocab(True).items():
+            self.width[i] = len(name)
         special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(special)) if special else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str], together: int = 500) -> list[bytes]:
+        """Of each word; those of a space and letters go to the tokenizer many at a time, as a text that is cut at its spaces."""
+        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        known = dict(zip(rest, self._whole(rest)))
+        groups = [plain[k : k + together] for k in range(0, len(plain), together)]
+        for group, data in zip(groups, self._whole(["".join(g) for g in groups])):
+            # a token stands for as many bytes as its name has characters
+            ends = np.cumsum(self.width[np.frombuffer(data, self.kind)])
+            stop = np.cumsum([len(w.encode()) for w in group])
+            cut = (np.searchsorted(ends, stop) + 1) * self.kind.itemsize
+            if not np.array_equal(ends[cut // self.kind.itemsize - 1], stop):
+                known.update(zip(group, self._whole(group)))
+                continue
+            cut = [0, *cut.tolist()]
+            known.update(zip(group, [data[a:b] for a, b in zip(cut, cut[1:])]))
+        return [known[w] for w in words]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -137,7 +159,7 @@ class Encoder:
         if len(self.known) > self.most:
             self.known.clear()
         new = list({w for words in each if words for w in words}.difference(self.known))
-        self.known.update(zip(new, self._whole(new)))
+        self.known.update(zip(new, self._words(new)))
         of = self.known.__getitem__
         return [self._whole([t])[0] if words is None else b"".join(map(of, words)) for t, words in zip(texts, each)]
 
@@ -195,7 +217,8 @@ def _write_shard(folder: str, tokenizer: str, end_id: int):
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into files in ``folder`` (a URI all tasks can write); return the manifest.
 
-    One shuffle by ranges of doc_id orders the documents; shards are as many as shuffle
+    One shuffle by ranges of doc_id (equal ones: of the text's first characters, since Spark
+    samples what it cuts ranges by) orders the documents; shards are as many as shuffle
     partitions. No task holds more than a piece of text and its shard's boundaries.
     """
     spark = docs.sparkSession
@@ -205,7 +228,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(made)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     written = ordered.mapInArrow(_write_shard(folder, tokenizer, end_id), "shard long, n_docs long, n_tokens long, file_crc32 long")
     written.write.mode("overwrite").parquet(f"{folder}/shards")
     shards = spark.read.parquet(f"{folder}/shards")
