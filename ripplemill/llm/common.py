@@ -27,8 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     return str(folder).rstrip("/")
 
 
-def batches_of(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches that Python tasks get, so that memory doesn't depend on row counts."""
+def batches_of(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
+    """Bound the Arrow batches that Python tasks get, in rows and in bytes, so that memory depends on neither count nor length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

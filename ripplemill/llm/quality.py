@@ -25,7 +25,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS,
 
     def examples(texts):
         buckets, start = ngrams(texts)
-        return [sparse(buckets[a:b]) for a, b in zip(start, start[1:])]
+        return [(i, x.astype(np.float32)) for i, x in (sparse(buckets[a:b]) for a, b in zip(start, start[1:]))]
 
     return fit(sample, examples, train_quality, Ftrl(0.5, 1.0, 0.1, 0.0), passes)
 

@@ -38,7 +38,7 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hash_of, words), dtype=U64, count=len(words))
 
 
-def in_pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def in_pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in pieces of about ``limit`` bytes of text; one longer text is a piece by itself."""
     for batch in batches:
         if not batch.num_rows:
