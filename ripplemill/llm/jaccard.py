@@ -118,10 +118,10 @@ def _reordered(late):
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Heap-merge of the short lists of each document; candidates are later documents, each once."""
     for batch in batches:
-        docs, out_a, out_b = batch.column("doc").to_pylist(), [], []
-        for doc, lists in zip(docs, batch.column("lists").to_pylist()):
+        docs, column, out_a, out_b = batch.column("doc").to_pylist(), batch.column("lists"), [], []
+        for doc, lists in zip(docs, column):  # one document's lists at a time become Python numbers
             last = None
-            for other in heapq.merge(*[sorted(x) for x in lists]):
+            for other in heapq.merge(*[sorted(x) for x in lists.as_py()]):
                 if other != last and other > doc:
                     out_a.append(doc)
                     out_b.append(other)

@@ -114,7 +114,7 @@ class Encoder:
     tokens or with rare characters, and other kinds of tokenizer, are encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 800_000):
+    def __init__(self, path: str, end_id: int, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
