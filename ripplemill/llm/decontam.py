@@ -6,10 +6,10 @@
    give the basis.
 3. Passages are 48 words, every 24 of every document. Of an item's words few may be missing
    (see 4), so of its rarest ones so many must be around a passage; where they are, the
-   passage is projected, and the item's passages that are near in cosine and whose weight
-   it covers to a fair part are its candidates.
+   passage is projected, and the item is its candidate. The cosine with the item's passages
+   gives the order in which candidates are judged, nearest first; none is left out by it.
 4. Around a candidate the longest common subsequence with the whole benchmark item is
-   taken. A document leaks the item if that holds 80% of the item's words, or 60% and the
+   taken, if enough of the item's words are there. A document leaks the item if that holds 80% of the item's words, or 60% and the
    item's answer (its last quarter) nearly whole: a paraphrase that keeps the answer.
 
 The benchmark is searched for in blocks of at most ``BLOCK`` items, one pass over the
@@ -36,7 +36,6 @@ BITS = 16
 TERMS = 1 << BITS
 RANK, EXTRA = 128, 16
 HALF = 24
-COSINE, COVERED = 0.35, 0.35
 BLOCK = 5_000
 LEAST_WORDS = 8
 LEAK, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
@@ -224,23 +223,14 @@ class Block:
         word, start = term_words(texts)
         term = buckets(word)
         doc, at, item = self._places(term, start)
-        windows, back = np.unique(at, return_inverse=True)
-        ends = start[np.searchsorted(start, windows, side="right")]
-        for first in range(0, len(windows), 2048):
-            y = self._projected(term, windows[first : first + 2048], ends[first : first + 2048])
-            some = np.flatnonzero((back >= first) & (back < first + 2048))
-            pair = np.repeat(some, np.diff(self.rows_of)[item[some]])
-            row = _counted(self.rows_of[item[some]], np.diff(self.rows_of)[item[some]])
-            of = y[back[pair] - first]
-            dot = np.einsum("ij,ij->i", of, self.rows[row])
-            near = (dot >= COSINE * self.norm[row] * np.maximum(np.linalg.norm(of, axis=1), 1e-12)) & (dot >= COVERED * self.norm[row] ** 2)
-            for k in np.unique(pair[near]):
-                d, i = int(doc[k]), int(item[k])
-                found = out[d]
-                if found.get(i, 0.0) < 1.0:
-                    share = self._verify(self.words[i], word[start[d] : start[d + 1]], int(at[k] - start[d]))
-                    if share:
-                        found[i] = max(share, found.get(i, 0.0))
+        # near passages first: a verbatim copy settles its item before the item's other places
+        for k in np.argsort(-self._nearness(term, start, at, item), kind="stable"):
+            d, i = int(doc[k]), int(item[k])
+            found = out[d]
+            if found.get(i, 0.0) < 1.0:
+                share = self._verify(self.words[i], word[start[d] : start[d + 1]], int(at[k] - start[d]))
+                if share:
+                    found[i] = max(share, found.get(i, 0.0))
         return out
 
     def _places(self, term: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,6 +255,21 @@ class Block:
         place, item = np.divmod(pairs, len(self.ids))
         return np.searchsorted(start, place, side="right") - 1, place, item
 
+    def _nearness(self, term: np.ndarray, start: np.ndarray, at: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """For each (passage, item) the cosine with the nearest of the item's passages."""
+        near = np.full(len(at), -1.0, np.float32)
+        windows, back = np.unique(at, return_inverse=True)
+        ends = start[np.searchsorted(start, windows, side="right")]
+        n = np.diff(self.rows_of)[item]
+        for first in range(0, len(windows), 2048):
+            y = self._projected(term, windows[first : first + 2048], ends[first : first + 2048])
+            y /= np.maximum(np.linalg.norm(y, axis=1), 1e-12)[:, None]
+            some = np.flatnonzero((back >= first) & (back < first + 2048))
+            for part in np.array_split(some, -(-len(some) // 16384)):
+                pair, row = np.repeat(part, n[part]), _counted(self.rows_of[item[part]], n[part])
+                np.maximum.at(near, pair, np.einsum("ij,ij->i", y[back[pair] - first], self.rows[row]) / self.norm[row])
+        return near
+
     def _projected(self, term: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         y = np.zeros((len(begin), self.weights.shape[1]), np.float32)
         for k in range(2 * HALF):

@@ -179,6 +179,47 @@ def test_leaks(spark):
     assert not any(r.contaminated for r in decontam.leaks(docs(spark, texts), bench.where("false")).collect())
 
 
+def test_leaks_of_common_words(spark):
+    """Every leak that a plain LCS finds over all pairs, in documents that are full of common words."""
+    rng = random.Random(21)
+    words, rare = ["de", "la", "el", "que", "en"], [f"t{k}" for k in range(3000)]
+    some = lambda n, share: [rng.choice(words) if rng.random() < share else rng.choice(rare) for _ in range(n)]
+    items = [some(rng.randint(15, 59), rng.choice([0.3, 0.6])) for _ in range(60)]
+    texts = []
+    for k in range(240):
+        w = list(items[k % 60])
+        n = len(w)
+        lost = rng.sample(range(n), int(n * 0.18)) if k % 4 == 1 else rng.sample(range(n - max(3, n // 4)), int(n * 0.38)) if k % 4 == 2 else []
+        texts.append(" ".join([*some(70, 0.9), *(x if j not in lost else rng.choice(rare) for j, x in enumerate(w)), *some(70, 0.9)]))
+        if k % 4 == 3:
+            texts[-1] = " ".join(some(120, 0.8))
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            left = 0
+            for j, y in enumerate(b):
+                left, row[j + 1] = row[j + 1], left + 1 if x == y else max(row[j], row[j + 1])
+        return row[-1]
+
+    def share(item, text):
+        n, best = len(item), 0.0
+        for at in range(0, 24 * max(0, -(-len(text) // 24) - 2) + 1, 24):
+            part = text[max(0, at - n) : at + 48 + n]
+            if sum(x in set(part) for x in item) < 0.6 * n:
+                continue
+            s, answer = plain(item, part) / n, item[-max(3, n // 4) :]
+            if s >= 0.8 or s >= 0.6 and plain(answer, part) >= 0.8 * len(answer):
+                best = max(best, s)
+        return best
+
+    want = {i: {k for k, w in enumerate(items) if share(w, t.split())} for i, t in enumerate(texts)}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.leaks(docs(spark, texts), bench).collect()}
+    assert sum(map(len, want.values())) >= 170
+    assert {i: r.n_items for i, r in got.items()} == {i: len(k) for i, k in want.items()}
+
+
 def test_mixing(spark):
     texts = corpus(5)
     rows = mixing.plan(docs(spark, texts)).collect()
