@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return j.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def approximate(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 16, together: int = 2, width: float = 0.25, seed: int = 11) -> DataFrame:
+    """As ``top_k``, among the vectors that share a bucket with the query in one of ``tables`` tables.
+
+    Vectors are brought to length 1 and hashed by random projections, ``together`` of them a
+    table; what is found is ranked by the exact similarity. Null vectors are near to nothing.
+    """
+    unit = Normalizer(inputCol="x", outputCol="unit", p=2.0)
+    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="h", bucketLength=width, numHashTables=tables * together, seed=seed)
+    v = unit.transform(vectors.where(F.col("embedding").isNotNull()).withColumn("x", array_to_vector(F.transform("embedding", lambda y: y.cast("double")))))
+    q = unit.transform(queries.where(F.col("q").isNotNull()).withColumn("x", array_to_vector(F.transform("q", lambda y: y.cast("double")))))
+    if v.isEmpty():
+        return top_k(vectors, queries, k).where("false")
+    model = lsh.fit(v)
+    each = lambda df: model.transform(df).withColumn("h", F.transform("h", lambda y: vector_to_array(y)[0].cast("long")))
+    keys = F.posexplode(F.array(*[F.xxhash64(F.slice("h", 1 + t * together, together)) for t in range(tables)])).alias("table", "bucket")
+    near = each(v).select("vec_id", "label", keys).join(each(q).select("query_id", "label", keys), ["label", "table", "bucket"]).where("vec_id <> query_id").select("query_id", "vec_id").distinct()
+    j = near.join(vectors, "vec_id").join(queries.select("query_id", "q"), "query_id").select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("similarity"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return j.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def not_embedded(nodes: DataFrame, embeddings: DataFrame, key: list[str]) -> DataFrame:
     return nodes.join(embeddings, key, "left_anti")
 

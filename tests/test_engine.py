@@ -3,12 +3,13 @@
 import glob
 import math
 import os
+import random
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from ripplemill.operators import evaluation, features, ingest, velocity
+from ripplemill.operators import evaluation, features, ingest, search, velocity
 from ripplemill.operators.velocity import Baseline, log_tail, upper_z
 
 SF = "/root/testdata/sf0.001"
@@ -85,6 +86,25 @@ def test_stream_and_batch_agree(spark, tmp_path):
     assert got == ingest.merge_edges(batch).count() == 5
 
 
+def test_approximate_search(spark):
+    rng = random.Random(4)
+    middle = [[rng.gauss(0, 1) for _ in range(32)] for _ in range(12)]
+    rows = [(i, [x + rng.gauss(0, 0.15) for x in middle[i % 12]], f"l{i % 2}") for i in range(600)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    q = v.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS q", "label")
+    exact, found = search.top_k(v, q), search.approximate(v, q).cache()
+    similar = {(r.query_id, r.vec_id): r.similarity for r in search.top_k(v, q, 600).collect()}
+    got = found.collect()
+    assert all(abs(similar[r.query_id, r.vec_id] - r.similarity) < 1e-9 for r in got)
+    assert any(r.vec_id % 3 == 0 for r in got) and {r["rank"] for r in got} == {1, 2, 3, 4, 5}
+    assert search.recall_at_k(exact, found).first().recall > 0.9
+
+
+def test_recall_is_of_the_index(spark):
+    exact, found = entry.queries()["v1_top_k"](spark, SF), entry.queries()["v3_approximate"](spark, SF)
+    assert entry.queries()["v4_recall"](spark, SF).first().recall == round(search.recall_at_k(exact, found).first().recall, 6)
+
+
 @pytest.mark.parametrize("name", ["p3_recent_edges", "g3_degrees", "a17_latency_percentiles", "w1_t1_velocity", "c5_trending", "e2_roc_auc", "w1_upsert_nodes", "x9_dedup"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
