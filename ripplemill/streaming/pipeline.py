@@ -1,13 +1,19 @@
-"""Structured Streaming: raw records into merged tables, and velocity with anomaly scores from mentions."""
+"""Structured Streaming: raw records into merged tables.
+
+``ingest`` writes records, edges, nodes, mentions and dead letters; what an earlier batch has
+stored isn't stored again. ``deduplicated`` and ``hopping_velocity`` are operators on streams
+of their own, which ``ingest`` doesn't call. Not built: velocity of single mentions and
+anomaly scores over a stream (the batch operators have them).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ingest import extract, merge_edges, parse
+from ..operators.ingest import extract, merge_edges, merge_nodes, parse
 
 
 def deduplicated(records: DataFrame, ts: str = "ts", within: str = "1 hour") -> DataFrame:
@@ -21,22 +27,48 @@ def hopping_velocity(mentions: DataFrame, window: str = "1 hour", hop: str = "5
     return m.groupBy(F.window("ts", window, hop), "entity_id").agg(F.count("*").alias("n_events")).select("entity_id", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n_events")
 
 
+def _stored(spark: SparkSession, path: str, number: int, schema: str) -> DataFrame:
+    """What batches other than this one have written; a replay doesn't see its own rows."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(there):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, batch long").parquet(path).where(F.col("batch") < number).drop("batch")
+
+
 def writer(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: edges, mentions and dead letters of a batch under its own number, so that a replay overwrites itself."""
+    """For foreachBatch: what is new in a batch, under its own number, so that a replay overwrites itself.
+
+    Records that an earlier batch has taken are left out, and edges that it has stored too.
+    Nodes are stored as they arrive; ``nodes`` merges them.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         records, dead = parse(batch)
-        found = extract(records).cache()
-        edges = found.select(F.explode("edges").alias("e"), F.col("offset").alias("arrival")).select("e.*", "arrival")
-        merge_edges(edges).write.mode("overwrite").parquet(f"{path}/edges/batch={number}")
-        nodes = found.select(F.explode("nodes").alias("n"), F.col("offset").alias("arrival")).select("n.*", "arrival")
+        known = _stored(spark, f"{path}/records", number, "platform string, id string")
+        same = [F.col(f"new.{c}").eqNullSafe(F.col(f"known.{c}")) for c in ("platform", "id")]
+        found = extract(records.alias("new").join(known.alias("known"), same, "left_anti")).cache()
+        edges = found.select(F.explode("edges").alias("e"), F.col("partition").alias("part"), F.col("offset").alias("arrival")).select("e.*", F.struct("part", "arrival").alias("arrival"))
+        old = _stored(spark, f"{path}/edges", number, "source_id string, target_id string, platform string, ts timestamp")
+        merge_edges(edges, old).withColumn("arrival", F.col("arrival.arrival")).write.mode("overwrite").parquet(f"{path}/edges/batch={number}")
+        seen = F.coalesce(F.try_to_timestamp("created_at"), F.try_to_timestamp("ingested_at"))
+        nodes = found.select(F.explode("nodes").alias("n"), F.col("partition").alias("part"), F.col("offset").alias("arrival"), seen.alias("seen")).select("n.*", "part", "arrival", "seen")
         nodes.write.mode("overwrite").parquet(f"{path}/nodes/batch={number}")
-        nodes.where("type IN ('named_entity', 'repo')").select(F.col("id").alias("entity_id"), "platform", "arrival").write.mode("overwrite").parquet(f"{path}/mentions/batch={number}")
+        nodes.where("type IN ('named_entity', 'repo')").select(F.col("id").alias("entity_id"), "platform", "arrival", F.col("seen").alias("ts")).write.mode("overwrite").parquet(f"{path}/mentions/batch={number}")
         dead.write.mode("overwrite").parquet(f"{path}/dead/batch={number}")
+        # last, so that a batch that stopped half way is done again whole
+        found.select("platform", "id").write.mode("overwrite").parquet(f"{path}/records/batch={number}")
         found.unpersist()
 
     return write
 
 
+def nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The stored arrivals of nodes, merged over all batches in their order."""
+    n = spark.read.parquet(f"{path}/nodes")
+    return merge_nodes(n.withColumn("arrival", F.struct("batch", "part", "arrival")))
+
+
 def ingest(raw: DataFrame, path: str, checkpoint: str, **trigger):
     return raw.writeStream.foreachBatch(writer(path)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
