@@ -10,6 +10,49 @@ def _div(a, b):
     return F.when(b != 0, a / b).otherwise(F.lit(0.0))
 
 
+def sliced(s: DataFrame, keys: list[str], slices: int = 64) -> DataFrame:
+    """``s`` with a number ``slice_`` that rises with the keys; the cuts come from a bounded sample, so slices are about even."""
+    some = s.select(*keys).orderBy(F.xxhash64(*keys)).limit(slices * 32).orderBy(*keys).collect()
+    kinds = [s.schema[k].dataType for k in keys]
+    cuts = sorted({len(some) * k // slices for k in range(1, slices)} - {0})
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, some[c], kinds)]) for c in cuts if c < len(some)]
+    if not bounds:
+        return s.withColumn("slice_", F.lit(0))
+    own = F.struct(*keys)
+    return s.withColumn("slice_", sum(((own >= b).cast("int") for b in bounds), F.lit(0)))
+
+
+def before_slices(per: DataFrame, by: list[str]) -> DataFrame:
+    """``per`` (by, slice_, n_), a row for each slice, with the sum of n_ in the slices before it."""
+    w = Window.partitionBy(*by).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
+    return per.select(*[F.col(c).alias(f"{c}_of") for c in by], F.col("slice_").alias("slice_of"), F.coalesce(F.sum("n_").over(w), F.lit(0)).alias("before_"))
+
+
+def with_before(s: DataFrame, per: DataFrame, by: list[str]) -> DataFrame:
+    on = [s[c].eqNullSafe(F.col(f"{c}_of")) for c in by] + [s["slice_"] == F.col("slice_of")]
+    return s.join(F.broadcast(before_slices(per, by)), on).drop(*[f"{c}_of" for c in by], "slice_of")
+
+
+def numbered(s: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``s`` with its row number ``r`` in the order of the keys, for each ``by``: a group's rows are ranked in slices, not in one task."""
+    cut = sliced(s, [*by, *keys])
+    per = cut.groupBy(*by, "slice_").agg(F.count("*").alias("n_"))
+    inside = F.row_number().over(Window.partitionBy(*by, "slice_").orderBy(*keys))
+    return with_before(cut, per, by).withColumn("r", inside + F.col("before_")).drop("slice_", "before_")
+
+
+def nearest_ranks(s: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """For each ``by`` the value at place floor(n * share) of its sorted values (nulls left out): equal values are counted and the counts summed in slices."""
+    counts = sliced(s.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("k")), [by, value])
+    per = counts.groupBy(by, "slice_").agg(F.sum("k").alias("n_"))
+    upto = F.sum("k").over(Window.partitionBy(by, "slice_").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    run = with_before(counts, per, [by]).withColumn("upto", upto + F.col("before_"))
+    all_ = per.groupBy(F.col(by).alias("of_")).agg(F.sum("n_").alias("all_"))
+    run = run.join(F.broadcast(all_), F.col(by).eqNullSafe(F.col("of_")))
+    at = lambda q: F.floor(F.col("all_") * q)
+    return run.groupBy(by).agg(*[F.min(F.when((F.col("upto") > at(q)) & (F.col("upto") - F.col("k") <= at(q)), F.col(value))).alias(c) for c, q in shares.items()])
+
+
 def scorecard(s: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``s`` (y 0/1, p): accuracy, precision, recall and F1 of both classes, macro F1, Brier score."""
     hat = (F.col("p") >= threshold).cast("int")
@@ -98,17 +141,21 @@ def bootstrap_gain(s: DataFrame, replicates: int = 200, seed: int = 5) -> DataFr
     return g.agg(F.avg("gain").alias("gain"), F.percentile("gain", 0.025).alias("low"), F.percentile("gain", 0.975).alias("high"))
 
 
+def _hashed(s: DataFrame, seed: int) -> DataFrame:
+    return numbered(s.withColumn("hash_", F.xxhash64("row_id", F.lit(seed))), ["hash_", "row_id"], ["y"]).drop("hash_")
+
+
 def stratified(s: DataFrame, n: int, seed: int = 3) -> DataFrame:
     """n // 2 rows of each class, by hashed row."""
-    order = Window.partitionBy("y").orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id")
-    return s.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n // 2).drop("r")
+    return _hashed(s, seed).where(F.col("r") <= n // 2).drop("r")
 
 
 def temporal_split(s: DataFrame, share: float = 0.8) -> DataFrame:
     """The first ``floor(n * share)`` rows in time are for training."""
-    r = s.withColumn("r", F.row_number().over(Window.orderBy("t", "row_id"))).withColumn("n", F.count("*").over(Window.partitionBy()))
+    n = s.agg(F.count("*").alias("n"))
+    r = numbered(s, ["t", "row_id"], []).crossJoin(F.broadcast(n))
     return r.withColumn("train", F.col("r") <= F.floor(F.col("n") * share)).drop("r", "n")
 
 
 def folds(s: DataFrame, k: int = 5, seed: int = 3) -> DataFrame:
-    return s.withColumn("fold", ((F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id")) - 1) % k).cast("int"))
+    return _hashed(s, seed).withColumn("fold", ((F.col("r") - 1) % k).cast("int")).drop("r")

@@ -27,10 +27,16 @@ def velocity(m: DataFrame, window_s: float = 3600.0) -> DataFrame:
 
 
 def late_velocity(m: DataFrame, window_s: float = 3600.0) -> DataFrame:
-    """Velocity in order of arrival: the window reaches back from the newest time seen, and counts what has arrived."""
+    """Velocity in order of arrival: the window reaches back from the newest time seen, and counts what has arrived.
+
+    Times are put in buckets of the window's length, so a mention meets those of one or two
+    buckets of its entity only.
+    """
     seen = m.withColumn("newest", F.max("t").over(Window.partitionBy("entity_id").orderBy("arrival")))
-    a, b = seen.alias("a"), m.alias("b")
-    joined = a.join(b, (F.col("a.entity_id") == F.col("b.entity_id")) & (F.col("b.arrival") <= F.col("a.arrival")) & (F.col("b.t") >= F.col("a.newest") - window_s))
+    bucket = lambda t: F.floor(t / window_s)
+    a = seen.withColumn("bucket", F.explode(F.sequence(bucket(F.col("newest") - window_s), bucket(F.col("newest"))))).alias("a")
+    b = m.withColumn("bucket", bucket(F.col("t"))).alias("b")
+    joined = a.join(b, (F.col("a.entity_id") == F.col("b.entity_id")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("b.arrival") <= F.col("a.arrival")) & (F.col("b.t") >= F.col("a.newest") - window_s))
     return joined.groupBy("a.entity_id", "a.arrival").agg(F.count("*").alias("n_events"))
 
 

@@ -86,6 +86,38 @@ def test_stream_and_batch_agree(spark, tmp_path):
     assert got == ingest.merge_edges(batch).count() == 5
 
 
+@pytest.mark.parametrize("name", ["o6_temporal_split", "w2_t8_late_velocity"])
+def test_sliced_against_sql(spark, name):
+    test_against_sql(spark, name)
+
+
+def test_groups_are_ranked_in_slices(spark):
+    rows = [(i, i % 7 // 6 if i % 50 else None, float(i * 37 % 500 // 5) if i % 31 else None) for i in range(3000)]
+    s = spark.createDataFrame(rows, "row_id long, y int, t double")
+    cut = evaluation.sliced(s, ["y", "t", "row_id"]).groupBy("slice_").count().collect()
+    assert len(cut) == 64 and max(r["count"] for r in cut) < 3000 / 16
+    want = {i: k + 1 for k, (i, _, _) in enumerate(sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0.0, r[0])))}
+    assert {r.row_id: r.r for r in evaluation.numbered(s, ["t", "row_id"], []).collect()} == want
+    fold = evaluation.folds(s).groupBy("y", "fold").count().collect()
+    assert len(fold) == 15 and all(max(r["count"] for r in fold if r.y == y) - min(r["count"] for r in fold if r.y == y) <= 1 for y in (0, 1, None))
+    got = {r.y: (r.a, r.b) for r in evaluation.nearest_ranks(s, "y", "t", {"a": 0.5, "b": 0.99}).collect()}
+    for y in (0, 1, None):
+        v = sorted(t for _, g, t in rows if g == y and t is not None)
+        assert got[y] == (v[len(v) // 2], v[math.floor(len(v) * 0.99)])
+
+
+def test_late_velocity_joins_by_bucket(spark):
+    rng = random.Random(2)
+    rows = [("e", "hn", float(i * 10 + rng.randint(-300, 0)), i) for i in range(400)]
+    m = spark.createDataFrame(rows, "entity_id string, platform string, t double, arrival long")
+    found = velocity.late_velocity(m, 60)
+    assert "bucket" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.arrival: r.n_events for r in found.collect()}
+    for i in range(400):
+        newest = max(r[2] for r in rows[: i + 1])
+        assert got.get(i, 0) == sum(r[2] >= newest - 60 for r in rows[: i + 1])
+
+
 def test_later_batches_merge(spark, tmp_path):
     from ripplemill.streaming import pipeline as stream
 
