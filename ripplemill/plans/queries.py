@@ -106,6 +106,20 @@ def p11_strip_nul(spark, sf):
     return d.select("doc_id", F.get_json_object(S.strip_nul(raw), "$.a").alias("a"))
 
 
+@query
+def p10_plausible_words(spark, sf):
+    """All words of all documents; p10_plausible_entities judges a document's first."""
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    return table(spark, sf, "documents").select("doc_id", F.size(F.filter(words, S.plausible_entity)).alias("plausible"), F.size(words).alias("words")).transform(_r)
+
+
+@query
+def p11_strip_nul_all(spark, sf):
+    """Texts of all documents with a NUL put in; p11_strip_nul takes every third document."""
+    raw = F.to_json(F.struct(F.concat(F.col("text"), F.lit("\x00x")).alias("a")))
+    return table(spark, sf, "documents").select("doc_id", F.get_json_object(S.strip_nul(raw), "$.a").alias("a"))
+
+
 @query
 def p13_p14_verdicts(spark, sf):
     s = _scored(spark, sf).withColumn("verdict", F.when(F.col("row_id") % 3 == 0, "organic").when(F.col("row_id") % 3 == 1, "coordinated_amplification").otherwise("uncertain"))
@@ -167,6 +181,15 @@ def j12_attribution(spark, sf):
     return A.attribute(found, onsets).transform(_r)
 
 
+@query
+def j12_fired_attribution(spark, sf):
+    """As j12_attribution, with the detections that the cumulative sum fires."""
+    m = A.mentions(graph(spark, sf).edges)
+    fired = A.sequential_scores(A.velocity(m), 2.0).where("fired").select("entity_id", "arrival")
+    onsets = m.where("arrival % 200 = 0").select("entity_id", F.col("t").alias("onset"))
+    return A.attribute(m.join(fired, ["entity_id", "arrival"]).select("entity_id", "t"), onsets).transform(_r)
+
+
 @query
 def a2_g10_top_nodes(spark, sf):
     g = graph(spark, sf)
@@ -445,7 +468,7 @@ def _raw(spark, sf):
     kind = F.col("doc_id") % 5
     rec = F.struct(
         F.concat(F.lit("r"), F.floor(F.col("doc_id") / 2)).alias("id"), F.element_at(F.array(*map(F.lit, ["bluesky", "mastodon", "hn", "github", "bluesky"])), (kind + 1).cast("int")).alias("platform"),
-        F.when(kind == 3, "PushEvent").otherwise("post").alias("type"), F.col("source").alias("author"), F.substring("text", 1, 200).alias("text"), F.substring("text", 1, 60).alias("title"),
+        F.when(kind == 3, "PushEvent").otherwise("post").alias("type"), F.col("source").alias("author"), "text", F.col("text").alias("title"),
         F.array("lang").alias("langs"), F.array(F.concat(F.lit("Tag"), F.col("source"))).alias("tags"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("r"), F.floor(F.col("doc_id") / 4))).alias("parent_id"),
         F.col("source").alias("repo"), F.col("lang").alias("actor"), F.lit("2026-01-01T00:00:00").alias("ingested_at"),
     )

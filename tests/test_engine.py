@@ -86,6 +86,18 @@ def test_stream_and_batch_agree(spark, tmp_path):
     assert got == ingest.merge_edges(batch).count() == 5
 
 
+def test_whole_inputs(spark, tmp_path):
+    late = "word " * 100 + "Big Tech"
+    d = spark.createDataFrame([(i, late, "en", "s", len(late)) for i in range(6)] + [(6, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    q = {n: f(spark, str(tmp_path)) for n, f in entry.queries().items() if n in ("x2_x5_extract", "p10_plausible_words", "p11_strip_nul_all")}
+    assert {r.platform for r in q["x2_x5_extract"].where("edge_type = 'mentions'").collect()} == {"bluesky", "mastodon", "hn"}
+    assert {r.doc_id: r.plausible for r in q["p10_plausible_words"].collect()} == {**dict.fromkeys(range(6), 102), 6: 0}
+    assert {r.doc_id: r.a for r in q["p11_strip_nul_all"].collect()} == {**dict.fromkeys(range(6), late + "x"), 6: None}
+    fired = entry.queries()["j12_fired_attribution"](spark, SF)
+    assert fired.count() == entry.queries()["j12_attribution"](spark, SF).count()
+
+
 @pytest.mark.parametrize("name", ["o6_temporal_split", "w2_t8_late_velocity"])
 def test_sliced_against_sql(spark, name):
     test_against_sql(spark, name)
