@@ -625,7 +625,7 @@ def e10_threshold_sweep(spark, sf):
 
 @query
 def e11_bootstrap(spark, sf):
-    return E.bootstrap_gain(_scored(spark, sf))
+    return E.bootstrap_gain(_scored(spark, sf)).transform(_r)
 
 
 @query

@@ -6,6 +6,7 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -98,6 +99,27 @@ def test_whole_inputs(spark, tmp_path):
     assert fired.count() == entry.queries()["j12_attribution"](spark, SF).count()
 
 
+def test_bootstrap(spark):
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 200)
+    p, q = np.round(np.clip(y * 0.3 + rng.random(200) * 0.7, 0, 1), 2), np.round(np.clip(y * 0.1 + rng.random(200) * 0.9, 0, 1), 2)
+
+    def stats(s, i):
+        a, h = y[i], s[i] >= 0.5
+        pos, neg = s[i][a == 1][:, None], s[i][a == 0][None]
+        f1 = [2 * ((h == c) & (a == c)).sum() / ((h == c).sum() + (a == c).sum()) for c in (0, 1)]
+        return np.array([((pos > neg) + (pos == neg) / 2).mean(), sum(f1) / 2, (h == a).mean()])
+
+    draws = [rng.integers(0, 200, 200) for _ in range(2000)]
+    want = np.array([stats(p, i) - stats(q, i) for i in draws])
+    s = spark.createDataFrame([(k, int(a), float(b), float(c)) for k, (a, b, c) in enumerate(zip(y, p, q))], "row_id long, y int, p double, q double")
+    got = evaluation.bootstrap_gain(s).first()
+    assert got.replicates == 2000
+    for k, name in enumerate(("auc_", "f1_", "")):
+        for c, x in (("gain", want[:, k].mean()), ("low", np.percentile(want[:, k], 2.5)), ("high", np.percentile(want[:, k], 97.5))):
+            assert abs(got[name + c] - x) < 0.02
+
+
 @pytest.mark.parametrize("name", ["o6_temporal_split", "w2_t8_late_velocity"])
 def test_sliced_against_sql(spark, name):
     test_against_sql(spark, name)
