@@ -13,19 +13,6 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-class _Hashes(dict):
-    """Hash of each word met; emptied when it has grown, so that memory is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hash_of = _Hashes().__getitem__
-
-
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
     x = x + U64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64))
@@ -35,7 +22,9 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hash_of, words), dtype=U64, count=len(words))
+    """Each distinct word is hashed once; nothing is kept from call to call."""
+    known = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
+    return np.fromiter(map(known.__getitem__, words), dtype=U64, count=len(words))
 
 
 def in_pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
