@@ -37,6 +37,12 @@ from .words import in_pieces
 
 END_ID = 2
 SAMPLE = 256
+#: Values that are encoded at a time (a multiple of 8 and of ``SAMPLE``).
+PIECE = 4096
+#: Bytes of text a shard, about.
+SHARD_BYTES = 32 << 20
+#: Words that an encoder remembers.
+MOST_WORDS = 150_000
 
 
 class EliasFano:
@@ -47,16 +53,37 @@ class EliasFano:
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
+        """Of all values at once; they are written in pieces, so that only a piece is held in wide numbers."""
         values = np.asarray(values, dtype=np.uint64)
-        n = len(values)
-        top = int(values[-1]) + 1 if n else 1
-        low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        parts = values[:, None] >> np.arange(low_bits, dtype=np.uint64) & np.uint64(1)
-        low = np.packbits(parts.astype(np.uint8).ravel(), bitorder="little").tobytes()
-        ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        bits = np.zeros(int(ones[-1]) + 1 if n else 0, dtype=np.uint8)
-        bits[ones] = 1
-        return cls(n, low_bits, low, np.packbits(bits, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u8" if n and ones[-1] >> 32 else "<u4"))
+        return cls.of_pieces(lambda: (values[a : a + PIECE] for a in range(0, len(values), PIECE)), len(values), int(values[-1]) if len(values) else 0)
+
+    @classmethod
+    def of_lengths(cls, lengths: array) -> EliasFano:
+        """Of the running sums of ``lengths``."""
+
+        def pieces():
+            base = 0
+            for a in range(0, len(lengths), PIECE):
+                ends = base + np.cumsum(np.frombuffer(lengths[a : a + PIECE], lengths.typecode), dtype=np.uint64)
+                base = ends[-1]
+                yield ends
+
+        return cls.of_pieces(pieces, len(lengths), sum(lengths))
+
+    @classmethod
+    def of_pieces(cls, pieces, n: int, last: int) -> EliasFano:
+        low_bits = max(0, ((last + 1) // max(n, 1)).bit_length() - 1)
+        high = np.zeros(((last >> low_bits) + n + 7) // 8 if n else 0, np.uint8)
+        low, samples, at = [], [], 0
+        for values in pieces():
+            parts = values[:, None] >> np.arange(low_bits, dtype=np.uint64) & np.uint64(1)
+            low.append(np.packbits(parts.astype(np.uint8).ravel(), bitorder="little").tobytes())
+            ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(at, at + len(values))
+            np.bitwise_or.at(high, ones >> 3, (1 << (ones & 7)).astype(np.uint8))
+            samples.append(ones[-at % SAMPLE :: SAMPLE])
+            at += len(values)
+        samples = np.concatenate(samples) if samples else np.zeros(0, np.int64)
+        return cls(n, low_bits, b"".join(low), high.tobytes(), samples.astype("<u8" if 8 * len(high) >> 32 else "<u4"))
 
     def select(self, i: int) -> int:
         """The i-th value, without reading the sequence."""
@@ -75,14 +102,6 @@ class EliasFano:
         chunk = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8], "little")
         return (place - i) << self.low_bits | chunk >> first % 8 & (1 << self.low_bits) - 1
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
-        values = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little", count=self.n * self.low_bits)
-        for k in range(self.low_bits):
-            values |= bits[k :: self.low_bits].astype(np.uint64) << np.uint64(k)
-        return values
-
     def parts(self) -> tuple[dict, list[bytes]]:
         sizes = {"n": self.n, "low_bits": self.low_bits, "low": len(self.low), "high": len(self.high), "samples": len(self.samples), "sample_type": self.samples.dtype.str}
         return sizes, [self.low, self.high, self.samples.tobytes()]
@@ -106,15 +125,23 @@ LETTER, NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3
 WORDS = re.compile(rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBER}]+| ?[^\t-\r {LETTER}{NUMBER}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
+def start_up_texts() -> list[str]:
+    """Every character that words are cut at or made of, in each kind of neighbourhood."""
+    every = [c for c in map(chr, range(0x2028)) if not UNSURE.match(c)]
+    around = ["a", "Z", "7", " ", "\n", "'", "s", ".", "\u00e9", "\u00b2"]
+    return ["".join(f"{x}{c}{y} {c}{c}" for x in around for y in around[::3]) for c in every]
+
+
 class Encoder:
     """The tokenizer's ids of whole texts as bytes, with a store of the words met lately.
 
     Byte-level BPE merges inside words only, so a text's ids are those of its words one
     after another: each distinct word is given to the tokenizer once. Texts with special
-    tokens or with rare characters, and other kinds of tokenizer, are encoded whole.
+    tokens or with rare characters are encoded whole. So are all texts with another kind of
+    tokenizer, or if the start-up check finds that words and whole texts give other ids.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    def __init__(self, path: str, end_id: int, most: int = MOST_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -130,6 +157,10 @@ class Encoder:
             self.width[i] = len(name)
         special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(special)) if special else None
+        if self.by_word:
+            texts = start_up_texts()
+            self.by_word = self(texts) == self._whole(texts)
+            self.known.clear()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -164,31 +195,22 @@ class Encoder:
         return [self._whole([t])[0] if words is None else b"".join(map(of, words)) for t, words in zip(texts, each)]
 
 
-_loaded: dict = {}
-
-
-def _encoder(path: str, end_id: int) -> Encoder:
-    """One for all tasks that a Python worker runs."""
-    if (path, end_id) not in _loaded:
-        _loaded[path, end_id] = Encoder(path, end_id)
-    return _loaded[path, end_id]
-
-
 def _write_shard(folder: str, tokenizer: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, store = TaskContext.get().partitionId(), None
-        encode, lengths, ids, crc, out = _encoder(tokenizer, end_id), [], [], 0, None
-        kind = encode.kind
-        end = np.array([end_id], kind).tobytes()
+        # 32 bits a length will do: a text has less than 2**31 bytes
+        lengths, ids, crc, out = array("I"), [], 0, None
         for piece in in_pieces(batches, limit=3 << 20):
             if out is None:
                 store, path = _store(folder)
+                encode = Encoder(tokenizer, end_id)
+                kind, end = encode.kind, np.array([end_id], encode.kind).tobytes()
                 # each attempt writes files of its own; the last step puts them in place
                 name, mark = f"{path}/{shard:06d}", uuid.uuid4().hex
                 out = store.open_output_stream(f"{name}.ids.{mark}")
             texts = [t or "" for t in piece.column("text").to_pylist()]
             parts = [x + end for x in encode(texts)]
-            lengths += [len(x) // kind.itemsize for x in parts]
+            lengths.extend(len(x) // kind.itemsize for x in parts)
             data = b"".join(parts)
             crc = zlib.crc32(data, crc)
             out.write(data)
@@ -200,8 +222,7 @@ def _write_shard(folder: str, tokenizer: str, end_id: int):
         nulls = ids.null_count
         known = ids.drop_null().to_numpy()
         least = int(known[0]) if len(known) else 0
-        ends = np.cumsum(np.array(lengths, dtype=np.int64))
-        (a, bytes_a), (b, bytes_b) = EliasFano.of(ends).parts(), EliasFano.of((known - least).astype(np.uint64)).parts()
+        (a, bytes_a), (b, bytes_b) = EliasFano.of_lengths(lengths).parts(), EliasFano.of((known - least).astype(np.uint64)).parts()
         header = {"kind": "ids with Elias-Fano ends", "version": 1, "id_type": kind.str, "nulls": nulls, "least": least, "ends": a, "doc_ids": b}
         with store.open_output_stream(f"{name}.idx.{mark}") as f:
             f.write(json.dumps(header).encode() + b"\n")
@@ -209,7 +230,7 @@ def _write_shard(folder: str, tokenizer: str, end_id: int):
                 f.write(x)
         for kept in ("ids", "idx"):
             store.move(f"{name}.{kept}.{mark}", f"{name}.{kept}")
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(lengths)], "n_tokens": [int(ends[-1])], "file_crc32": [crc]})
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(lengths)], "n_tokens": [sum(lengths)], "file_crc32": [crc]})
 
     return write
 
@@ -218,8 +239,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """Encode ``docs`` (doc_id, text) into files in ``folder`` (a URI all tasks can write); return the manifest.
 
     One shuffle by ranges of doc_id (equal ones: of the text's first characters, since Spark
-    samples what it cuts ranges by) orders the documents; shards are as many as shuffle
-    partitions. No task holds more than a piece of text and its shard's boundaries.
+    samples what it cuts ranges by) orders the documents, in shards of about ``SHARD_BYTES``.
+    No task holds more than a piece of text and its shard's lengths and doc_ids.
     """
     spark = docs.sparkSession
     batches_of(spark)
@@ -228,7 +249,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(made)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ordered = rows.repartitionByRange(1 + int(size) // SHARD_BYTES, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     written = ordered.mapInArrow(_write_shard(folder, tokenizer, end_id), "shard long, n_docs long, n_tokens long, file_crc32 long")
     written.write.mode("overwrite").parquet(f"{folder}/shards")
     shards = spark.read.parquet(f"{folder}/shards")
@@ -239,7 +261,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
 
 def open_shard(folder: str, shard: int):
-    """(id type, ends, doc_ids in order, stream of the ids) of one shard."""
+    """(id type, ends, doc_id of the i-th document, stream of the ids) of one shard."""
     store, path = _store(folder)
     with store.open_input_stream(f"{path}/{shard:06d}.idx") as f:
         raw = f.read()
@@ -249,21 +271,23 @@ def open_shard(folder: str, shard: int):
 
     body = io.BytesIO(rest)
     ends, known = EliasFano.read(h["ends"], body), EliasFano.read(h["doc_ids"], body)
-    doc_ids = [None] * h["nulls"] + (known.all().astype(np.int64) + h["least"]).tolist()
-    return np.dtype(h["id_type"]), ends, doc_ids, store.open_input_stream(f"{path}/{shard:06d}.ids")
+    doc_id = lambda i: None if i < h["nulls"] else known.select(i - h["nulls"]) + h["least"]
+    return np.dtype(h["id_type"]), ends, doc_id, store.open_input_stream(f"{path}/{shard:06d}.ids")
 
 
 def _read_shards(folder: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, base in zip(*(batch.column(c).to_pylist() for c in ("shard", "base"))):
-                kind, ends, doc_ids, f = open_shard(folder, shard)
-                stop = ends.all().astype(np.int64)
-                start = np.concatenate(([0], stop[:-1]))
-                for a in range(0, len(stop), 2000):
-                    b = min(a + 2000, len(stop))
-                    crcs = [zlib.crc32(np.frombuffer(f.read(int(n) * kind.itemsize), kind).astype("<u4")) for n in (stop - start)[a:b]]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[a:b], pa.int64()), "start": pa.array(start[a:b] + base), "n_tokens": pa.array((stop - start)[a:b]), "ids_crc32": pa.array(crcs, pa.int64())})
+                kind, ends, doc_id, f = open_shard(folder, shard)
+                stop = 0
+                for a in range(0, ends.n, 2000):
+                    rows = []
+                    for i in range(a, min(a + 2000, ends.n)):
+                        start, stop = stop, ends.select(i)
+                        ids = np.frombuffer(f.read((stop - start) * kind.itemsize), kind)
+                        rows.append((doc_id(i), base + start, stop - start, zlib.crc32(ids.astype("<u4"))))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
                 f.close()
 
     return read
