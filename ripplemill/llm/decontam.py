@@ -1,22 +1,25 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed terms over all documents.
-2. A randomised SVD of the benchmark's TF-IDF passages: tasks multiply their passages with
-   a random matrix and its successor, the sums (terms of the benchmark x rank, no passages)
-   give the basis.
-3. Passages are 48 words, every 24 of every document. Of an item's words few may be missing
-   (see 4), so of its rarest ones so many must be around a passage; where they are, the
-   passage is projected, and the item is its candidate. The cosine with the item's passages
-   gives the order in which candidates are judged, nearest first; none is left out by it.
-4. Around a candidate the longest common subsequence with the whole benchmark item is
-   taken, if enough of the item's words are there. A document leaks the item if that holds 80% of the item's words, or 60% and the
-   item's answer (its last quarter) nearly whole: a paraphrase that keeps the answer.
-
-The benchmark is searched for in blocks of at most ``BLOCK`` items, one pass over the
-documents for each, so what is broadcast is bounded. Items with fewer than 8 words can't
-be told from chance and are left out, as are null ones. Null and empty texts leak nothing.
-Rows are judged one by one, repeated ones alike. Other columns are ignored (or kept, by
-``keep_clean``).
+2. The benchmark is taken in blocks of about ``PASSAGES`` passages. For each a randomised SVD
+   of the TF-IDF passages: tasks multiply their passages with a random matrix and its
+   successor, the sums (terms of the block x rank, no passages) give the basis. Directions
+   are divided by their singular values (damped), so that rare topics weigh as much as
+   common ones; a passage that holds an item then lies near it whatever else it holds.
+3. Every document is cut into stretches of 16 words; 32 words (for items of up to 32) and 48
+   words (for longer ones, in passages of 48 words), every 16, are projected, and the items
+   with a cosine of ``COSINE`` or more are a passage's candidates. Nothing else finds any.
+4. Around a candidate (an item's length on either side) the item's words are counted, and
+   where there are enough the longest common subsequence with the whole item is taken. A
+   document leaks the item if that holds 80% of the item's words, or 60% and the item's
+   answer (its last quarter) nearly whole: a paraphrase that keeps the answer.
+
+Items of 5 to 7 words leak where all their words follow one another, shorter ones where they
+are the whole document: fewer words in common say nothing. Null items are left out. Null and
+empty texts leak nothing. Rows are judged one by one, repeated ones alike; items with one
+item_id are items of their own. A benchmark of more than ``TOGETHER`` blocks takes one pass
+over the documents for each so many, so what is broadcast is bounded. Empty tables give no
+rows, or no leaks. Other columns are ignored (or kept, by ``keep_clean``).
 """
 
 from __future__ import annotations
@@ -30,14 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, batches_of
-from .words import U64, hashes, in_pieces, mix
+from .words import U64, Runs, hashes, in_pieces, mix
 
 BITS = 16
 TERMS = 1 << BITS
-RANK, EXTRA = 128, 16
-HALF = 24
-BLOCK = 5_000
-LEAST_WORDS = 8
+RANK, EXTRA = 192, 16
+#: Words of a stretch, and the stretches of a passage: for short items, and for others.
+STRETCH, SHORT, FULL = 16, 2, 3
+PASSAGES, TOGETHER = 256, 16
+COSINE, DAMPING = 0.45, 0.6
+LEAST_WORDS, LEAST_RUN = 8, 5
 LEAK, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 SEED = 41
 #: Lower case; signs are spaces.
@@ -79,16 +84,12 @@ def idf_of(docs: DataFrame) -> np.ndarray:
     return np.log((n + 1) / (df + 1)) + 1
 
 
-def passage_starts(n: int, size: int = 2 * HALF, step: int = HALF) -> list[int]:
-    """Passages of ``size`` words; the last ends with the text."""
-    return sorted({*range(0, max(n - size, 0) + 1, step), max(n - size, 0)})
-
-
 def item_passages(words: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(terms, tf-idf weights) of an item's passages."""
-    out = []
-    for a in passage_starts(len(words)):
-        i, n = np.unique(buckets(words[a : a + 2 * HALF]), return_counts=True)
+    """(terms, tf-idf weights) of an item's passages of 48 words, every 24; the last ends with the item."""
+    size, out = FULL * STRETCH, []
+    last = max(len(words) - size, 0)
+    for a in sorted({*range(0, last + 1, size // 2), last}):
+        i, n = np.unique(buckets(words[a : a + size]), return_counts=True)
         out.append((i, n * idf[i]))
     return out
 
@@ -124,7 +125,7 @@ def _add(table: pa.Table) -> pa.Table:
 
 
 def basis(items: DataFrame, idf: np.ndarray, rank: int = RANK, tasks: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """The leading right singular vectors of the items' passages, by randomised SVD.
+    """The leading right singular vectors of the items' passages, by randomised SVD, over the damped singular values.
 
     (the row of each term, rows x rank): only terms of the items have a row of their own,
     the others share the last one, which is zero. There are 2**16 terms at most.
@@ -144,14 +145,15 @@ def basis(items: DataFrame, idf: np.ndarray, rank: int = RANK, tasks: int = 8) -
         z = np.zeros(m.shape, np.float32)
         for r in got.toLocalIterator():
             z[r["slab"] : r["slab"] + slab] = np.frombuffer(r["part"], np.float32).reshape(-1, z.shape[1])
-        shared.unpersist()
+        shared.destroy()
         if step == 0:
             m = np.linalg.qr(z)[0]
     # m' A'A m is small; its eigenvectors turn m towards the singular vectors
     values, turn = np.linalg.eigh((m.T @ z).astype(np.float64))
     keep = np.argsort(-values)[:rank]
     keep = keep[values[keep] > 1e-6 * max(values.max(), 1e-30)]
-    space = (m @ turn[:, keep].astype(np.float32)).astype(np.float32)
+    single = np.sqrt(values[keep])
+    space = ((m @ turn[:, keep].astype(np.float32)) / np.sqrt(single**2 + (DAMPING * single.mean()) ** 2)).astype(np.float32)
     return row, np.concatenate((space, np.zeros((1, space.shape[1]), np.float32)))
 
 
@@ -167,122 +169,132 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def _counted(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... for each entry, ``n`` numbers each."""
-    ends = np.cumsum(n)
-    return np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Block:
-    """What tasks need of some benchmark items; its size is bounded by the number of items."""
+    """What tasks need of some benchmark items; its size is bounded by the number of their passages."""
 
     def __init__(self, ids: list[int], texts: list[bytes], idf: np.ndarray, row: np.ndarray, space: np.ndarray):
         word, start = term_words(texts)
         self.row, self.weights = row, space.copy()
         known = np.flatnonzero(row < len(space) - 1)
         self.weights[row[known]] *= idf[known, None].astype(np.float32)
-        self.ids, self.words, self.of, rows = [], [], [], []
+        self.ids, self.words, of, rows = [], [], [], []
+        self.runs: dict[int, dict[int, list[int]]] = {}  # of short items: length, hash, items
         for k, (a, b) in enumerate(zip(start, start[1:])):
             if b - a >= LEAST_WORDS:
                 for i, v in item_passages(word[a:b], idf):
                     rows.append(v.astype(np.float32) @ space[row[i]])
-                    self.of.append(len(self.ids))
-                self.ids.append(ids[k])
-                self.words.append(word[a:b])
-        self.rows = np.array(rows, np.float32).reshape(len(rows), space.shape[1])
-        self.norm = np.maximum(np.linalg.norm(self.rows, axis=1), 1e-12)
-        self.of = np.array(self.of, np.int64)
-        self.rows_of = np.searchsorted(self.of, np.arange(len(self.ids) + 1))
-        self._keys(idf)
-
-    def _keys(self, idf: np.ndarray) -> None:
-        """For each item its rarest words, and how many of them any leak must hold."""
-        n = np.array([len(w) for w in self.words], np.int64)
-        may_miss = n - np.ceil(PARAPHRASE * n - 1e-9).astype(np.int64)
-        self.size, self.need = n, np.maximum(1, n // 5)
-        item, term = [], []
-        for k, words in enumerate(self.words):
-            at = buckets(words)
-            rare = np.unique(at[np.argsort(-idf[at], kind="stable")[: may_miss[k] + self.need[k]]])
-            item.append(np.full(len(rare), k))
-            term.append(rare)
-        if not term:
-            return
-        item, term = np.concatenate(item), np.concatenate(term)
-        order = np.argsort(term, kind="stable")
-        self.listed, known, first = item[order], *np.unique(term[order], return_index=True)
-        self.list_start = np.append(first, len(order))
-        self.key = np.full(TERMS, -1, np.int32)
-        self.key[known] = np.arange(len(known))
+                    of.append(len(self.ids))
+            elif b > a:
+                whole = int(Runs(word[a:b]).of(np.zeros(1, np.int64), int(b - a))[0])
+                self.runs.setdefault(int(b - a), {}).setdefault(whole, []).append(len(self.ids))
+            else:
+                continue
+            self.ids.append(ids[k])
+            self.words.append(word[a:b])
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        rows, of = np.array(rows, np.float32).reshape(len(rows), space.shape[1]), np.array(of, np.int64)
+        rows /= np.maximum(np.linalg.norm(rows, axis=1), 1e-12)[:, None]
+        short = self.size[of] <= SHORT * STRETCH if len(of) else np.zeros(0, bool)
+        #: (stretches of a passage, items' passages as columns, their items)
+        self.scales = [(n, np.ascontiguousarray(rows[at].T), of[at]) for n, at in ((SHORT, short), (FULL, ~short)) if at.any()]
+        # the items' words, numbered, in a table of one row an item
+        self.vocabulary = np.unique(word)
+        self.table = np.full((len(self.words), int(self.size.max(initial=0))), len(self.vocabulary), np.int32)
+        for k, w in enumerate(self.words):
+            self.table[k, : len(w)] = np.searchsorted(self.vocabulary, w)
 
     def search(self, texts: list[bytes | None]) -> list[dict[int, float]]:
         """For each text the items it leaks, with the share of their words."""
         out: list[dict[int, float]] = [{} for _ in texts]
-        if not len(self.ids):
+        if not self.ids:
             return out
         word, start = term_words(texts)
-        term = buckets(word)
-        doc, at, item = self._places(term, start)
+        doc, at, item, near = self._candidates(buckets(word), start)
+        enough = self._enough(word, start, doc, at, item)
+        doc, at, item, near = doc[enough], at[enough], item[enough], near[enough]
         # near passages first: a verbatim copy settles its item before the item's other places
-        for k in np.argsort(-self._nearness(term, start, at, item), kind="stable"):
+        for k in np.argsort(-near, kind="stable"):
             d, i = int(doc[k]), int(item[k])
             found = out[d]
             if found.get(i, 0.0) < 1.0:
                 share = self._verify(self.words[i], word[start[d] : start[d + 1]], int(at[k] - start[d]))
                 if share:
                     found[i] = max(share, found.get(i, 0.0))
+        self._whole_runs(word, start, out)
         return out
 
-    def _places(self, term: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first word of a passage, item) wherever enough of the item's rare words are around the passage."""
-        key = self.key[term]
-        hit = np.flatnonzero(key >= 0)
-        n = np.diff(self.list_start)[key[hit]]
-        item, at = self.listed[_counted(self.list_start[key[hit]], n)], np.repeat(hit, n)
-        order = np.argsort(item, kind="stable")
-        item, at = item[order], at[order]
-        last = np.minimum(np.arange(len(at)) + self.need[item] - 1, len(at) - 1)
-        doc = np.searchsorted(start, at, side="right") - 1
-        reach = 2 * HALF + self.size[item]
-        ok = (np.arange(len(at)) + self.need[item] <= len(at)) & (item[last] == item) & (doc[last] == doc) & (at[last] - at < reach + self.size[item])
-        item, doc, low, high = item[ok], doc[ok], (at[last] - reach + 1)[ok], (at + self.size[item])[ok]
-        a, final = start[doc], np.maximum(0, -(-(start[doc + 1] - start[doc]) // HALF) - 2)
-        low = np.maximum(0, -(-(low - a) // HALF))
-        low, high = np.minimum(low, final), np.minimum((high - a) // HALF, final)
-        n = np.maximum(0, high - low + 1)
-        place = np.repeat(a, n) + HALF * _counted(low, n)
-        pairs = np.unique(place * len(self.ids) + np.repeat(item, n))
-        place, item = np.divmod(pairs, len(self.ids))
-        return np.searchsorted(start, place, side="right") - 1, place, item
-
-    def _nearness(self, term: np.ndarray, start: np.ndarray, at: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """For each (passage, item) the cosine with the nearest of the item's passages."""
-        near = np.full(len(at), -1.0, np.float32)
-        windows, back = np.unique(at, return_inverse=True)
-        ends = start[np.searchsorted(start, windows, side="right")]
-        n = np.diff(self.rows_of)[item]
-        for first in range(0, len(windows), 2048):
-            y = self._projected(term, windows[first : first + 2048], ends[first : first + 2048])
-            y /= np.maximum(np.linalg.norm(y, axis=1), 1e-12)[:, None]
-            some = np.flatnonzero((back >= first) & (back < first + 2048))
-            for part in np.array_split(some, -(-len(some) // 16384)):
-                pair, row = np.repeat(part, n[part]), _counted(self.rows_of[item[part]], n[part])
-                np.maximum.at(near, pair, np.einsum("ij,ij->i", y[back[pair] - first], self.rows[row]) / self.norm[row])
-        return near
+    def _candidates(self, term: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word of a passage, item, cosine) wherever a passage lies near one of the item's."""
+        n = -(-np.diff(start) // STRETCH)
+        of = np.repeat(np.arange(len(n)), n)
+        first = start[of] + STRETCH * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+        last = np.repeat(np.cumsum(n), n)  # stretches of a text end here
+        found = []
+        step = 2048
+        for s in range(0, len(of), step):
+            e = min(s + step, len(of))
+            y = self._projected(term, first[s : e + FULL - 1], start[of[s : e + FULL - 1] + 1])
+            for size, columns, items in self.scales:
+                p = y[: e - s].copy()
+                for j in range(1, size):
+                    more = np.flatnonzero(np.arange(s, e) + j < last[s:e])
+                    p[more] += y[more + j]
+                p /= np.maximum(np.linalg.norm(p, axis=1), 1e-12)[:, None]
+                c = p @ columns
+                w, col = np.nonzero(c >= COSINE)
+                found.append((of[s + w], first[s + w], items[col], c[w, col]))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
 
     def _projected(self, term: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The sum of the terms of each stretch in the latent space."""
         y = np.zeros((len(begin), self.weights.shape[1]), np.float32)
-        for k in range(2 * HALF):
+        for k in range(STRETCH):
             inside = begin + k < end
-            y[inside] += self.weights[self.row[term[begin[inside] + k]]]
+            if inside.all():
+                y += self.weights[self.row[term[begin + k]]]
+            else:
+                y[inside] += self.weights[self.row[term[begin[inside] + k]]]
         return y
 
+    def _enough(self, word: np.ndarray, start: np.ndarray, doc: np.ndarray, at: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether enough of the item's words are around a candidate for the word rules to hold."""
+        out = np.zeros(len(at), bool)
+        if not len(at):
+            return out
+        number = np.minimum(np.searchsorted(self.vocabulary, word), len(self.vocabulary) - 1)
+        number = np.where(self.vocabulary[number] == word, number, len(self.vocabulary)).astype(np.int32)
+        order = np.argsort(at, kind="stable")
+        for part in np.split(order, range(256, len(order), 256)):
+            places, back = np.unique(at[part], return_inverse=True)
+            there = np.zeros((len(places), len(self.vocabulary) + 1), bool)
+            reach = np.zeros(len(places), np.int64)
+            np.maximum.at(reach, back, self.size[item[part]])
+            texts = np.zeros(len(places), np.int64)
+            texts[back] = doc[part]
+            for k, (p, r, d) in enumerate(zip(places, reach, texts)):
+                there[k, number[max(start[d], p - r) : min(start[d + 1], p + FULL * STRETCH + r)]] = True
+            there[:, -1] = False
+            out[part] = there[back[:, None], self.table[item[part]]].sum(1) >= PARAPHRASE * self.size[item[part]]
+        return out
+
+    def _whole_runs(self, word: np.ndarray, start: np.ndarray, out: list[dict[int, float]]) -> None:
+        """Items of too few words for the rest: whole runs of words, or whole texts."""
+        if not self.runs:
+            return
+        runs, n = Runs(word), np.diff(start)
+        for length, known in self.runs.items():
+            at = np.arange(max(0, len(word) - length + 1)) if length >= LEAST_RUN else start[:-1][n == length]
+            d = np.searchsorted(start, at, side="right") - 1
+            at, d = at[at + length <= start[d + 1]], d[at + length <= start[d + 1]]
+            value = runs.of(at, length)
+            for k in np.flatnonzero(np.isin(value, np.array(list(known), dtype=U64))):
+                for i in known[int(value[k])]:
+                    out[int(d[k])][i] = 1.0
+
     @staticmethod
     def _verify(item: np.ndarray, word: np.ndarray, at: int) -> float:
         n = len(item)
-        text, words = word[max(0, at - n) : at + 2 * HALF + n].tolist(), item.tolist()
-        if sum(map(set(text).__contains__, words)) < PARAPHRASE * n:
-            return 0.0
+        text, words = word[max(0, at - n) : at + FULL * STRETCH + n].tolist(), item.tolist()
         share = lcs(words, text) / n
         if share >= LEAK:
             return share
@@ -290,64 +302,86 @@ class Block:
         return share if share >= PARAPHRASE and lcs(answer, text) >= ANSWER * len(answer) else 0.0
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame):
-    """The benchmark as broadcast blocks, with the idf and the basis made once."""
+def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[list, bool]]:
+    """The benchmark as broadcast blocks, up to ``TOGETHER`` at a time, and whether they are the last; the idf is made once."""
     spark = docs.sparkSession
     batches_of(spark)
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    n = items.count()
+    # about one passage for each 24 words
+    n, passages = items.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.lit(1), F.ceil(F.size(F.split("text", r"\s+")) / 24) - 1)), F.lit(0))).first()
     if not n:
         return
     idf = idf_of(docs)
-    row, space = basis(items, idf)
-    blocks = -(-n // BLOCK)
-    for k in range(blocks):
-        rows = (items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items).orderBy("item_id", "text").collect()
-        yield spark.sparkContext.broadcast(Block([r.item_id for r in rows], [r.text.encode() for r in rows], idf, row, space))
+    blocks = -(-int(passages) // PASSAGES)
+    for first in range(0, blocks, TOGETHER):
+        made = []
+        for k in range(first, min(first + TOGETHER, blocks)):
+            own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+            rows = own.orderBy("item_id", "text").collect()
+            if rows:
+                row, space = basis(own, idf)
+                made.append(spark.sparkContext.broadcast(Block([r.item_id for r in rows], [r.text.encode() for r in rows], idf, row, space)))
+        yield made, first + TOGETHER >= blocks
+
+
+FOUND = "n_items long, best_item long, best_share double"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, best_item, best_share for each row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    schema = "doc_id long, n_items long, best_item long, best_share double"
-    parts = [rows.mapInArrow(_judge(block), schema) for block in _blocks(docs, benchmark)]
-    if not parts:
-        return rows.select("doc_id", F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("best_item"), F.lit(0.0).alias("best_share"))
-    out = parts[0]
-    if len(parts) > 1:
-        space = Workspace(docs.sparkSession, "leaks")
-        out = space.keep(parts[0], "block-0")
-        for k, part in enumerate(parts[1:], 1):
-            out = out.union(space.keep(part, f"block-{k}"))
-        best = F.max_by(F.struct("best_item", "best_share"), F.struct("best_share", -F.col("best_item")))
-        out = out.groupBy("doc_id").agg(F.sum("n_items").alias("n_items"), best.alias("b")).select("doc_id", "n_items", "b.best_item", F.coalesce("b.best_share", F.lit(0.0)).alias("best_share"))
-    return out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "best_item", "best_share")
-
-
-def _judge(block):
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("best_item"), F.lit(0.0).alias("best_share"))
+    space, before = None, None
+    for k, (blocks, last) in enumerate(_blocks(docs, benchmark)):
+        if before is not None:  # what an earlier pass found, with the texts, is written: its blocks can go
+            space = space or Workspace(docs.sparkSession, "leaks")
+            rows = space.keep(rows, f"pass-{k}")
+            for b in before:
+                b.destroy()
+            if k > 1:
+                space.drop(f"pass-{k - 1}")
+        rows, before = rows.mapInArrow(_judge(blocks, last), f"doc_id long, {FOUND}" if last else f"doc_id long, text binary, {FOUND}"), blocks
+    return rows.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "best_item", "best_share")
+
+
+def _judge(blocks: list, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = block.value
         for piece in in_pieces(batches):
-            found = b.search(piece.column("text").to_pylist())
-            best = [max(((s, -b.ids[i]) for i, s in f.items()), default=(0.0, None)) for f in found]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([len(f) for f in found], pa.int64()), pa.array([None if x[1] is None else -x[1] for x in best], pa.int64()), pa.array([float(x[0]) for x in best])], ["doc_id", "n_items", "best_item", "best_share"])
+            texts = piece.column("text").to_pylist()
+            count, best = piece.column("n_items").to_pylist(), [(s, None if i is None else -i) for s, i in zip(piece.column("best_share").to_pylist(), piece.column("best_item").to_pylist())]
+            for block in blocks:
+                ids = block.value.ids
+                for k, found in enumerate(block.value.search(texts)):
+                    count[k] += len(found)
+                    best[k] = max([best[k], *((s, -ids[i]) for i, s in found.items())], key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+            columns = [pa.array(count, pa.int64()), pa.array([None if i is None else -i for _, i in best], pa.int64()), pa.array([float(s) for s, _ in best])]
+            out = pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text"), *columns], ["doc_id", "text", "n_items", "best_item", "best_share"])
+            yield out.select(["doc_id", "n_items", "best_item", "best_share"]) if last else out
 
     return run
 
 
-def _clean(block):
+def _clean(blocks: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = block.value
         for piece in in_pieces(batches):
-            found = b.search(piece.column("text").cast(pa.binary()).to_pylist())
-            yield piece.filter(pa.array([not f for f in found], pa.bool_()))
+            texts = piece.column("text").cast(pa.binary()).to_pylist()
+            leaked = np.zeros(len(texts), bool)
+            for block in blocks:
+                leaked |= [bool(f) for f in block.value.search(texts)]
+            yield piece.filter(pa.array(~leaked))
 
     return run
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all their columns."""
-    out = docs
-    for block in _blocks(docs, benchmark):
-        out = out.mapInArrow(_clean(block), docs.schema)
+    out, space, before = docs, None, None
+    for k, (blocks, _) in enumerate(_blocks(docs, benchmark)):
+        if before is not None:
+            space = space or Workspace(docs.sparkSession, "clean")
+            out = space.keep(out, f"pass-{k}")
+            for b in before:
+                b.destroy()
+            if k > 1:
+                space.drop(f"pass-{k - 1}")
+        out, before = out.mapInArrow(_clean(blocks), docs.schema), blocks
     return out
