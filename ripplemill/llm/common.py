@@ -82,9 +82,9 @@ def buckets_for(df: DataFrame, text: str, size: int = 32 << 20) -> int:
     return min(100_000, 1 + int(total) // size)
 
 
-def broadcast_if_small(df: DataFrame, values: int, bound: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, values: int) -> DataFrame:
     """``values``: the counted number of values in ``df``. Beyond the bound Spark joins by shuffling."""
-    return F.broadcast(df) if values <= bound else df
+    return F.broadcast(df) if values <= BROADCAST_ROWS else df
 
 
 def components(edges: DataFrame, space: Workspace, name: str = "components") -> DataFrame:
