@@ -1,23 +1,25 @@
 """Exact substring dedup over words, by level-wise doubling.
 
 A window of 50 words is removed if its word sequence also starts in a document with a
-smaller doc_id. Only what repeats at 25 words can repeat at 50:
-
-level 25: of each document, the places that are the least (by hash) of some 26 places in a
-row are noted; every window of 50 words holds one such place, the same one in each of its
-copies. Words are compared by 64-bit hashes of whole runs.
-level 50: the windows whose noted place repeats in another document are taken at their full
-length; those that start in an earlier document too are removed. No longer level is needed,
-for a word is covered by a removed window of 50 words or by none.
-
-Documents with the same words throughout are settled first: the smallest doc_id of them
-goes through the levels, of the others every word goes (if there are 50). So copies never
-meet in one task. Texts are shuffled only if what is known about documents is too large
-to broadcast.
+smaller doc_id. A window can repeat only if shorter runs inside it do, so lengths go up
+from ``START`` by at most doubling, here 13, 25, 50:
+
+* first level: each window notes one run of 13 words inside it, the least by hash, which is
+  the same one in each of its copies. So all windows are judged by few distinct runs.
+* each further level: every window whose run repeats in another document is extended to
+  twice the length (around the run, inside the window); the others are gone for good. The
+  loop ends when no window survives, or at the windows themselves: those that start in an
+  earlier document too are removed. Longer levels can't add anything, for a word is covered
+  by a removed window of 50 words or by none.
+
+Runs are compared by 64-bit hashes of their words. Documents with the same words throughout
+are settled first: the smallest doc_id of them goes through the levels, of the others every
+word goes (if there are 50). So copies never meet in one task. Texts are dealt once, into
+buckets by doc_id; each level shuffles what is known about documents to them.
 
 Null, empty and short texts lose nothing. Rows with equal doc_id are compared with smaller
-doc_ids, not with each other. A null doc_id is no smaller than any and loses nothing.
-Other columns are ignored.
+doc_ids, not with each other. A null doc_id is no smaller than any and loses nothing. An
+empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,30 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, batches_of, broadcast_if_small
+from .common import Workspace, batches_of, broadcast_if_small, buckets_for
 from .words import Runs, flat, in_pieces, split
 
 WINDOW = 50
+START = 13
+
+
+def levels(window: int, start: int) -> list[int]:
+    """Two or more lengths up to ``window``, each at most twice the one before, from ``start`` on if that is less."""
+    out = [-(-window // 2), window]
+    while (half := -(-out[0] // 2)) >= start:
+        out.insert(0, half)
+    return out
 
 
-def noted_places(runs: Runs, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, hash) of the half-length runs that are least in some stretch of half + 1 places."""
-    half = window // 2
-    span = window - half + 1
-    texts, places, values = [], [], []
-    for k, (a, b) in enumerate(zip(start, start[1:])):
-        if b - a < window:
-            continue
-        h = runs.of(np.arange(a, b - half + 1), half)
-        at = least_places(h, span)
-        texts.append(np.full(len(at), k))
-        places.append(at)
-        values.append(h[at])
-    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return join(texts, np.int64), join(places, np.int64), join(values, np.uint64)
-
-
-def designated(h: np.ndarray, span: int) -> np.ndarray:
+def noted(h: np.ndarray, span: int) -> np.ndarray:
     """For each stretch of ``span`` places, its least one; of equals the first."""
     n = len(h) - span + 1
     view = np.lib.stride_tricks.sliding_window_view(h, span)
@@ -63,49 +57,55 @@ def designated(h: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
-def least_places(h: np.ndarray, span: int) -> np.ndarray:
-    return np.unique(designated(h, span))
+def noted_of(runs: Runs, a: int, b: int, window: int, first: int) -> np.ndarray:
+    """The noted place of each window of the text with words a to b, counted from a."""
+    return noted(runs.of(np.arange(a, b - first + 1), first), window - first + 1)
 
 
-def _level_half(window: int):
+def _first_level(window: int, first: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in in_pieces(batches):
             each, start = split(piece.column("text").to_pylist())
-            runs = Runs(flat(each))
-            text, _, value = noted_places(runs, start, window)
-            n = np.diff(start)
+            runs, n = Runs(flat(each)), np.diff(start)
+            values = [runs.of(a + np.unique(noted_of(runs, a, b, window, first)), first) if b - a >= window else np.zeros(0, np.uint64) for a, b in zip(start, start[1:])]
             whole = runs.of(start[:-1], n).view(np.int64)
-            offsets = np.searchsorted(text, np.arange(len(each) + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.view(np.int64)))
             kept = [hashlib.sha256(b" ".join(words)).hexdigest() for words in each]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(whole), pa.array(kept), lists], ["doc_id", "n_words", "print", "kept_sha256", "halves"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(whole), pa.array(kept), _lists([v.view(np.int64) for v in values], pa.int64())], ["doc_id", "n_words", "print", "kept_sha256", "values"])
 
     return run
 
 
-def _level_full(window: int):
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), kind))
+
+
+def _next_level(window: int, first: int, before: int, length: int):
+    """Windows whose run of ``before`` words repeats (``hits``), with their runs of ``length`` words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = window // 2
         for piece in in_pieces(batches, limit=2 << 20):
             each, start = split(piece.column("text").to_pylist())
-            runs = Runs(flat(each))
-            n = np.diff(start)
+            runs, n = Runs(flat(each)), np.diff(start)
             prints = runs.of(start[:-1], n).view(np.int64)
             known, hits = piece.column("print").to_numpy(), piece.column("hits")
-            at, value, of = [], [], [0]
+            places, values = [], []
             for k, (a, b) in enumerate(zip(start, start[1:])):
+                at = np.zeros(0, np.int64)
                 if b - a >= window and prints[k] == known[k]:
-                    h = runs.of(np.arange(a, b - half + 1), half)
-                    place = np.flatnonzero(np.isin(h[designated(h, window - half + 1)].view(np.int64), hits[k].values.to_numpy()))
-                    at.append(place)
-                    value.append(runs.of(a + place, window).view(np.int64))
-                    of.append(of[-1] + len(place))
+                    place = noted_of(runs, a, b, window, first)
+                    # the run of a level begins where the noted one does, or ends with the window
+                    of = lambda s, size: a + np.minimum(place[s], s + window - size)  # noqa: E731, B023
+                    s = np.arange(len(place))
+                    at = np.flatnonzero(np.isin(runs.of(of(s, before), before).view(np.int64), hits[k].values.to_numpy()))
+                    value = runs.of(of(at, length), length).view(np.int64)
                 else:
-                    of.append(of[-1])
-            offsets = pa.array(np.array(of, np.int32))
-            places = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(at).astype(np.int32) if at else np.zeros(0, np.int32)))
-            values = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(value) if value else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("print"), places, values], ["doc_id", "print", "places", "values"])
+                    value = at
+                if length < window:
+                    value, at = np.unique(value), at[:0]
+                places.append(at)
+                values.append(value)
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("print"), _lists(places, pa.int32()), _lists(values, pa.int64())], ["doc_id", "print", "places", "values"])
 
     return run
 
@@ -144,43 +144,55 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class SubstringDedup:
-    def __init__(self, docs: DataFrame, window: int = WINDOW):
-        self.spark, self.window = docs.sparkSession, window
+    def __init__(self, docs: DataFrame, window: int = WINDOW, start: int = START):
+        self.spark, self.window, self.levels = docs.sparkSession, window, levels(window, start)
         batches_of(self.spark)
         self.space = Workspace(self.spark, "substrings")
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+        self.docs = self.space.keep_dealt(docs, "docs", "doc_id", buckets_for(docs, "text"))
 
-    def _with_text(self, known: DataFrame, values: int) -> DataFrame:
-        return self.docs.join(broadcast_if_small(known, values, 4_000_000), "doc_id")
+    def _with_text(self, known: DataFrame) -> DataFrame:
+        return self.docs.join(known.hint("shuffle_hash"), "doc_id")
 
     def known(self) -> DataFrame:
         """One row a document: n_words, print, kept_sha256 of all its words, and ``first``, the smallest doc_id with its words."""
         if not hasattr(self, "_known"):
-            level = self.space.keep(self.docs.mapInArrow(_level_half(self.window), "doc_id long, n_words long, print long, kept_sha256 string, halves array<long>"), "halves")
+            level = self.space.keep(self.docs.mapInArrow(_first_level(self.window, self.levels[0]), "doc_id long, n_words long, print long, kept_sha256 string, values array<long>"), "noted")
             repeated = level.where("n_words > 0").groupBy("print", "n_words").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-            self._known = level.join(repeated, ["print", "n_words"], "left").withColumn("first", F.coalesce("first", "doc_id"))
+            repeated = self.space.keep(repeated, "repeated")
+            self._known = level.join(broadcast_if_small(repeated, 3 * repeated.count()), ["print", "n_words"], "left").withColumn("first", F.coalesce("first", "doc_id"))
         return self._known
 
+    def _hits(self, rows: DataFrame, length: int) -> DataFrame:
+        """(doc_id, print, hits): of ``rows`` (doc_id, print, value) the values that another document has too."""
+        rows = self.space.keep(rows, f"values-{length}")
+        twice = rows.groupBy("value").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("value")
+        # written, so that the join has shuffles of its own, which Spark splits where a value is in very many documents
+        twice = self.space.keep(twice, f"twice-{length}")
+        hits = rows.join(twice, "value", "left_semi").groupBy("doc_id", "print").agg(F.collect_list("value").alias("hits"))
+        return self.space.keep(hits, f"hits-{length}")
+
     def removed(self) -> DataFrame:
         """(doc_id, print, ranges) of the documents that are not whole copies and lose words; ranges of word places."""
         space, w = self.space, self.window
-        halves = self.known().where(f"n_words >= {w} AND doc_id = first").select("doc_id", "print", F.explode("halves").alias("half")).distinct()
-        halves = space.keep(halves, "places")
-        twice = halves.groupBy("half").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("half")
-        twice = space.keep(twice, "twice")
-        hits = halves.join(broadcast_if_small(twice, twice.count()), "half", "left_semi").groupBy("doc_id", "print").agg(F.collect_list("half").alias("hits"))
-        hits = space.keep(hits, "hits")
-        full = self._with_text(hits, hits.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]).select("doc_id", "text", "print", "hits").mapInArrow(_level_full(w), "doc_id long, print long, places array<int>, values array<long>")
-        full = space.keep(full, "full")
+        rows = self.known().where(f"n_words >= {w} AND doc_id = first").select("doc_id", "print", F.explode("values").alias("value")).distinct()
+        for before, length in zip(self.levels, self.levels[1:]):
+            hits = self._hits(rows, before)
+            full = self._with_text(hits).select("doc_id", "text", "print", "hits").mapInArrow(_next_level(w, self.levels[0], before, length), "doc_id long, print long, places array<int>, values array<long>")
+            full = space.keep(full.where(F.size("values") > 0), f"level-{length}")
+            space.drop(f"values-{before}")
+            rows = full.select("doc_id", "print", F.explode("values").alias("value"))
+            if full.isEmpty():
+                break
         rows = full.select("doc_id", "print", F.explode(F.arrays_zip("places", "values")).alias("x")).select("doc_id", "print", F.col("x.places").alias("place"), F.col("x.values").alias("value"))
-        first = rows.groupBy("value").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("value", "a")
+        first = space.keep(rows.groupBy("value").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("value", "a"), "first")
         late = rows.join(first, "value").where("doc_id > a").groupBy("doc_id", "print").agg(F.collect_list("place").alias("places"))
         return space.keep(late.mapInArrow(_ranges(w), "doc_id long, print long, ranges array<int>"), "ranges")
 
     def result(self) -> DataFrame:
         """doc_id, n_words, n_removed, kept_sha256 for each row."""
         ranges = self.removed()
-        cut = self._with_text(ranges, ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]).select("doc_id", "text", "print", "ranges").mapInArrow(_cut, "doc_id long, print long, n_removed long, kept binary")
+        cut = self._with_text(ranges).select("doc_id", "text", "print", "ranges").mapInArrow(_cut, "doc_id long, print long, n_removed long, kept binary")
         cut = self.space.keep(cut.select("doc_id", "print", "n_removed", F.sha2("kept", 256).alias("cut_sha256")).distinct(), "cut")
         copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= self.window)
         rows = self.known().drop("halves").join(cut, ["doc_id", "print"], "left")
