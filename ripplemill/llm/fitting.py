@@ -11,15 +11,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, batches_of
 from .linear import Ftrl
 from .words import in_pieces
 
-#: Labelled documents used, at most. They are those whose hashed doc_id is least.
+#: Labelled documents used, at most, and bytes of their texts. They are those whose hashed doc_id is least.
 MAX_TRAINING_DOCS = 12_000
+MAX_TRAINING_BYTES = 96 << 20
 SHARDS = 4
 
 
@@ -34,7 +35,15 @@ def training_docs(docs: DataFrame, labels: DataFrame, label: str, held: Column,
     picked = known.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(max_docs)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     # the sample's bound is the bound of what is broadcast
-    return text.join(F.broadcast(picked), "doc_id").select((F.pmod("rank", F.lit(SHARDS * 7919)) % SHARDS).cast("int").alias("shard"), "rank", "y", "text")
+    rows = text.join(F.broadcast(picked), "doc_id")
+    # where the bytes are enough, by rank; a window over the sample's lengths alone, repeated doc_ids counted each
+    upto = F.sum("bytes").over(Window.orderBy("rank").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    lengths = rows.groupBy("rank").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    held = F.coalesce(F.col("upto"), F.lit(0)) <= MAX_TRAINING_BYTES
+    last, first = lengths.withColumn("upto", upto).agg(F.max(F.when(held, F.col("rank"))), F.min("rank")).first()
+    # a first document that is larger by itself is the sample
+    rows = rows.where(F.col("rank") <= F.lit(last if last is not None else first))
+    return rows.select((F.pmod("rank", F.lit(SHARDS * 7919)) % SHARDS).cast("int").alias("shard"), "rank", "y", "text")
 
 
 def _shard_learner(learn: Callable, options: tuple, state):
@@ -76,7 +85,7 @@ def fit(sample: DataFrame, examples: Callable, learn: Callable, model: Ftrl, pas
             change[0][i] += np.frombuffer(row["dz"])
             change[1][i] += np.frombuffer(row["dn"])
         model = Ftrl(*options, z=model.z + change[0] / np.maximum(seen, 1), n=model.n + change[1] / np.maximum(seen, 1))
-        state.unpersist()
+        state.destroy()
     space.drop("features")
     return model
 

@@ -25,6 +25,15 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _place(doc_id: Column, seed: int) -> Column:
+    """Where a document stands in the seeded order of its source."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("-"))).cast("binary"))
+
+
+def _tie(text: Column) -> Column:
+    return F.coalesce(F.xxhash64(text.cast("string").cast("binary")), F.lit(0))
+
+
 def water_fill(sources: DataFrame, total_share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
     """``sources`` (source, weight double, source_size long), one row each, with ``target`` added.
 
@@ -55,14 +64,14 @@ def cycled_weights(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), total_share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, digits: int = 3) -> DataFrame:
-    """(doc_id, source, size, source_size, target, repeats, taken, place) for each document.
+    """(doc_id, source, size, source_size, target, repeats, taken, whole, place, tie) for each document.
 
     The seeded order of a source is by a digest of seed and doc_id. Its first hex digits
     put a source's documents into 16**digits slices, so that running sums are taken inside
     slices and over slices, never over one source in one task.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("tie"))
-    rows = rows.withColumn("place", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))).withColumn("slice", F.substring("place", 1, digits))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), _tie(F.col("text")).alias("tie"))
+    rows = rows.withColumn("place", _place(F.col("doc_id"), seed)).withColumn("slice", F.substring("place", 1, digits))
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     targets = water_fill(cycled_weights(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights), total_share, max_epochs)
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -78,18 +87,23 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), total_sh
     joined = rows.join(s, rows["source"].eqNullSafe(s["s_source"]) & (rows["slice"] == s["s_slice"])).drop("s_source", "s_slice")
     # a document (repeated rows: all of them) belongs to the fractional repetition if its middle lies below the missing words
     extra = (F.col("slices_before") + F.col("docs_upto") - F.col("equal_rows") * F.col("size") / 2 < F.col("missing")).cast("long")
-    return joined.withColumn("repeats", F.col("whole") + F.when(F.col("size") > 0, extra).otherwise(0)).select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), "place", "tie")
+    return joined.withColumn("repeats", F.col("whole") + F.when(F.col("size") > 0, extra).otherwise(0)).select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), "whole", "place", "tie")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as planned, with its own columns.
 
-    Texts are not shuffled while the plan's counted rows may be broadcast.
+    The fractional repetition is the beginning of a source's seeded order, so all that a row
+    must be held against is where its source's ends: one row a source. Texts aren't shuffled.
     """
     space = Workspace(docs.sparkSession, "mix")
-    planned = plan(docs, **options).groupBy("doc_id", "source", "tie").agg(F.max("repeats").cast("int").alias("_repeats")).where("_repeats > 0")
-    c = space.keep(planned.withColumnsRenamed({"doc_id": "_id", "source": "_source", "tie": "_tie"}), "plan")
-    c = broadcast_if_small(c, c.count())
-    tie = F.coalesce(F.crc32(docs["text"].cast("binary")), F.lit(0))
-    joined = docs.join(c, docs["doc_id"].cast("long").eqNullSafe(c["_id"]) & docs["source"].cast("string").eqNullSafe(c["_source"]) & (tie == c["_tie"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
+    last = F.max(F.when(F.col("repeats") > F.col("whole"), F.struct("place", "tie"))).alias("last")
+    ends = space.keep(plan(docs, seed=seed, **options).groupBy("source").agg(F.max("whole").alias("whole"), last).withColumnRenamed("source", "of"), "ends")
+    ends = broadcast_if_small(ends, 4 * ends.count())
+    # the row is one column by itself, so its own names can't clash with those used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(ends, F.col("row.source").cast("string").eqNullSafe(F.col("of")))
+    at = F.struct(_place(F.col("row.doc_id").cast("long"), seed).alias("place"), _tie(F.col("row.text")).alias("tie"))
+    extra = F.when(F.col("row.text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.coalesce(at <= F.col("last"), F.lit(False)).cast("int")).otherwise(0)
+    rows = rows.withColumn("repeats", F.col("whole").cast("int") + extra).where("repeats > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*")
