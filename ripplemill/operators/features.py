@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import reshare_trees, structural_virality, tree_authors
+from .graph import TREE_DEPTH, ancestries, reshare_trees, structural_virality, tree_authors
+from .working import written
 
 REUSE_S = 21600.0
 
@@ -100,7 +101,7 @@ def root_attachment(tree: DataFrame, steps: int = 200) -> DataFrame:
     """The share a of children that choose the root (else any earlier post alike) of greatest likelihood, on a grid."""
     i = F.row_number().over(Window.partitionBy("root_id").orderBy("t", "target_id")) - 1
     e = tree.select("root_id", (F.col("source_id") == F.col("root_id")).cast("double").alias("is_root"), i.alias("i"))
-    # equal terms are summed once: grid points meet (root, i), whose number is the tree's size
+    # the window has dealt the rows by root, so that neither the grid nor its sums are shuffled
     g = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("a", F.col("k") / steps)
     x = F.col("a") * F.col("is_root") + (1 - F.col("a")) / (F.col("i") + 1)
     ll = g.groupBy("root_id", "k").agg(F.sum(F.when(x > 0, F.log(x)).otherwise(F.lit(-1e300))).alias("ll"))
@@ -108,10 +109,11 @@ def root_attachment(tree: DataFrame, steps: int = 200) -> DataFrame:
 
 
 def all_features(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    # every family reads them, and a recursive query is not shared between branches of a plan
-    tree = reshare_trees(edges, roots).persist()
-    authors = tree_authors(edges, tree, roots).persist()
+    """All families joined; what they all read is written once."""
+    roots, paths = written(roots, "roots"), ancestries(edges.where("edge_type = 'reshare'"), TREE_DEPTH)
+    tree = written(reshare_trees(edges, roots, paths=paths), "tree")
+    authors = written(tree_authors(edges, tree, roots), "authors")
     out = structure(tree)
-    for part in (timing(tree, authors), platforms(tree, authors), author_reuse(tree, authors), structural_virality(edges, roots), root_attachment(tree)):
+    for part in (timing(tree, authors), platforms(tree, authors), author_reuse(tree, authors), structural_virality(edges, roots, paths=paths), root_attachment(tree)):
         out = out.join(part, "root_id", "left")
     return out.fillna(0)

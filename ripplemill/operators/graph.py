@@ -1,28 +1,55 @@
-"""Traversal of the propagation graph: recursive queries for paths, joins by level for sets."""
+"""Traversal of the propagation graph by joins.
+
+From one node, levels are joined one after another, each written before the next. For all
+cascades at once, paths are doubled: those of length k joined with themselves give those of
+length 2k, so a depth of 40 takes six joins instead of forty.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from functools import reduce
 
-TREE_DEPTH = 40
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from .working import written
 
-def _recursive(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(sql, **views)
+TREE_DEPTH = 40
 
 
 def propagation_path(edges: DataFrame, root: str, max_depth: int = 6) -> DataFrame:
     """All paths from ``root``: one row an edge of a path, with its depth. Cycles end at the depth limit."""
-    sql = f"""
-      WITH RECURSIVE p(source_id, target_id, edge_type, platform, ts, depth) AS (
-        SELECT source_id, target_id, edge_type, platform, ts, 1 FROM {{edges}} WHERE source_id = '{root}'
-        UNION ALL
-        SELECT e.source_id, e.target_id, e.edge_type, e.platform, e.ts, p.depth + 1
-        FROM {{edges}} e JOIN p ON e.source_id = p.target_id WHERE p.depth < {max_depth})
-      SELECT * FROM p"""
-    return _recursive(edges.sparkSession, sql, edges=edges)
+    columns = [c for c in ("source_id", "target_id", "edge_type", "platform", "ts", "t") if c in edges.columns]
+    level = edges.where(F.col("source_id") == F.lit(root)).select(*columns, F.lit(1).alias("depth"))
+    levels = [written(level, "level")]
+    for depth in range(2, max_depth + 1):
+        reached = levels[-1].groupBy(F.col("target_id").alias("source_id")).agg(F.count("*").alias("times"))
+        # a node that several paths reach is left by each of them
+        level = edges.join(reached, "source_id").select(*columns, F.lit(depth).alias("depth"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("col")
+        level = written(level, "level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return reduce(DataFrame.union, levels)
+
+
+def ancestries(edges: DataFrame, max_depth: int = TREE_DEPTH) -> DataFrame:
+    """(node, above, d): every path of at most ``max_depth`` edges that leads down from ``above`` to ``node``, by doubling."""
+    exact = found = written(edges.select(F.col("target_id").alias("node"), F.col("source_id").alias("above"), F.lit(1).alias("d")), "paths")
+    k = 1
+    while k < max_depth:
+        # from a path of k edges on upwards, by a shorter one or one as long: each longer path arises once
+        more = found.select(F.col("node").alias("above"), F.col("above").alias("top"), F.col("d").alias("e"))
+        longer = written(exact.join(more, "above").where(F.col("d") + F.col("e") <= max_depth).select("node", F.col("top").alias("above"), (F.col("d") + F.col("e")).alias("d")), "paths")
+        found, k = found.union(longer), 2 * k
+        exact = longer.where(F.col("d") == k)
+        if exact.isEmpty():
+            break
+    return found
+
+
+def on_platform(edges: DataFrame, platform: str | None = None) -> DataFrame:
+    return edges if platform is None else edges.where(F.col("platform") == F.lit(platform))
 
 
 def cascade_size(edges: DataFrame, root: str, max_depth: int = 10) -> DataFrame:
@@ -45,17 +72,13 @@ def cascade_roots(edges: DataFrame) -> DataFrame:
     return r.select(F.col("source_id").alias("root_id")).distinct().join(r.select(F.col("target_id").alias("root_id")), "root_id", "left_anti")
 
 
-def reshare_trees(edges: DataFrame, roots: DataFrame, max_depth: int = TREE_DEPTH) -> DataFrame:
-    """(root_id, source_id, target_id, ts, t, platform, depth) for all roots at once."""
-    r = edges.where("edge_type = 'reshare'")
-    sql = f"""
-      WITH RECURSIVE tree(root_id, source_id, target_id, ts, t, platform, depth) AS (
-        SELECT r.root_id, e.source_id, e.target_id, e.ts, e.t, e.platform, 1 FROM {{e}} e JOIN {{r}} r ON e.source_id = r.root_id
-        UNION ALL
-        SELECT p.root_id, e.source_id, e.target_id, e.ts, e.t, e.platform, p.depth + 1
-        FROM {{e}} e JOIN tree p ON e.source_id = p.target_id WHERE p.depth < {max_depth})
-      SELECT * FROM tree"""
-    return _recursive(edges.sparkSession, sql, e=r, r=roots)
+def reshare_trees(edges: DataFrame, roots: DataFrame, max_depth: int = TREE_DEPTH, paths: DataFrame | None = None) -> DataFrame:
+    """(root_id, source_id, target_id, ts, t, platform, depth) for all roots at once; ``paths``: the reshares' ancestries, if known."""
+    r = edges.where("edge_type = 'reshare'").select("source_id", "target_id", "ts", "t", "platform")
+    paths = ancestries(r, max_depth - 1) if paths is None else paths
+    above = paths.where(F.col("d") < max_depth).join(roots.select(F.col("root_id").alias("above")), "above").select(F.col("above").alias("root_id"), F.col("node").alias("source_id"), F.col("d"))
+    above = above.union(roots.select("root_id", "root_id", F.lit(0)))
+    return r.join(above, "source_id").select("root_id", "source_id", "target_id", "ts", "t", "platform", (F.col("d") + 1).alias("depth"))
 
 
 def tree_authors(edges: DataFrame, tree: DataFrame, roots: DataFrame) -> DataFrame:
@@ -65,20 +88,14 @@ def tree_authors(edges: DataFrame, tree: DataFrame, roots: DataFrame) -> DataFra
     return posts.join(a, "content_id").select("root_id", "content_id", "author_id", "t", "platform")
 
 
-def structural_virality(edges: DataFrame, roots: DataFrame, max_depth: int = TREE_DEPTH) -> DataFrame:
-    """Mean distance of all pairs of a tree's posts, from the sizes of the subtrees below its edges.
-
-    Each post carries its ancestors down the recursion, so one pass gives every subtree's size.
-    """
-    sql = f"""
-      WITH RECURSIVE tree(root_id, node, above, depth) AS (
-        SELECT r.root_id, e.target_id, array(e.target_id), 1 FROM {{e}} e JOIN {{r}} r ON e.source_id = r.root_id
-        UNION ALL
-        SELECT p.root_id, e.target_id, concat(p.above, array(e.target_id)), p.depth + 1
-        FROM {{e}} e JOIN tree p ON e.source_id = p.node WHERE p.depth < {max_depth})
-      SELECT root_id, explode(above) AS ancestor FROM tree"""
-    below = _recursive(edges.sparkSession, sql, e=edges.where("edge_type = 'reshare'"), r=roots)
-    s = below.groupBy("root_id", "ancestor").agg(F.count("*").alias("s"))
+def structural_virality(edges: DataFrame, roots: DataFrame, max_depth: int = TREE_DEPTH, paths: DataFrame | None = None) -> DataFrame:
+    """Mean distance of all pairs of a tree's posts, from the sizes of the subtrees below its edges."""
+    paths = ancestries(edges.where("edge_type = 'reshare'"), max_depth) if paths is None else paths
+    tops = paths.join(roots.select(F.col("root_id").alias("above")), "above").select(F.col("above").alias("root_id"), F.col("node").alias("ancestor"), F.col("d").alias("top"))
+    # how many paths lead down from a post, by their lengths; a path counts as far as the whole is not too deep
+    below = paths.groupBy(F.col("above").alias("ancestor"), "d").agg(F.count("*").alias("n")).groupBy("ancestor").agg(F.collect_list(F.struct("d", "n")).alias("below"))
+    deep = F.aggregate(F.filter(F.coalesce("below", F.expr("cast(array() as array<struct<d: int, n: bigint>>)")), lambda x: x["d"] + F.col("top") <= max_depth), F.lit(1).cast("long"), lambda s, x: s + x["n"])
+    s = tops.join(below, "ancestor", "left").withColumn("s", deep).groupBy("root_id", "ancestor").agg(F.sum("s").alias("s"))
     per = s.groupBy("root_id").agg((F.count("*") + 1).alias("n"), F.sum("s").alias("s1"), F.sum(F.col("s") * F.col("s")).alias("s2"))
     return per.select("root_id", (2.0 * (F.col("n") * F.col("s1") - F.col("s2")) / (F.col("n") * (F.col("n") - 1))).alias("structural_virality"))
 
@@ -89,13 +106,9 @@ def entity_activity(edges: DataFrame, entity: str, window_s: float = 3600.0, top
     m = m.crossJoin(F.broadcast(m.agg(F.max("t").alias("last")))).where(F.col("t") >= F.col("last") - window_s).select("content_id", "t")
     a = edges.where("edge_type = 'authored'").select(F.col("target_id").alias("content_id"), F.col("source_id").alias("author_id"))
     authors = m.join(a, "content_id").groupBy("author_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("authors"), F.max("n").alias("most"))
-    sql = f"""
-      WITH RECURSIVE up(origin, node, depth) AS (
-        SELECT content_id, content_id, 0 FROM {{m}}
-        UNION ALL
-        SELECT u.origin, e.source_id, u.depth + 1 FROM up u JOIN {{e}} e ON e.target_id = u.node WHERE u.depth < {hops})
-      SELECT origin, max_by(node, struct(depth, node)) AS root_id FROM up GROUP BY origin"""
-    roots = _recursive(edges.sparkSession, sql, m=m.select("content_id").distinct(), e=edges.where("edge_type = 'reshare'"))
+    posts = m.select(F.col("content_id").alias("node")).distinct()
+    paths = ancestries(edges.where("edge_type = 'reshare'"), hops).join(posts, "node").select("node", F.struct("d", F.col("above").alias("root_id")).alias("top"))
+    roots = paths.union(posts.select("node", F.struct(F.lit(0).alias("d"), F.col("node").alias("root_id")))).groupBy(F.col("node").alias("origin")).agg(F.max("top").alias("top")).select("origin", "top.root_id")
     per_root = m.join(roots, m["content_id"] == roots["origin"]).groupBy("root_id").agg(F.count("*").alias("mentions"))
     tops = per_root.orderBy(F.desc("mentions"), "root_id").limit(top).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct((-F.col("mentions")).alias("m"), "root_id"))), lambda x: F.concat(x["root_id"], F.lit("="), (-x["m"]).cast("string")))).alias("top_cascades"))
     return (
@@ -114,6 +127,6 @@ def window_roots(edges: DataFrame, root: str, seconds: float = 21600.0) -> DataF
 
 def trace(edges: DataFrame, root: str, rows: int = 12) -> DataFrame:
     """The first posts of one cascade, with seconds since the first."""
-    tree = reshare_trees(edges, edges.sparkSession.createDataFrame([(root,)], "root_id string"), rows)
+    tree = propagation_path(edges.where("edge_type = 'reshare'"), root, rows)
     first = Window.orderBy("t", "target_id")
     return tree.orderBy("t", "target_id").limit(rows).select("target_id", "depth", (F.col("t") - F.first("t").over(first)).alias("offset_s"))
