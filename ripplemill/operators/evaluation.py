@@ -55,6 +55,16 @@ def nearest_ranks(s: DataFrame, by: str, value: str, shares: dict[str, float]) -
     return run.groupBy(by).agg(*[F.min(F.when((F.col("upto") > at(q)) & (F.col("upto") - F.col("k") <= at(q)), F.col(value))).alias(c) for c, q in shares.items()])
 
 
+def running(per: DataFrame, key: str, sums: list[str]) -> DataFrame:
+    """``per``, one row a key, with ``{c}_before``: the sum of c over all smaller keys. Sums run inside slices of keys, and over slices, so no task sees all keys."""
+    cut = sliced(per, [key])
+    inside = Window.partitionBy("slice_").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
+    slices = cut.groupBy("slice_").agg(*[F.sum(c).alias(c) for c in sums]).select(F.col("slice_").alias("of_"), *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"{c}_of_") for c in sums])
+    out = cut.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}).join(F.broadcast(slices), F.col("slice_") == F.col("of_"))
+    return out.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"{c}_of_") for c in sums}).drop("slice_", "of_", *[f"{c}_of_" for c in sums])
+
+
 def scorecard(s: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``s`` (y 0/1, p): accuracy, precision, recall and F1 of both classes, macro F1, Brier score."""
     hat = (F.col("p") >= threshold).cast("int")
@@ -69,16 +79,14 @@ def roc_auc(s: DataFrame) -> DataFrame:
 
     Ranks come from counts of equal scores, so the ordered window runs over distinct scores.
     """
-    per = s.groupBy("p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = per.withColumn("rank", before + (F.col("n") + 1) / 2).agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").alias("p1"), F.sum(F.col("n") - F.col("pos")).alias("n0"))
+    per = running(s.groupBy("p").agg(F.sum("y").alias("pos"), F.count("*").alias("n")), "p", ["n"])
+    r = per.withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2).agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").alias("p1"), F.sum(F.col("n") - F.col("pos")).alias("n0"))
     return r.select(F.when((F.col("p1") > 0) & (F.col("n0") > 0), (F.col("ranks") - F.col("p1") * (F.col("p1") + 1) / 2) / (F.col("p1") * F.col("n0"))).alias("roc_auc"))
 
 
 def average_precision(s: DataFrame) -> DataFrame:
-    per = s.groupBy("p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = per.withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down))
+    per = running(s.groupBy((-F.col("p")).alias("down")).agg(F.sum("y").alias("pos"), F.count("*").alias("n")), "down", ["pos", "n"])
+    c = per.withColumn("tp", F.col("pos_before") + F.col("pos")).withColumn("seen", F.col("n_before") + F.col("n"))
     return c.agg((F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.sum("pos")).alias("average_precision"))
 
 
@@ -108,9 +116,8 @@ def review_threshold(s: DataFrame, target: float = 0.9) -> DataFrame:
 def risk_coverage(s: DataFrame, steps: int = 10) -> DataFrame:
     """Accuracy of the surest share of rows, in steps."""
     t = s.withColumn("conf", F.greatest("p", 1 - F.col("p"))).withColumn("right", ((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("int"))
-    per = t.groupBy("conf").agg(F.sum("right").alias("r"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = per.withColumn("seen", F.sum("n").over(down)).withColumn("good", F.sum("r").over(down)).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    per = running(t.groupBy((-F.col("conf")).alias("down")).agg(F.sum("right").alias("r"), F.count("*").alias("n")), "down", ["r", "n"])
+    c = per.withColumn("seen", F.col("n_before") + F.col("n")).withColumn("good", F.col("r_before") + F.col("r")).crossJoin(F.broadcast(t.agg(F.count("*").alias("all"))))
     return c.groupBy(F.ceil(F.col("seen") * steps / F.col("all")).alias("step")).agg(F.max("seen").alias("kept"), F.max_by(F.col("good") / F.col("seen"), "seen").alias("accuracy"))
 
 

@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import poisson_tail
+
+# How much history a baseline needs, where each fires, and the constants of ewma and cusum.
 HISTORY, LEAST = 60, 5
 THRESHOLDS = {"zscore": 2.5, "robust": 2.5, "ewma": 2.5, "poisson": 3.0, "negbin": 2.5, "cusum": 12.0}
 ALPHA, SLACK = 0.1, 0.5
@@ -74,12 +77,10 @@ def _median(x: Column) -> Column:
 def zscores(v: DataFrame) -> DataFrame:
     """z of the mean and deviation, and of the median and its deviation, of the last 60 samples before each."""
     before = Window.partitionBy("entity_id").orderBy("arrival").rowsBetween(-HISTORY, -1)
-    h = v.withColumn("h", F.collect_list("velocity").over(before)).where(F.size("h") >= LEAST)
-    n = F.size("h")
-    mean = F.aggregate("h", F.lit(0.0), lambda a, x: a + x) / n
-    h = h.withColumn("mean", mean).withColumn("med", _median(F.col("h")))
-    var = F.aggregate("h", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / n
-    h = h.withColumn("std", F.sqrt(var)).withColumn("mad", _median(F.transform("h", lambda x: F.abs(x - F.col("med")))))
+    h = v.withColumns({"std": F.stddev_pop("velocity").over(before), "h": F.collect_list("velocity").over(before)}).where(F.size("h") >= LEAST)
+    # summed in order, so that a mean of equal values is that value
+    h = h.withColumn("mean", F.aggregate("h", F.lit(0.0), lambda a, x: a + x) / F.size("h")).withColumn("med", _median(F.col("h")))
+    h = h.withColumn("mad", _median(F.transform("h", lambda x: F.abs(x - F.col("med")))))
     return h.select(
         "entity_id", "arrival", "velocity",
         F.when(F.col("std") > 1e-12, F.round((F.col("velocity") - F.col("mean")) / F.col("std"), 4)).alias("zscore"),
@@ -87,6 +88,15 @@ def zscores(v: DataFrame) -> DataFrame:
     )
 
 
+def poisson_tails(v: DataFrame) -> DataFrame:
+    """(entity_id, arrival, rate, tail): the Poisson rate of the quieter four fifths of the last 60 counts, and P(X >= the sample's count) under it."""
+    before = Window.partitionBy("entity_id").orderBy("arrival").rowsBetween(-HISTORY, -1)
+    h = v.withColumn("h", F.array_sort(F.collect_list("n_events").over(before))).where(F.size("h") >= LEAST)
+    keep = F.greatest(F.lit(1), F.floor((4 * F.size("h") + 4) / 5)).cast("int")
+    h = h.withColumn("rate", (F.aggregate(F.slice("h", 1, keep), F.lit(0).cast("long"), lambda a, x: a + x) + 0.5) / (keep + 1))
+    return h.select("entity_id", "arrival", "rate", poisson_tail(F.col("n_events"), F.col("rate")).alias("tail"))
+
+
 def log_tail(count: int, mean: float, shape: float | None) -> float:
     """ln P(X >= count) for Poisson, or for the negative binomial of that shape, summed in logs."""
     if count <= 0:
@@ -187,7 +197,53 @@ def sequential_scores(v: DataFrame, cusum_threshold: float = THRESHOLDS["cusum"]
     return ordered.mapInArrow(_fold(cusum_threshold), "entity_id string, arrival long, ewma double, poisson double, negbin double, cusum double, fired boolean")
 
 
+def _met(detections: DataFrame, onsets: DataFrame, within_s: float) -> DataFrame:
+    """Pairs of an onset and a detection of its entity in the time after it; times are put in buckets, so a busy entity is split."""
+    bucket = lambda t: F.floor(t / within_s)
+    o = onsets.withColumn("bucket", F.explode(F.array(bucket(F.col("onset")), bucket(F.col("onset")) + 1))).alias("o")
+    d = detections.withColumn("bucket", bucket(F.col("t"))).alias("d")
+    on = (F.col("o.entity_id") == F.col("d.entity_id")) & (F.col("o.bucket") == F.col("d.bucket")) & (F.col("d.t") >= F.col("o.onset")) & (F.col("d.t") <= F.col("o.onset") + within_s)
+    return o.join(d, on)
+
+
 def attribute(detections: DataFrame, onsets: DataFrame, within_s: float = 3600.0) -> DataFrame:
     """Each onset with its first detection in the hour after it."""
-    o, d = onsets.alias("o"), detections.alias("d")
-    return o.join(d, (F.col("o.entity_id") == F.col("d.entity_id")) & (F.col("d.t") >= F.col("o.onset")) & (F.col("d.t") <= F.col("o.onset") + within_s), "left").groupBy("o.entity_id", "o.onset").agg(F.min("d.t").alias("first_detection"))
+    first = _met(detections, onsets, within_s).groupBy("o.entity_id", "o.onset").agg(F.min("d.t").alias("first_detection"))
+    return onsets.select("entity_id", "onset").distinct().join(first, ["entity_id", "onset"], "left")
+
+
+def attributed(detections: DataFrame, onsets: DataFrame, within_s: float = 3600.0) -> DataFrame:
+    """Each detection (entity_id, t, ..) with ``hit``: whether an onset of its entity lies in the hour before it."""
+    hits = _met(detections, onsets, within_s).select(F.col("d.entity_id").alias("entity_id"), F.col("d.t").alias("t")).distinct().withColumn("hit", F.lit(True))
+    return detections.join(hits, ["entity_id", "t"], "left").fillna(False, ["hit"])
+
+
+def scorecard(detections: DataFrame, onsets: DataFrame, clock: DataFrame, by: list[str], within_s: float = 3600.0) -> DataFrame:
+    """Per ``by``: detections, recall of onsets, false alarms, false alarms an entity and day, median delay.
+
+    ``detections`` (by, entity_id, t), ``onsets`` (entity_id, onset); ``clock`` (entity_id,
+    days): how long each entity was watched.
+    """
+    parts = detections.select(*by).distinct()
+    every = onsets.crossJoin(F.broadcast(parts))
+    keyed = lambda df: df.withColumn("entity_id", F.concat_ws("\u0001", "entity_id", *by))
+    o = attribute(keyed(detections), keyed(every), within_s).withColumn("delay", F.col("first_detection") - F.col("onset"))
+    o = o.join(keyed(every).select("entity_id", "onset", *by).distinct(), ["entity_id", "onset"])
+    recall = o.groupBy(*by).agg(F.avg(F.col("delay").isNotNull().cast("double")).alias("recall"), F.percentile("delay", 0.5).alias("median_delay"))
+    d = attributed(keyed(detections).select("entity_id", "t", *by), keyed(every), within_s)
+    false = d.groupBy(*by).agg(F.count("*").alias("detections"), F.count_if(~F.col("hit")).alias("false_alarms"))
+    days = clock.agg(F.sum("days").alias("days"))
+    return recall.join(false, by).crossJoin(F.broadcast(days)).select(*by, "detections", "recall", "false_alarms", (F.col("false_alarms") / F.col("days")).alias("false_per_topic_day"), "median_delay")
+
+
+def threshold_scores(scores: DataFrame, thresholds: list[float]) -> DataFrame:
+    """``scores`` (detector, entity_id, t, z) at each threshold: (detector, threshold, entity_id, t) of the samples that reach it, in one pass."""
+    g = scores.where("z IS NOT NULL").withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
+    return g.where("z >= threshold").select("detector", "threshold", "entity_id", "t")
+
+
+def pick_and_hold_out(cards: DataFrame, held: DataFrame, most_false: float) -> DataFrame:
+    """The threshold of each detector with the best recall within so many false alarms on tuning topics, and its card on those held out."""
+    ok = cards.where(F.col("false_per_topic_day") <= most_false)
+    best = ok.groupBy("detector").agg(F.max_by("threshold", F.struct("recall", -F.col("false_per_topic_day"), "threshold")).alias("threshold"))
+    return held.join(F.broadcast(best), ["detector", "threshold"])
