@@ -1,19 +1,22 @@
 """Structured Streaming: raw records into merged tables.
 
 ``ingest`` writes records, edges, nodes, mentions and dead letters; what an earlier batch has
-stored isn't stored again. ``deduplicated`` and ``hopping_velocity`` are operators on streams
-of their own, which ``ingest`` doesn't call. Not built: velocity of single mentions and
-anomaly scores over a stream (the batch operators have them).
+stored isn't stored again. ``deduplicated``, ``hopping_velocity`` and ``scored`` are operators
+on streams of their own (``scored`` over the mentions that ``ingest`` stores, for one).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ingest import extract, merge_edges, merge_nodes, parse
+from ..operators.velocity import THRESHOLDS, Baseline
 
 
 def deduplicated(records: DataFrame, ts: str = "ts", within: str = "1 hour") -> DataFrame:
@@ -27,6 +30,32 @@ def hopping_velocity(mentions: DataFrame, window: str = "1 hour", hop: str = "5
     return m.groupBy(F.window("ts", window, hop), "entity_id").agg(F.count("*").alias("n_events")).select("entity_id", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n_events")
 
 
+def scored(mentions: DataFrame, window_s: float = 3600.0, warm_s: float = 0.0, cusum: float = THRESHOLDS["cusum"]) -> DataFrame:
+    """Velocity and the sequential baselines of each mention (entity_id, t, arrival) of a stream, in order of arrival.
+
+    An entity's state is its times within the window, which reaches back from the newest, and
+    its baseline. Mentions in the first ``warm_s`` of an entity count, but are neither judged
+    nor history. The state is checkpointed, so a restarted stream goes on warm.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, first, baseline = pickle.loads(state.get[0]) if state.exists else ([], None, Baseline(cusum))
+        rows = []
+        for r in pd.concat(list(batches)).sort_values("arrival").itertuples():
+            times.append(r.t)
+            newest = max(times)
+            times = [x for x in times if x >= newest - window_s]
+            first = r.t if first is None else min(first, r.t)
+            n, v = len(times), round(len(times) / (window_s / 60), 4)
+            if newest - first >= warm_s:
+                rows.append((key[0], r.arrival, n, v, *baseline.step(v, n)))
+        state.update((pickle.dumps((times, first, baseline)),))
+        yield pd.DataFrame(rows, columns=["entity_id", "arrival", "n_events", "velocity", "ewma", "poisson", "negbin", "cusum", "fired"])
+
+    schema = "entity_id string, arrival long, n_events long, velocity double, ewma double, poisson double, negbin double, cusum double, fired boolean"
+    return mentions.select("entity_id", "t", "arrival").groupBy("entity_id").applyInPandasWithState(step, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def _stored(spark: SparkSession, path: str, number: int, schema: str) -> DataFrame:
     """What batches other than this one have written; a replay doesn't see its own rows."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
