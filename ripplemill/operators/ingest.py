@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import VERBS, english_supported, entity_id, lookup, plausible_entity, strip_nul, strip_tags
+from ..functions.scalars import VERBS, at_uri_id, english_supported, entity_id, lookup, plausible_entity, strip_nul, strip_tags
 
 NODE = "array<struct<id: string, type: string, platform: string, label: string, metadata: map<string, string>>>"
 # The record layouts of the four platforms.
@@ -77,3 +77,11 @@ def merge_edges(arrivals: DataFrame, existing: DataFrame | None = None) -> DataF
     if existing is None:
         return first
     return first.join(existing.select(*key), [first[c].eqNullSafe(existing[c]) for c in key], "left_anti")
+
+
+def flatten_commits(raw: DataFrame) -> DataFrame:
+    """(id, author, text, uri) of creates in a firehose of commits (value, JSON); records without a three-part address are dropped."""
+    c = raw.select(F.from_json("value", "did string, commit struct<operation: string, collection: string, rkey: string, record: struct<text: string>>").alias("c")).select("c.did", "c.commit.*")
+    uri = F.concat_ws("/", F.concat(F.lit("at://"), "did"), "collection", "rkey")
+    flat = c.where("operation = 'create'").select(F.regexp_replace(at_uri_id(uri), "^bluesky:", "").alias("id"), F.col("did").alias("author"), "record.text", uri.alias("uri"))
+    return flat.where("id IS NOT NULL")

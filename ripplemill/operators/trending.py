@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import lookup
+
 KINDS = ["named_entity", "repo", "content"]
 SLOTS = 12
+# Platform codes of the topic list.
+CODES = {"bluesky": "bsky", "mastodon": "mdn", "hn": "hn", "github": "gh"}
 
 
 def trending(nodes: DataFrame, edges: DataFrame, as_of, minutes: float, limit: int = 50) -> DataFrame:
@@ -48,3 +52,29 @@ def first_arrivals(edges: DataFrame, ids: DataFrame, as_of) -> DataFrame:
 def stats_card(rows: DataFrame) -> DataFrame:
     ranked = rows.withColumn("r", F.row_number().over(Window.orderBy(F.desc("velocity"), "id")))
     return ranked.agg(F.count("*").alias("topics"), F.sum("curr").alias("mentions"), F.max(F.when(F.col("r") == 1, F.col("id"))).alias("fastest"), F.count_if(F.col("platforms").contains(",")).alias("cross_platform"), F.count_if(F.col("trajectory") == "rising").alias("rising"))
+
+
+def by_spread(rows: DataFrame) -> DataFrame:
+    """Trending rows with ``place``: more platforms first, else as they were."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.size(F.split("platforms", ","))), F.desc("curr"), "id")))
+
+
+def topics(rows: DataFrame, alarms: DataFrame, as_of, recent_s: float) -> DataFrame:
+    """Trending rows with short platform codes, and ``breaking`` where an alarm (id, t) is recent."""
+    loud = alarms.where(F.col("t") >= as_of - recent_s).select("id").distinct().withColumn("breaking", F.lit(True))
+    short = F.array_sort(F.array_distinct(F.transform(F.split("platforms", ","), lambda x: lookup(CODES, x, "?"))))
+    return rows.join(loud, "id", "left").fillna(False, ["breaking"]).withColumn("short", F.concat_ws(",", F.filter(short, lambda x: x != "?")))
+
+
+def steps(arrivals: DataFrame, rows: DataFrame) -> DataFrame:
+    """``arrivals`` by topic; a topic without any has its first platform, just now."""
+    none = rows.join(arrivals.select("id").distinct(), "id", "left_anti").select("id", F.split("platforms", ",")[0].alias("platform"), F.lit(0).cast("long").alias("minutes_ago"))
+    return arrivals.select("id", "platform", "minutes_ago").union(none)
+
+
+def totals(rows: DataFrame, edges: DataFrame, as_of, minutes: float) -> DataFrame:
+    """The card above the topics: how many, how many more than in the window before (at least 0), and what stands out. No topics: zeros."""
+    w = minutes * 60
+    before = edges.where((F.col("t") >= as_of - 2 * w) & (F.col("t") < as_of - w)).agg(F.countDistinct("target_id").alias("before"))
+    card = rows.agg(F.count("*").alias("topics"), F.coalesce(F.max("velocity"), F.lit(0.0)).alias("fastest"), F.count_if(F.col("platforms").contains(",")).alias("cross_platform"), F.count_if("breaking").alias("breaking"))
+    return card.crossJoin(before).select("topics", F.greatest(F.lit(0), F.col("topics") - F.col("before")).alias("more"), "fastest", "cross_platform", "breaking")

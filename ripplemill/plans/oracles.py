@@ -135,7 +135,8 @@ _LATE = ", l AS (SELECT entity_id, t, (CASE WHEN arrival % 50 = 0 THEN arrival +
 _WIN = ", w AS (SELECT p.* FROM p, (SELECT max(t) AS l FROM p WHERE event_type = 'click') WHERE event_type = 'click' AND t >= l - 36000) "
 
 
-def _whole(name: str, sql: str) -> str:
+def stated(name: str, sql: str) -> str:
+    """``sql`` after the common tables that it names by its first word."""
     base, depth = BASE, 10
     for word, part in (("WITHPATH", PATH.format(depth=depth)), ("WITHSWEEP", SWEEP), ("WITHCONF", CONF), ("WITHTREND", SCALED)):
         if sql.startswith(word):
@@ -147,4 +148,4 @@ def _whole(name: str, sql: str) -> str:
     return f"WITH RECURSIVE {base} {sql}"
 
 
-ORACLE_SQL = {name: _whole(name, sql) for name, sql in _SQL.items()}
+ORACLE_SQL = {name: stated(name, sql) for name, sql in _SQL.items()}

@@ -15,6 +15,7 @@ from ..operators import ingest as X
 from ..operators import search as V
 from ..operators import trending as T
 from ..operators import velocity as A
+from ..operators.working import written
 from ..sources.tables import graph, posts, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -389,9 +390,9 @@ def g12_structural_virality(spark, sf):
 
 def _tree(spark, sf):
     g = graph(spark, sf)
-    roots = G.cascade_roots(g.edges)
-    tree = G.reshare_trees(g.edges, roots).persist()
-    return tree, G.tree_authors(g.edges, tree, roots).persist()
+    roots = written(G.cascade_roots(g.edges), "roots")
+    tree = written(G.reshare_trees(g.edges, roots), "tree")
+    return tree, G.tree_authors(g.edges, tree, roots)
 
 
 @query

@@ -1,4 +1,7 @@
-"""Hand-made cases with known answers, and a few queries against an independent engine."""
+"""Hand-made cases with known answers, and a few queries against an independent engine.
+
+The numbers of the cases are fixed values: inputs and results that any right build must have.
+"""
 
 import glob
 import math
@@ -176,6 +179,61 @@ def test_later_batches_merge(spark, tmp_path):
     assert (a.first_seen.second, a.last_seen.second) == (1, 3)
 
 
+def test_stream_scores_as_the_batch_does(spark, tmp_path):
+    """Two files of mentions, one after another, through the stateful operator."""
+    from ripplemill.streaming.pipeline import scored
+
+    rng = random.Random(9)
+    rows = [(f"e{i % 2}", float(i * 7 + rng.randint(0, 6)), i) for i in range(160)]
+    m = spark.createDataFrame(rows, "entity_id string, t double, arrival long")
+    for k, part in enumerate((m.where("arrival < 90"), m.where("arrival >= 90"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = scored(spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"), 60.0)
+    q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = {(r.entity_id, r.arrival): (r.n_events, r.ewma, r.poisson, r.fired) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    v = velocity.velocity(m, 60.0)
+    want = {(r.entity_id, r.arrival): (r.n_events, r.ewma, r.poisson, r.fired) for r in velocity.sequential_scores(v).join(v.select("entity_id", "arrival", "n_events"), ["entity_id", "arrival"]).collect()}
+    assert got == want and len(got) == 160
+
+
+def test_verdict_cases(spark):
+    from ripplemill.operators import agent
+
+    replies = ['{"classification": "ORGANIC", "confidence": "0.9", "evidence": ["a"]}', '<think>{"x": 1}</think>```json {"classification": "Organic", "confidence": 7, "evidence": []}```', '{"classification": "organic", "confidence": 1}', "none", None, '{"classification": "made up", "confidence": "high", "evidence": [" ", "b"]}']
+    got = agent.verdicts(spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "k int, reply string")).orderBy("k").collect()
+    assert [(r.valid, r.classification, r.confidence) for r in got] == [(True, "organic", 0.9), (True, "uncertain", 0.3), (False, None, None), (False, None, None), (False, None, None), (True, "uncertain", 0.0)]
+
+
+def test_ancestries_of_cycles_and_joins(spark):
+    """Paths by doubling against a walk, in a graph with two ways to a node and a cycle."""
+    from ripplemill.operators import graph
+
+    pairs = [("r", "a"), ("r", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "e")]
+    edges = spark.createDataFrame(pairs, "source_id string, target_id string")
+    want, level = [], [(a, b, 1) for a, b in pairs]
+    while level and level[0][2] <= 7:
+        want += level
+        level = [(a, y, d + 1) for a, b, d in level for x, y in pairs if x == b]
+    assert sorted((r.above, r.node, r.d) for r in graph.ancestries(edges, 7).collect()) == sorted(want)
+    path = graph.propagation_path(edges.withColumns({"edge_type": evaluation.F.lit("x"), "platform": evaluation.F.lit("p"), "ts": evaluation.F.lit(0)}), "it's", 3)
+    assert path.count() == 0
+
+
+def test_learning(spark):
+    from ripplemill.operators import learning
+
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(i, a := rng.random(), rng.random(), float(a + rng.gauss(0, 0.1) > 0.5)) for i in range(300)], "row_id long, a double, b double, y double")
+    for pipeline in (learning.trees(["a", "b"], 5), learning.logistic(["a", "b"])):
+        assert evaluation.roc_auc(learning.out_of_fold(pipeline, rows, 3)).first().roc_auc > 0.9
+    assert learning.importances(learning.trees(["a", "b"], 3).fit(rows), ["a", "b"], spark).first().feature == "a"
+    top = learning.attributed(learning.logistic(["a", "b"]).fit(rows), rows, ["a", "b"], "row_id", 1).where("abs(p - 0.5) > 0.4").collect()
+    assert top and all(r.top[0].feature == "a" for r in top)
+    joined, dropped = learning.labelled(rows.drop("y"), rows.select("row_id", "y").where("row_id >= 10").union(spark.createDataFrame([(999, 1.0)], "row_id long, y double")), "row_id")
+    assert joined.count() == 290 and tuple(dropped.first()) == (10, 1)
+
+
 def test_approximate_search(spark):
     rng = random.Random(4)
     middle = [[rng.gauss(0, 1) for _ in range(32)] for _ in range(12)]
