@@ -3,7 +3,8 @@
 The longest common prefix of turns (same role, same text) is rendered once as the prompt;
 what follows on either side is rendered as its completion, with the spans of characters
 that carry loss: the texts of assistant turns. One shuffle by pair; everything else is
-expressions on the pair's own turns.
+expressions on the pair's own turns. A pair's turns meet in one task, because its output is
+one row; only a conversation too long for a row is too long for this.
 
 Null texts count as empty, null roles as "unknown". Turns with equal numbers are ordered by
 role and text, null numbers come first. A pair with one side only has no prompt and null
@@ -13,7 +14,7 @@ Repeated rows are repeated turns. Rows with a null pair or side are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOSS_ROLE = "assistant"
@@ -27,38 +28,33 @@ def _rendered(turns: Column) -> Column:
     return F.concat_ws("", F.transform(turns, lambda t: F.concat(_head(t), t["text"], F.lit("<|end|>\n"))))
 
 
-def _spans(turns: Column) -> Column:
-    """[start, end) characters of the texts with loss, in the rendered turns."""
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("spans"))
-
-    def add(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(_head(t))
-        end = start + F.length(t["text"])
-        span = F.when(t["role"] == LOSS_ROLE, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(F.expr("cast(array() as array<struct<start: int, end: int>>)"))
-        return F.struct((end + F.lit(len("<|end|>\n"))).alias("at"), F.concat(acc["spans"], span).alias("spans"))
-
-    return F.aggregate(turns, zero, add, lambda acc: acc["spans"])
+def _spans(turns: Column, before: Column) -> Column:
+    """[start, end) characters of the texts with loss, in the rendered turns after the first ``before`` characters."""
+    end = lambda t: (t["upto"] - F.lit(len("<|end|>\n")) - before).cast("int")
+    return F.transform(F.filter(turns, lambda t: t["role"] == LOSS_ROLE), lambda t: F.struct((end(t) - F.length(t["text"])).alias("start"), end(t).alias("end")))
 
 
 def format_pairs(turns: DataFrame) -> DataFrame:
     """``turns`` (pair_id, side 'chosen' or 'rejected', turn, role, text) to one row a pair:
     pair_id, n_common, prompt, chosen, chosen_loss, rejected, rejected_loss."""
-    rows = turns.where(F.col("pair_id").isNotNull() & F.col("side").isin("chosen", "rejected")).select(
-        "pair_id", "side", F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
-    )
-    sides = rows.groupBy("pair_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("t")))).alias(s) for s in ("chosen", "rejected")])
-    sides = sides.select("pair_id", *[F.transform(s, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias(s) for s in ("chosen", "rejected")])
-    both = F.zip_with("chosen", "rejected", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    rows = turns.where(F.col("pair_id").isNotNull() & F.col("side").isin("chosen", "rejected")).select("pair_id", "side", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # where each turn's rendering ends: summed row by row, so that long conversations cost no more a turn than short ones
+    order = Window.partitionBy("pair_id", "side").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.repartition("pair_id").withColumn("upto", F.sum(F.length(F.concat(_head({"role": F.col("role")}), "text", F.lit("<|end|>\n")))).over(order))
+    turn = F.struct("turn", "role", "text", "upto")
+    sides = rows.groupBy("pair_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, turn))).alias(s) for s in ("chosen", "rejected")])
+    both = F.zip_with("chosen", "rejected", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
     common = F.coalesce(F.array_position(both, False), F.lit(0))
     sides = sides.withColumn("n_common", F.when(common > 0, common - 1).otherwise(F.size("chosen")).cast("int"))
     # a pair with one side has no turns in common
     sides = sides.withColumn("n_common", F.when((F.size("chosen") == 0) | (F.size("rejected") == 0), 0).otherwise(F.col("n_common")))
     rest = {s: F.slice(s, F.col("n_common") + 1, F.greatest(F.size(s), F.lit(1))) for s in ("chosen", "rejected")}
+    sides = sides.withColumn("before", F.when(F.col("n_common") > 0, F.try_element_at("chosen", F.col("n_common"))["upto"]).otherwise(0))
     return sides.select(
         "pair_id",
         "n_common",
         _rendered(F.slice("chosen", 1, F.col("n_common"))).alias("prompt"),
-        *[c for s in rest for c in (F.when(F.size(s) > 0, _rendered(rest[s])).alias(s), F.when(F.size(s) > 0, _spans(rest[s])).alias(f"{s}_loss"))],
+        *[c for s in rest for c in (F.when(F.size(s) > 0, _rendered(rest[s])).alias(s), F.when(F.size(s) > 0, _spans(rest[s], F.col("before"))).alias(f"{s}_loss"))],
     )
 
 
