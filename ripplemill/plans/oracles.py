@@ -131,6 +131,13 @@ _SQL = {
     "e10_threshold_sweep": "WITHSWEEP SELECT round(threshold, 6) AS threshold, round(recall, 6) AS recall, fp FROM sw",
 }
 _SQL["j2_recent_mention_authors"] = "SELECT x.target_id AS entity, a.source_id AS author, count(*) AS n FROM e x JOIN now ON x.t >= as_of - 36000 JOIN e a ON a.edge_type = 'authored' AND a.target_id = x.source_id WHERE x.edge_type = 'mentions' GROUP BY 1, 2"
+_SQL["m2_folds"] = "SELECT (k - 1) % 5 AS fold, y, count(*) AS n FROM (SELECT y, row_number() OVER (PARTITION BY y) AS k FROM s) GROUP BY 1, 2"
+_SQL["c4_root_attachment"] = (
+    ", o AS (SELECT root_id, (source_id = root_id)::INT AS is_root, row_number() OVER (PARTITION BY root_id ORDER BY t, target_id) - 1 AS i FROM tree), "
+    "z AS (SELECT root_id, k, k / 200.0::DOUBLE * is_root + (1 - k / 200.0::DOUBLE) / (i + 1) AS x FROM o, range(0, 201) g(k)), "
+    "ll AS (SELECT root_id, k, round(sum(CASE WHEN x > 0 THEN ln(x) ELSE -1e300 END), 9) AS ll FROM z GROUP BY 1, 2) "
+    "SELECT root_id, round(k / 200.0::DOUBLE, 6) AS root_attach_mle FROM (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY ll DESC, k) AS r FROM ll) WHERE r = 1"
+)
 _LATE = ", l AS (SELECT entity_id, t, (CASE WHEN arrival % 50 = 0 THEN arrival + 30 ELSE arrival END) * 2 + (arrival % 50 = 0)::INT AS arrival FROM m) "
 _WIN = ", w AS (SELECT p.* FROM p, (SELECT max(t) AS l FROM p WHERE event_type = 'click') WHERE event_type = 'click' AND t >= l - 36000) "
 
