@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.working import shared_folder
+
 #: A side of a join is broadcast only if it has been counted and has at most so many values.
 BROADCAST_ROWS = 200_000
 #: Spark's setting for deleting a query's shuffle files at its end.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A folder of this machine is taken only where the setting is missing (tests).
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ripplemill-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return str(folder).rstrip("/")
-
-
-def batches_of(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
+def batches_of(spark: SparkSession, rows: int = 256, size: int = 1 << 20) -> None:
     """Bound the Arrow batches that Python tasks get, in rows and in bytes, so that memory depends on neither count nor length."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -43,7 +30,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, shared_dir
+from .common import Workspace, batches_of
 from .words import in_pieces
 
 END_ID = 2
@@ -200,7 +200,7 @@ def _write_shard(folder: str, tokenizer: str, end_id: int):
         shard, store = TaskContext.get().partitionId(), None
         # 32 bits a length will do: a text has less than 2**31 bytes
         lengths, ids, crc, out = array("I"), [], 0, None
-        for piece in in_pieces(batches, limit=3 << 20):
+        for piece in in_pieces(batches, limit=1 << 20):
             if out is None:
                 store, path = _store(folder)
                 encode = Encoder(tokenizer, end_id)
@@ -302,8 +302,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_digest(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Write the files to the shared folder and read them back."""
+    """Write the files to the shared folder, where they stay until the session ends, and read them back."""
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex[:12]}"
+    folder = f"{Workspace(spark, 'tokens').root}/files"
     write_token_files(docs, folder, tokenizer, end_id)
     return read_token_files(spark, folder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +28,29 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), dtype=U64, count=len(words))
 
 
-def in_pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def in_pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The rows in pieces of about ``limit`` bytes of text; one longer text is a piece by itself."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        lengths = _lengths(batch.column(batch.schema.get_field_index(text)))
-        block = np.cumsum(lengths) // limit
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                yield batch.slice(a, b - a)
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lengths = _lengths(batch.column(batch.schema.get_field_index(text)))
+            block = np.cumsum(lengths) // limit
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    yield batch.slice(a, b - a)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """At a task's end: what it has used goes back to the system, since Spark keeps its Python for the next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def _lengths(column: pa.Array) -> np.ndarray:
