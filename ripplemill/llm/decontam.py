@@ -247,13 +247,14 @@ class Block:
 
     def _projected(self, term: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The sum of the terms of each stretch in the latent space."""
+        at = begin[:, None] + np.arange(STRETCH)
+        # words beyond the text, like those of no item, have the last row, which is zero
+        row = np.where(at < end[:, None], self.row[term[np.minimum(at, len(term) - 1)]], len(self.weights) - 1)
         y = np.zeros((len(begin), self.weights.shape[1]), np.float32)
+        one = np.empty_like(y)
         for k in range(STRETCH):
-            inside = begin + k < end
-            if inside.all():
-                y += self.weights[self.row[term[begin + k]]]
-            else:
-                y[inside] += self.weights[self.row[term[begin[inside] + k]]]
+            np.take(self.weights, row[:, k], axis=0, out=one)
+            y += one
         return y
 
     def _enough(self, word: np.ndarray, start: np.ndarray, doc: np.ndarray, at: np.ndarray, item: np.ndarray) -> np.ndarray:
