@@ -9,7 +9,9 @@ import zlib
 import numpy as np
 import pytest
 
-from ripplemill.llm import decontam, html_text, jaccard, mixing, preference, quality, substrings, tokenids, toxicity, vectors
+from pyspark.sql import functions as F
+
+from ripplemill.llm import common, decontam, fitting, html_text, jaccard, linear, mixing, preference, quality, substrings, tokenids, toxicity, vectors
 
 TOKENIZER = str(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
 
@@ -33,13 +35,13 @@ def corpus(seed=1, n=60):
     return [None, "", "  ", "One", "one two\tthree", "One two THREE", "a b c d e", "x " * 3000, *base]
 
 
-def test_jaccard(spark):
-    texts = corpus()
+def members(t):
+    w = (t or "").lower().split()
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
 
-    def members(t):
-        w = (t or "").lower().split()
-        return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
 
+def plain_classes(texts):
+    """Smallest index reachable by links, of each text."""
     sets = [members(t) for t in texts]
     root = list(range(len(sets)))
 
@@ -53,10 +55,36 @@ def test_jaccard(spark):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    want = {i: (len(s), find(i)) for i, s in enumerate(sets)}
-    for long in (100, 2):  # short lists only, and nearly all lists long
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(docs(spark, texts), long).collect()}
+    return [find(i) for i in range(len(sets))]
+
+
+def test_jaccard(spark, monkeypatch):
+    rng = random.Random(31)
+    base = [f"b{k}" for k in range(90)]
+    # near copies of one text, a few words changed in each: chains and pairs at the border of 0.8
+    near = [" ".join(w if rng.random() > rng.choice([0.0, 0.02, 0.05]) else f"x{rng.random()}" for w in base) for _ in range(60)]
+    texts = corpus() + near + [" ".join(base), " ".join(base[:70]), " ".join(base + base[:20])]
+    want = {i: (len(members(t)), c) for i, (t, c) in enumerate(zip(texts, plain_classes(texts)))}
+    for long, every in ((100, 8), (1, 1), (4, 1)):  # short lists only, nearly all lists long, both
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(docs(spark, texts), long, every).collect()}
         assert got == want
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard, "PART", 4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(docs(spark, texts), 1, 1).collect()}
+    assert got == want
+
+
+def test_merge_counts():
+    lists, times = [[1, 4, 9], [2, 4, 9], [4, 5]], [2, 1, 1]
+    assert jaccard.merge(1, lists, times, 3) == [(4, 4), (9, 3)] and jaccard.merge(4, lists, times, 1) == [(5, 1), (9, 3)]
+
+
+def test_keep_one(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, long, 1), (5, long, 1), (3, long + " more", 2), (7, "a b c d e f", 3), (7, "g h i j k l", 4), (8, "g h i j k l", 5), (9, None, 6), (9, None, 6), (None, long, 7)]
+    d = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, k int, _gone string, tie string, component_id string")
+    got = sorted((r.doc_id or 0, r.k) for r in jaccard.keep_one(d).collect())
+    assert got == [(0, 7), (3, 2), (7, 3), (7, 4), (9, 6), (9, 6)] and jaccard.keep_one(d).columns == d.columns
 
 
 def test_jaccard_empty_table(spark):
@@ -78,29 +106,67 @@ def test_substrings(spark):
     assert got == want
 
 
+def plain_links(x, label):
+    """(links, smallest reachable) of each vector."""
+    v = np.asarray(x, float)
+    v = v / np.abs(v).max(1, keepdims=True)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = (v @ v.T >= 0.93) & (np.asarray(label)[:, None] == np.asarray(label)) & ~np.eye(len(v), dtype=bool)
+    root = np.arange(len(v))
+    while True:
+        least = np.minimum(root, np.where(near, root[None, :], len(v)).min(1))
+        if (least == root).all():
+            return near.sum(1), root
+        root = least
+
+
+def linked(spark, x, label, kind="float", more=()):
+    rows = [(i, [float(c) for c in v], int(k), "e") for i, (v, k) in enumerate(zip(x, label))] + list(more)
+    d = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int, node string")
+    return {r.vec_id: r for r in vectors.link_vectors(d.repartition(3)).collect()}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
-    x = rng.standard_normal((300, 16))
+    x = rng.standard_normal((300, 16)).astype(np.float32)
     x[100:150] = x[0] + rng.standard_normal((50, 16)) * 0.2
     x[150:160] = x[1]
-    rows = [(i, v.astype(np.float32).tolist(), int(i % 2)) for i, v in enumerate(x)] + [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, x[0].tolist(), None)]
-    got = {r.vec_id: r for r in vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
-    v = x.astype(np.float32).astype(float)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    near = (v @ v.T >= 0.93) & (np.arange(300)[:, None] % 2 == np.arange(300) % 2) & ~np.eye(300, dtype=bool)
-    assert [got[i].n_links for i in range(300)] == near.sum(1).tolist()
-    assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(1000, 1004))
+    x[160:170] = x[2] * np.arange(1, 11)[:, None]
+    odd = [(1000, None, 1, ""), (1001, [0.0] * 16, 1, ""), (1002, [float("nan")] * 16, 1, ""), (1003, x[0].tolist(), None, ""), (1004, [None, *x[0].tolist()[1:]], 1, ""), (None, x[0].tolist(), 1, ""), (1005, x[0].tolist()[:8], 1, ""), (1006, [], 1, "")]
+    label = np.arange(300) % 2
+    got = linked(spark, x, label, more=odd)
+    links, root = plain_links(x, label)
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(300)] == [(n, c, c == i) for i, (n, c) in enumerate(zip(links.tolist(), root.tolist()))]
+    assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(1000, 1007))
+    assert got[None].n_links == 0 and got[None].component_id is None
+
+
+def test_vectors_in_double_precision(spark):
+    x = [[1e200, 1e200], [1e200, 1e200], [1e-200, 1e-200], [1e200, -1e200]]
+    got = linked(spark, x, [0] * 4, "double")
+    assert [(got[i].n_links, got[i].component_id) for i in range(4)] == [(2, 0), (2, 0), (2, 0), (0, 3)]
+
+
+def test_multiples_and_hot_spots(spark):
+    """More multiples of one vector, and more near copies of another, than a leaf holds, beside others."""
+    rng = np.random.default_rng(6)
+    one, other = rng.standard_normal(16), rng.standard_normal(16)
+    x = np.concatenate((np.outer(np.arange(1, 1501), one), other + rng.standard_normal((1500, 16)) * 0.05, other + rng.standard_normal((700, 16)) * 0.3, rng.standard_normal((800, 16)))).astype(np.float32)
+    got = linked(spark, x, np.zeros(len(x), int))
+    links, root = plain_links(x, np.zeros(len(x), int))
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= links).all() and found.sum() >= 0.97 * links.sum()
+    assert found[:1500].tolist() == links[:1500].tolist() and (np.array([got[i].component_id for i in range(3000)]) == root[:3000]).all()
 
 
 def test_forest_recall(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((600, 32))
     x = (centres[rng.integers(0, 600, 4000)] + rng.standard_normal((4000, 32)) * 0.22).astype(np.float32)
-    got = {r.vec_id: r.n_links for r in vectors.link_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).collect()}
-    v = x.astype(float)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    want = (v @ v.T >= 0.93).sum(1) - 1
-    assert want.sum() > 0 and 0.9 * want.sum() <= sum(got.values()) <= want.sum()
+    got = linked(spark, x, np.zeros(4000, int))
+    want = plain_links(x, np.zeros(4000, int))[0]
+    found = np.array([got[i].n_links for i in range(4000)])
+    assert want.sum() > 0 and (found <= want).all() and found.sum() >= 0.95 * want.sum()
 
 
 def test_html():
@@ -232,23 +298,102 @@ def labelled(spark, n=240):
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def plain_ftrl(rows, alpha, beta, l1, l2):
+    """The textbook's loop over single coordinates; ``rows``: ({coordinate: value}, label)."""
+    z, n = {}, {}
+
+    def weight(i, free=False):
+        v = z.get(i, 0.0)
+        cut = 0.0 if free else l1
+        return 0.0 if abs(v) <= cut else -(v - np.sign(v) * cut) / ((beta + np.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for x, y in rows:
+        w = {i: weight(i, i == "bias") for i in x}
+        p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+        for i, v in x.items():
+            g = (p - y) * v
+            z[i] = z.get(i, 0.0) + g - (np.sqrt(n.get(i, 0.0) + g * g) - np.sqrt(n.get(i, 0.0))) / alpha * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i, i == "bias") for i in z}
+
+
+def test_ftrl_against_plain_loop():
+    rng = np.random.default_rng(2)
+    shares = [(np.sort(rng.choice(40, 8, replace=False)), rng.random(8), int(rng.integers(2))) for _ in range(200)]
+    model = linear.Ftrl(0.5, 1.0, 0.1, 0.0)
+    linear.train_quality(model, shares)
+    want = plain_ftrl([({**{int(i): v * linear.SCALE for i, v in zip(at, x)}, "bias": 1.0}, y) for at, x, y in shares], 0.5, 1.0, 0.1, 0.0)
+    assert abs(model.bias() - want.pop("bias")) < 1e-9
+    got = model.weights()
+    assert all(abs(got[i] - w) < 1e-9 for i, w in want.items())
+
+
+def plain_quality(model, text):
+    """Sigmoid of the mean weight of a text's one- and two-word grams, gram by gram."""
+    words = linear.TOKEN.findall((text or "").encode().lower())
+    w, total, n = model.weights(), 0.0, 0
+    for k in range(len(words)):
+        both = linear.ngrams([b" ".join(words[max(0, k - 1) : k + 1])])[0]
+        # the grams of the last word: alone, and with the one before it
+        for bucket in both[-2:] if k else both:
+            total, n = total + w[bucket], n + 1
+    return 1 / (1 + np.exp(-(total / max(n, 1) * linear.SCALE + model.bias())))
+
+
 def test_quality(spark):
     d, labels = labelled(spark)
-    got = quality.score(d, quality.train(d, labels)).collect()
+    model = quality.train(d, labels)
+    got = quality.score(d.withColumn("score", F.lit(9)), model).collect()
     assert len(got) == d.count() and all(0 <= r.score <= 1 for r in got)
     held = [r for r in got if r.held_out and r.doc_id < 240]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     assert np.mean([(r.score > 0.5) == (r.doc_id % 3 != 0) for r in held]) > 0.95
+    texts = {r.doc_id: r.text for r in d.collect()}
+    assert all(abs(r.score - plain_quality(model, texts[r.doc_id])) < 1e-6 and r.predicted == (r.score >= 0.7) for r in got)
+
+
+def plain_toxic(weights, text):
+    """Noisy-or over sentences, word by word."""
+    clean, z, any_word = 1.0, linear.FLOOR, False
+
+    def close():
+        nonlocal clean, z, any_word
+        if any_word:
+            clean *= 1 - 1 / (1 + np.exp(-z))
+        z, any_word = linear.FLOOR, False
+
+    for k, token in enumerate(linear.PIECE.findall((text or "").encode().lower())):
+        if linear._kind(token) == 0:
+            buckets = linear.word_features([token])[0]
+            z, any_word = z + sum(weights[b] for b in buckets if b < linear.SIZE), True
+        elif linear._kind(token) == 2:
+            close()
+    close()
+    return 1 - clean
 
 
 def test_toxicity(spark):
     d, labels = labelled(spark)
-    got = toxicity.score(d, toxicity.train(d, labels)).collect()
+    model = toxicity.train(d, labels)
+    got = toxicity.score(d.withColumn("score", F.lit(9)), model).collect()
     assert len(got) == d.count()
     held = [r for r in got if r.held_out and r.doc_id < 240]
     assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.9
     assert all(r.score == 0 for r in got if r.doc_id in (240, 241, 242))
     assert all(len(r.toxic_sentences) == 1 for r in held if r.predicted)
+    texts, w = {r.doc_id: r.text for r in d.collect()}, model.weights()
+    assert all(abs(r.score - plain_toxic(w, texts[r.doc_id])) < 1e-6 for r in got)
+
+
+def test_training_bounds(spark, monkeypatch):
+    d, labels = labelled(spark)
+    monkeypatch.setattr(fitting, "MAX_TRAINING_BYTES", 3000)
+    some = fitting.training_docs(d, labels, "quality", F.lit(False), 100).collect()
+    assert 0 < sum(len(r.text) for r in some) <= 3000
+    monkeypatch.setattr(fitting, "MAX_TRAINING_BYTES", 1)
+    assert len({r["rank"] for r in fitting.training_docs(d, labels, "quality", F.lit(False), 100).collect()}) == 1
+    assert {r.score for r in quality.score(d, quality.train(d, labels.where("false"))).collect()} == {0.5}
+    assert quality.score(d.where("false"), quality.train(d.where("false"), labels)).count() == 0
 
 
 def test_leaks(spark, monkeypatch):
@@ -333,8 +478,11 @@ def test_mixing(spark):
         taken = sum(r.taken for r in rows if r.source == source)
         assert abs(taken - target) <= max(r["size"] for r in rows if r.source == source)
     assert all(r.taken <= 2 * r["size"] for r in rows)
-    mixed = mixing.mix(docs(spark, texts))
-    assert mixed.columns == docs(spark, texts).columns and mixed.count() == sum(r.repeats for r in rows)
+    odd = docs(spark, texts).withColumns({c: F.lit("keep me") for c in ("_copy", "_id", "_source", "_tie", "row", "copy", "repeats", "of", "whole", "last")})
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns and {r.copy for r in mixed.select("copy").distinct().collect()} == {"keep me"}
+    assert {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {r.doc_id: r.repeats for r in rows if r.repeats}
+    assert mixing.mix(odd.where("false")).count() == 0
 
 
 def test_water_fill_ties(spark):
@@ -380,6 +528,110 @@ def test_token_files(spark, tmp_path):
     assert got == want
 
 
+def test_preference_ties_and_long_conversations(spark):
+    rows = [(1, s, t, r, x, "extra") for s in ("chosen", "rejected") for t, r, x in ((0, "user", "q"), (None, "user", "first"), (0, "assistant", "tie"), (0, "assistant", "tie"))]
+    rows += [(2, "chosen", k, "assistant" if k % 2 else "user", f"text {k}", "extra") for k in range(3000)] + [(2, "rejected", k, "assistant" if k % 2 else "user", f"text {k}" if k < 1500 else "no", "extra") for k in range(2000)]
+    d = spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string, upto string")
+    got = {r.pair_id: r for r in preference.format_pairs(d).collect()}
+    assert got[1].n_common == 4 and got[1].prompt.startswith("<|user|>\nfirst") and got[1].chosen == got[1].rejected == "" and got[1].chosen_loss == []
+    assert got[2].n_common == 1500 and [got[2].chosen[x.start : x.end] for x in got[2].chosen_loss] == [f"text {k}" for k in range(1501, 3000, 2)]
+    assert {got[2].rejected[x.start : x.end] for x in got[2].rejected_loss} == {"no"}
+    assert preference.format_pairs(d.where("false")).count() == 0
+
+
+def test_edges_of_all(spark):
+    """Empty tables, very long texts, repeated rows and columns with names that are used inside."""
+    long = " ".join(f"w{k % 7919}" for k in range(150_000))
+    names = ("key", "value", "print", "hits", "places", "first", "size", "place", "tie", "shard", "rank", "y", "score", "n_words", "bits", "doc", "start")
+    d = spark.createDataFrame([(1, long), (2, "one two"), (2, "one two"), (3, long + " end"), (4, None), (5, ""), (None, long)], "doc_id long, text string").withColumns({n: F.lit("x") for n in names}).withColumn("source", F.lit("s"))
+    none = d.where("false")
+    rows = substrings.dedup_substrings(d).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in rows) == [(0, 150_000, 0), (1, 150_000, 0), (2, 2, 0), (2, 2, 0), (3, 150_001, 149_951 + 49), (4, 0, 0), (5, 0, 0)]
+    rows = jaccard.link_documents(d).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (1, 1), (2, 2), (2, 2), (3, 1), (4, 4), (5, 5)]
+    rows = tokenids.token_digest(d, TOKENIZER).collect()
+    assert len(rows) == 7 and sorted(r.start for r in rows)[0] == 0 and rows[0].doc_id is None
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    for op in (quality, toxicity):
+        assert op.score(d, op.train(d, labels)).count() == 7 and op.score(none, op.train(none, labels)).count() == 0
+    assert mixing.plan(d).count() == 7
+    for op in (substrings.dedup_substrings, jaccard.link_documents, jaccard.keep_one, mixing.plan, mixing.mix, lambda x: tokenids.token_digest(x, TOKENIZER)):
+        assert op(none).count() == 0
+    assert vectors.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def plain_pipeline(model, rows, items):
+    """(doc_id, start, n_tokens, ids_crc32) of the five stages, each by a loop over all that is left."""
+    from tokenizers import Tokenizer
+
+    rows = [r for r in rows if plain_quality(model, r[1]) >= 0.7]
+    rows = [r for i, (r, c) in enumerate(zip(rows, plain_classes([r[1] for r in rows]))) if c == i]
+    plain = lambda t: "".join(" " if x in decontam.string.punctuation else x for x in (t or "").lower()).split()
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            left = 0
+            for j, y in enumerate(b):
+                left, row[j + 1] = row[j + 1], left + 1 if x == y else max(row[j], row[j + 1])
+        return row[-1]
+
+    rows = [r for r in rows if not any(lcs(item, plain(r[1])) >= 0.8 * len(item) for item in map(plain, items))]
+    size = lambda r: len((r[1] or "").split())
+    sources = sorted({r[2] for r in rows if r[2] is not None}) + [None] * any(r[2] is None for r in rows)
+    weight = {x: (3.0, 1.0, 2.0)[k % 3] for k, x in enumerate(sources)}
+    full = {x: sum(size(r) for r in rows if r[2] == x) for x in sources}
+    target, left, free = {}, 1.5 * sum(full.values()), set(sources)
+    while free:
+        share = {x: left * weight[x] / sum(weight[y] for y in free) for x in free}
+        over = {x for x in free if share[x] > 2 * full[x]}
+        if not over:
+            target |= share
+            break
+        for x in over:
+            target[x] = 2.0 * full[x]
+            left -= target[x]
+        free -= over
+    taken = []
+    for x in sources:
+        whole, seen = int(target[x] // full[x]) if full[x] else 0, 0
+        for r in sorted((r for r in rows if r[2] == x), key=lambda r: hashlib.md5(f"17:{r[0]}".encode()).hexdigest()):
+            extra = size(r) > 0 and seen + size(r) / 2 < target[x] - whole * full[x]
+            seen += size(r)
+            taken += [r] * (whole + extra)
+    tok, start, out = Tokenizer.from_file(TOKENIZER), 0, []
+    for r in sorted(taken, key=lambda r: r[0]):
+        ids = np.array([*tok.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")
+        out.append((r[0], start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_pipeline_against_plain_version(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(77)
+    words = [f"word{k}" for k in range(900)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [text(rng.randint(20, 50)) for _ in range(12)]
+    texts = [text(rng.randint(30, 160)) for _ in range(160)]
+    texts += [t + " tail" for t in texts[:25]] + texts[25:35] + [f"{text(40)} {item} {text(30)}" for item in items] + [" ".join(f"{w} ###" for w in text(60).split()) for _ in range(60)]
+    texts += [None, "", "   ", "short", " ".join(f"long{rng.randrange(900)}" for _ in range(20_000))]
+    rows = [(i, t, f"s{i % 4}" if i % 9 else None) for i, t in enumerate(texts)]
+    spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int("###" not in (t or "")), 0) for i, t, _ in rows if i % 3], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in pipeline.run(spark, str(tmp_path)).collect())
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = plain_pipeline(quality.train(d, spark.read.parquet(f"{tmp_path}/labels.parquet")), rows, items)
+    assert got == sorted(want) and len({r[0] for r in want}) > 100
+    # columns with other names go through all stages but the last
+    odd = d.withColumns({c: F.lit("x") for c in ("tie", "rank", "row", "copy", "score", "key")})
+    for _, stage in pipeline.STAGES[:4]:
+        assert stage(spark, odd, str(tmp_path)).columns == odd.columns
+    assert [stage(spark, d.where("false"), str(tmp_path)).count() for _, stage in pipeline.STAGES] == [0] * 5
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = pipeline.run(spark, "/root/testdata/sf0.001").collect()
