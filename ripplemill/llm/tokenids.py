@@ -125,6 +125,10 @@ LETTER, NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3
 WORDS = re.compile(rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBER}]+| ?[^\t-\r {LETTER}{NUMBER}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
+#: What the start-up check of a tokenizer file found, once a process.
+AGREES: dict[str, bool] = {}
+
+
 def start_up_texts() -> list[str]:
     """Every character that words are cut at or made of, in each kind of neighbourhood."""
     every = [c for c in map(chr, range(0x2028)) if not UNSURE.match(c)]
@@ -158,9 +162,11 @@ class Encoder:
         special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(special)) if special else None
         if self.by_word:
-            texts = start_up_texts()
-            self.by_word = self(texts) == self._whole(texts)
-            self.known.clear()
+            if path not in AGREES:
+                texts = start_up_texts()
+                AGREES[path] = self(texts) == self._whole(texts)
+                self.known.clear()
+            self.by_word = AGREES[path]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
