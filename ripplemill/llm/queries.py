@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, jaccard, mixing, preference, quality, substrings, tokenids, toxicity, vectors
+from . import centroids, decontam, html_text, infill, jaccard, languages, mixing, preference, quality, substrings, tokenids, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,37 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_digest(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_vectors, op3_ngram_join, op4_main_text, op5_preference, op6_toxicity, op7_decontamination, op8_mixing, op9_substrings, op10_token_ids)}
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return languages.identify(docs, languages.train(docs))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(centroids.cluster(_table(spark, sf_dir, "embeddings"))).drop("n_exact")
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
+    digests = [F.sha2(F.col("output"), 256).alias("output_sha256"), F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality, op2_vectors, op3_ngram_join, op4_main_text, op5_preference, op6_toxicity, op7_decontamination, op8_mixing, op9_substrings, op10_token_ids, op11_language, op12_centroids, op13_infill)
+}
+
+
+def _rounds(n: int) -> str:
+    """SQL of the rounds of op12: a<k> assigns all vectors to the centroids c<k - 1>, c<k> are their new centroids."""
+    parts = []
+    for k in range(1, n + 2):
+        parts.append(f"a{k} AS MATERIALIZED (SELECT r, arg_min(cluster, d * 64 + cluster) AS cluster, min(d) AS distance FROM (SELECT r, cluster, sum((q - c) * (q - c))::BIGINT AS d FROM x JOIN c{k - 1} USING (j) GROUP BY r, cluster) GROUP BY r)")
+        if k <= n:
+            mean = "(s - ((s % n) + n) % n) // n"
+            parts.append(f"c{k} AS MATERIALIZED (SELECT o.cluster, o.j, coalesce({mean}, o.c)::BIGINT AS c FROM c{k - 1} o LEFT JOIN (SELECT cluster, j, sum(q)::BIGINT AS s, count(*) AS n FROM x JOIN a{k} USING (r) GROUP BY cluster, j) USING (cluster, j))")
+    return ", ".join(parts)
+
 
 ORACLE_SQL = {
     "op8_mixing": r"""
@@ -82,4 +112,18 @@ g AS (SELECT pair_id, coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 0
   coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 0 AND i > n_common), '') AS c, coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 1 AND i > n_common), '') AS r,
   coalesce(string_agg(start || '-' || (start + length(text)), ',' ORDER BY i) FILTER (side = 0 AND i > n_common AND role = 'assistant'), '') AS cl, coalesce(string_agg(start || '-' || (start + length(text)), ',' ORDER BY i) FILTER (side = 1 AND i > n_common AND role = 'assistant'), '') AS rl FROM o GROUP BY 1)
 SELECT pair_id, n_common::INT AS n_common, prompt, CASE WHEN n0 > 0 THEN c END AS chosen, CASE WHEN n1 > 0 THEN r END AS rejected, CASE WHEN n0 > 0 THEN cl END AS chosen_loss, CASE WHEN n1 > 0 THEN rl END AS rejected_loss FROM m JOIN g USING (pair_id)""",
+    "op12_centroids": f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda y: floor(256 * y::DOUBLE)::BIGINT) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = 64),
+x AS MATERIALIZED (SELECT r, unnest(range(64)) AS j, unnest(q) AS q FROM v),
+b AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS cluster FROM v WHERE vec_id IS NOT NULL ORDER BY cluster LIMIT 40),
+c0 AS MATERIALIZED (SELECT cluster, j, q AS c FROM b JOIN x USING (r)), {_rounds(5)},
+h AS (SELECT cluster, sha256(string_agg(c::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c5 GROUP BY 1)
+SELECT vec_id, a6.cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY a6.cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a6 JOIN v USING (r) JOIN h ON h.cluster = a6.cluster""",
+    "op13_infill": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+g AS (SELECT doc_id, text, length(text) AS n, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2, ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS a, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS b,
+  CASE WHEN n = 0 OR h1 IS NULL OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || text[1:a] || '<S>' || text[b + 1:] || '<M>' || text[a + 1:b] ELSE '<S>' || text[b + 1:] || '<P>' || text[1:a] || '<M>' || text[a + 1:b] END AS output FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(output) AS output_sha256, sha256(text) AS restored_sha256 FROM o""",
 }
