@@ -12,7 +12,8 @@ from ``START`` by at most doubling, here 13, 25, 50:
   earlier document too are removed. Longer levels can't add anything, for a word is covered
   by a removed window of 50 words or by none.
 
-Runs are compared by 64-bit hashes of their words. Documents with the same words throughout
+Runs are compared by hashes of 62 bits of their words, modulo two primes, and whole windows by
+two of them, 124 bits. Documents with the same words throughout (by their sha256)
 are settled first: the smallest doc_id of them goes through the levels, of the others every
 word goes (if there are 50). So copies never meet in one task. Texts are dealt once, into
 buckets by doc_id; each level shuffles what is known about documents to them.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, batches_of, broadcast_if_small, buckets_for
-from .words import Runs, flat, in_pieces, split
+from .words import PrimeRuns, flat, in_pieces, split
 
 WINDOW = 50
 START = 13
@@ -57,7 +58,7 @@ def noted(h: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
-def noted_of(runs: Runs, a: int, b: int, window: int, first: int) -> np.ndarray:
+def noted_of(runs: PrimeRuns, a: int, b: int, window: int, first: int) -> np.ndarray:
     """The noted place of each window of the text with words a to b, counted from a."""
     return noted(runs.of(np.arange(a, b - first + 1), first), window - first + 1)
 
@@ -66,7 +67,7 @@ def _first_level(window: int, first: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in in_pieces(batches):
             each, start = split(piece.column("text").to_pylist())
-            runs, n = Runs(flat(each)), np.diff(start)
+            runs, n = PrimeRuns(flat(each)), np.diff(start)
             values = [runs.of(a + np.unique(noted_of(runs, a, b, window, first)), first) if b - a >= window else np.zeros(0, np.uint64) for a, b in zip(start, start[1:])]
             whole = runs.of(start[:-1], n).view(np.int64)
             kept = [hashlib.sha256(b" ".join(words)).hexdigest() for words in each]
@@ -86,10 +87,11 @@ def _next_level(window: int, first: int, before: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in in_pieces(batches, limit=1 << 20):
             each, start = split(piece.column("text").to_pylist())
-            runs, n = Runs(flat(each)), np.diff(start)
+            word, n = flat(each), np.diff(start)
+            runs, second = PrimeRuns(word), PrimeRuns(word, 1) if length == window else None
             prints = runs.of(start[:-1], n).view(np.int64)
             known, hits = piece.column("print").to_numpy(), piece.column("hits")
-            places, values = [], []
+            places, values, others = [], [], []
             for k, (a, b) in enumerate(zip(start, start[1:])):
                 at = np.zeros(0, np.int64)
                 if b - a >= window and prints[k] == known[k]:
@@ -103,9 +105,11 @@ def _next_level(window: int, first: int, before: int, length: int):
                     value = at
                 if length < window:
                     value, at = np.unique(value), at[:0]
+                others.append(second.of(a + at, window).view(np.int64) if second else at)
                 places.append(at)
                 values.append(value)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("print"), _lists(places, pa.int32()), _lists(values, pa.int64())], ["doc_id", "print", "places", "values"])
+            lists = [_lists(places, pa.int32()), _lists(values, pa.int64()), _lists(others, pa.int64())]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("print"), *lists], ["doc_id", "print", "places", "values", "others"])
 
     return run
 
@@ -128,7 +132,7 @@ def _ranges(window: int):
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in in_pieces(batches):
         each, start = split(piece.column("text").to_pylist())
-        prints = Runs(flat(each)).of(start[:-1], np.diff(start)).view(np.int64)
+        prints = PrimeRuns(flat(each)).of(start[:-1], np.diff(start)).view(np.int64)
         rows = []
         for k, (words, ranges) in enumerate(zip(each, piece.column("ranges"))):
             if prints[k] != piece.column("print")[k].as_py():
@@ -158,9 +162,9 @@ class SubstringDedup:
         """One row a document: n_words, print, kept_sha256 of all its words, and ``first``, the smallest doc_id with its words."""
         if not hasattr(self, "_known"):
             level = self.space.keep(self.docs.mapInArrow(_first_level(self.window, self.levels[0]), "doc_id long, n_words long, print long, kept_sha256 string, values array<long>"), "noted")
-            repeated = level.where("n_words > 0").groupBy("print", "n_words").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+            repeated = level.where("n_words > 0").groupBy("kept_sha256").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
             repeated = self.space.keep(repeated, "repeated")
-            self._known = level.join(broadcast_if_small(repeated, 3 * repeated.count()), ["print", "n_words"], "left").withColumn("first", F.coalesce("first", "doc_id"))
+            self._known = level.join(broadcast_if_small(repeated, 3 * repeated.count()), "kept_sha256", "left").withColumn("first", F.coalesce("first", "doc_id"))
         return self._known
 
     def _hits(self, rows: DataFrame, length: int) -> DataFrame:
@@ -178,15 +182,15 @@ class SubstringDedup:
         rows = self.known().where(f"n_words >= {w} AND doc_id = first").select("doc_id", "print", F.explode("values").alias("value")).distinct()
         for before, length in zip(self.levels, self.levels[1:]):
             hits = self._hits(rows, before)
-            full = self._with_text(hits).select("doc_id", "text", "print", "hits").mapInArrow(_next_level(w, self.levels[0], before, length), "doc_id long, print long, places array<int>, values array<long>")
+            full = self._with_text(hits).select("doc_id", "text", "print", "hits").mapInArrow(_next_level(w, self.levels[0], before, length), "doc_id long, print long, places array<int>, values array<long>, others array<long>")
             full = space.keep(full.where(F.size("values") > 0), f"level-{length}")
             space.drop(f"values-{before}")
             rows = full.select("doc_id", "print", F.explode("values").alias("value"))
             if full.isEmpty():
                 break
-        rows = full.select("doc_id", "print", F.explode(F.arrays_zip("places", "values")).alias("x")).select("doc_id", "print", F.col("x.places").alias("place"), F.col("x.values").alias("value"))
-        first = space.keep(rows.groupBy("value").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("value", "a"), "first")
-        late = rows.join(first, "value").where("doc_id > a").groupBy("doc_id", "print").agg(F.collect_list("place").alias("places"))
+        rows = full.select("doc_id", "print", F.explode(F.arrays_zip("places", "values", "others")).alias("x")).select("doc_id", "print", F.col("x.places").alias("place"), F.col("x.values").alias("value"), F.col("x.others").alias("other"))
+        first = space.keep(rows.groupBy("value", "other").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("value", "other", "a"), "first")
+        late = rows.join(first, ["value", "other"]).where("doc_id > a").groupBy("doc_id", "print").agg(F.collect_list("place").alias("places"))
         return space.keep(late.mapInArrow(_ranges(w), "doc_id long, print long, ranges array<int>"), "ranges")
 
     def result(self) -> DataFrame:

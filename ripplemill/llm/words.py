@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -88,3 +89,45 @@ class Runs:
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         value = (self.total[start + length] - self.total[start]) * self.back[start]
         return mix(value ^ (np.asarray(length).astype(U64) * U64(0xD6E8FEB86659FD93)))
+
+
+#: Two primes below 2**31, and a base for each.
+PRIMES = ((2147483647, 1331337997), (2147483629, 1917234941))
+KEPT = 1 << 18
+
+
+@lru_cache(maxsize=8)
+def _kept_powers(base: int, prime: int) -> np.ndarray:
+    return _powers(base, prime, KEPT)
+
+
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1), by doubling."""
+    out = np.ones(max(n, 1), dtype=U64)
+    have, step = 1, base
+    while have < n:
+        m = min(have, n - have)
+        out[have : have + m] = out[:m] * U64(step) % U64(prime)
+        have, step = have + m, step * step % prime
+    return out
+
+
+class PrimeRuns:
+    """Like ``Runs``, but from sums modulo two primes, on which regular patterns of words don't cancel out; ``salt`` gives other hashes."""
+
+    def __init__(self, word: np.ndarray, salt: int = 0):
+        n, self.parts = len(word), []
+        table = _kept_powers if n < KEPT else lambda b, p: _powers(b, p, n + 1)
+        value = mix(word, 17 + salt)
+        for k, (prime, base) in enumerate(PRIMES):
+            base = (base + 7919 * salt) % prime
+            power, back = table(base, prime), table(pow(base, -1, prime), prime)
+            total = np.zeros(n + 1, dtype=U64)
+            np.cumsum((value >> U64(32 * k)) % U64(prime) * power[:n] % U64(prime), out=total[1:])
+            self.parts.append((U64(prime), total % U64(prime), back))
+
+    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        end, out = start + length, np.zeros(len(start), dtype=U64)
+        for prime, total, back in self.parts:
+            out = out << U64(31) | (total[end] + prime - total[start]) % prime * back[start] % prime
+        return mix(out ^ (np.asarray(length).astype(U64) * U64(0xD6E8FEB86659FD93)))
