@@ -46,7 +46,7 @@ MODULUS, REMAINDER = 4, 2
 MAX_BYTES = 16 << 20
 #: A gram belongs where it is at least so frequent against where it is most frequent, and was seen so often.
 RATIO, LEAST = 0.2, 3
-HASHES, SLOTS_A_GRAM = 3, 8
+HASHES, SLOTS_A_GRAM = 3, 4
 #: Distinct grams that a task counts before it hands them on.
 HELD = 1 << 18
 _letters: np.ndarray | None = None
@@ -60,52 +60,55 @@ def letters() -> np.ndarray:
     return _letters
 
 
-def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, order, text) of the grams of all texts."""
+def _step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    h = (h ^ code) * U64(0x9E3779B97F4A7C15)
+    return h ^ (h >> U64(29))
+
+
+def grams(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hash, text) of the grams of all texts, for each order; a gram's hash goes on from that of its beginning."""
     lower = [(t or b"").decode("utf-8", "replace").lower() for t in texts]
-    joined = "\n".join(["", *lower, ""])
-    code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lower])
-    owner = np.concatenate((owner, owner[-1:], owner[-1:]))[: len(code)] if len(texts) else np.zeros(len(code), np.int64)
+    code = np.frombuffer("\n".join(["", *lower, ""]).encode("utf-32-le", "replace"), np.uint32)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in lower])
+    owner = np.concatenate((owner, owner[-1:])) if len(texts) else np.zeros(len(code), np.int32)
     code = np.where(letters()[code], code, 0)
-    # signs in a row are one sign
+    # signs in a row are one sign; the sign before a text's first word is its own
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] > 0) | (code[:-1] > 0)
     code, owner = code[keep].astype(U64), owner[keep]
-    inside, parts = code > 0, []
-    for n in ORDERS:
-        m = len(code) - n + 1
-        if m <= 0:
-            continue
-        fine = np.ones(m, bool)
-        for k in range(1, n - 1):
-            fine &= inside[k : k + m]
-        if n == 2:
-            fine &= inside[:m] | inside[1 : 1 + m]
-        at = np.flatnonzero(fine)
-        h = np.full(len(at), n, U64)
-        for k in range(n):
-            h = mix(h ^ code[at + k], n)
-        # the sign before a text's first word is the end of the text before
-        parts.append((h, np.full(len(at), n, np.int8), np.where(inside[at], owner[at], owner[np.minimum(at + 1, len(owner) - 1)])))
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, U64), np.zeros(0, np.int8), np.zeros(0, np.int64))
+    inside, h, within, parts = code > 0, _step(code, U64(1)), None, []
+    for n in range(2, max(ORDERS) + 1):
+        m = max(len(code) - n + 1, 0)
+        h = _step(h[:m], code[n - 1 : n - 1 + m])
+        # letters between the first and the last sign
+        within = inside[1 : 1 + m] if n == 3 else within[:m] & inside[n - 2 : n - 2 + m] if n > 3 else np.ones(m, bool)
+        if n in ORDERS:
+            at = np.flatnonzero(within)
+            parts.append((h[at], np.where(inside[at], owner[at], owner[at + 1])))
+    return parts
 
 
 def slots(h: np.ndarray, size: int) -> list[np.ndarray]:
-    """The slots of each gram; ``size`` is a power of two."""
-    return [(mix(h, 100 + k) & U64(size - 1)).astype(np.int64) for k in range(HASHES)]
+    """The slots of each gram, from parts of its hash; ``size`` is a power of two."""
+    if size > 1 << 21:
+        return [(mix(h, 100 + k) & U64(size - 1)).astype(np.int64) for k in range(HASHES)]
+    return [(h >> U64(1 + 21 * k) & U64(size - 1)).astype(np.int64) for k in range(HASHES)]
+
+
+#: The bits of each byte.
+_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float64)
 
 
 @dataclass
 class Filters:
-    """``table`` (slots, words of 64 languages), ``false``: how often each language's filter says yes to a strange gram."""
+    """``table`` (slots, bytes of 8 languages), ``false``: how often each language's filter says yes to a strange gram."""
 
     languages: list[str]
     table: np.ndarray
     false: np.ndarray
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        """All languages that hold each gram, as bits."""
+        """All languages that hold each gram, as bits: one row of bytes a gram."""
         a, *rest = slots(h, len(self.table))
         found = self.table[a]
         for b in rest:
@@ -114,18 +117,15 @@ class Filters:
 
     def shares(self, texts: list[bytes | None]) -> np.ndarray:
         """The share of each text's grams that each language holds, less what its filter says yes to wrongly."""
-        h, order, text = grams(texts)
-        bits, k = self.masks(h), len(self.languages)
-        total = np.zeros((len(texts), k))
-        orders = np.zeros(len(texts))
-        for n in ORDERS:
-            on = order == n
-            count = np.bincount(text[on], minlength=len(texts)).astype(np.float64)
+        k, total, orders = len(self.languages), np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        for h, text in grams(texts):
+            found = self.masks(h)
+            count = np.bincount(text, minlength=len(texts)).astype(np.float64)
+            # equal masks of a text are counted together, then their bits
+            yes = [np.bincount(text * 256 + found[:, w], minlength=256 * len(texts)).reshape(-1, 256) @ _BITS for w in range(found.shape[1])]
+            held = (np.concatenate(yes, axis=1)[:, :k] - count[:, None] * self.false) / np.maximum(1 - self.false, 1e-9)
+            total += np.maximum(held, 0) / np.maximum(count, 1)[:, None]
             orders += count > 0
-            for j in range(k):
-                yes = np.bincount(text[on], weights=(bits[on, j // 64] >> U64(j % 64) & U64(1)).astype(np.float64), minlength=len(texts))
-                held = (yes - count * self.false[j]) / max(1 - self.false[j], 1e-9)
-                total[:, j] += np.maximum(held, 0) / np.maximum(count, 1)
         return total / np.maximum(orders, 1)[:, None]
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
@@ -149,7 +149,7 @@ def _count(numbers: dict[str, int]):
             return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1].astype(np.int32)), pa.array(counts)], ["gram", "language", "n"])
 
         for piece in in_pieces(batches):
-            h, order, text = grams(piece.column("text").to_pylist())
+            h, text = (np.concatenate(x) for x in zip(*grams(piece.column("text").to_pylist())))
             language = np.array([numbers[x] for x in piece.column("lang").to_pylist()], np.int64)[text]
             for k in np.unique(language):
                 g, n = np.unique(h[language == k], return_counts=True)
@@ -173,19 +173,18 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _slot_rows(size: int, words: int):
-    """(slot, word, mask) of each gram's slots; ``languages`` are the bits to set."""
+def _slot_rows(size: int):
+    """(slot, byte, mask) of each gram's slots; ``languages`` are the bits to set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column("gram").to_numpy().view(U64)
-            lists = batch.column("languages")
+            h, lists = batch.column("gram").to_numpy().view(U64), batch.column("languages")
             row, bit = np.repeat(np.arange(len(h)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
-            mask = np.zeros((len(h), words), U64)
-            np.bitwise_or.at(mask, (row, bit // 64), U64(1) << (bit % 64).astype(U64))
-            at, word = np.nonzero(mask)
+            mask = np.zeros((len(h), 1 + int(bit.max(initial=0)) // 8), np.int64)
+            np.bitwise_or.at(mask, (row, bit // 8), 1 << bit.astype(np.int64) % 8)
+            at, byte = np.nonzero(mask)
             three = [s[at] for s in slots(h, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(three)), pa.array(np.tile(word, HASHES).astype(np.int32)), pa.array(np.tile(mask[at, word].view(np.int64), HASHES))], ["slot", "word", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(three)), pa.array(np.tile(byte, HASHES).astype(np.int32)), pa.array(np.tile(mask[at, byte], HASHES))], ["slot", "byte", "mask"])
 
     return run
 
@@ -200,16 +199,16 @@ def train(docs: DataFrame, held: Column | None = None, max_bytes: int = MAX_BYTE
     # one row a language
     sizes = {r["lang"]: r["bytes"] for r in rows.groupBy("lang").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).collect()}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
-    numbers, words = {x: k for k, x in enumerate(languages)}, max(1, -(-len(languages) // 64))
+    numbers, width = {x: k for k, x in enumerate(languages)}, max(1, -(-len(languages) // 8))
     if not languages:
-        return Filters([], np.zeros((1, 1), U64), np.zeros(0))
+        return Filters([], np.zeros((1, 1), np.uint8), np.zeros(0))
     rate = F.create_map(*[F.lit(v) for x in languages for v in (x, min(1.0, max_bytes / max(sizes[x], 1)))])
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_003)) < F.element_at(rate, F.col("lang")) * 1_000_003)
     parts = drawn.select("lang", "text").mapInArrow(_count(numbers), "gram long, language int, n long")
     counts = space.keep(parts.groupBy("gram", "language").agg(F.sum("n").alias("n")), "counts")
     totals = {r["language"]: r["n"] for r in counts.groupBy("language").agg(F.sum("n").alias("n")).collect()}
     if not totals:
-        return Filters(languages, np.zeros((1, words), U64), np.zeros(len(languages)))
+        return Filters(languages, np.zeros((1, width), np.uint8), np.zeros(len(languages)))
     total = F.create_map(*[F.lit(v) for k, n in totals.items() for v in (k, float(n))])
     often = counts.withColumn("often", F.col("n") / F.element_at(total, F.col("language")))
     most = often.groupBy("gram").agg(F.max("often").alias("most"), F.sum("n").alias("all"), F.collect_list(F.struct("language", "often")).alias("each"))
@@ -217,10 +216,10 @@ def train(docs: DataFrame, held: Column | None = None, max_bytes: int = MAX_BYTE
     known = space.keep(most.where(F.col("all") >= LEAST).select("gram", belongs.alias("languages")), "known")
     size = 1 << max(10, int(np.ceil(np.log2(SLOTS_A_GRAM * max(known.count(), 1)))))
     # bounded by the text that is learnt from
-    filled = known.mapInArrow(_slot_rows(size, words), "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    table = np.zeros((size, words), U64)
-    table[filled["slot"].to_numpy(), filled["word"].to_numpy()] = filled["mask"].to_numpy().view(U64)
-    full = np.array([(table[:, k // 64] >> U64(k % 64) & U64(1)).mean() for k in range(len(languages))])
+    filled = known.mapInArrow(_slot_rows(size), "slot long, byte int, mask long").groupBy("slot", "byte").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table = np.zeros((size, width), np.uint8)
+    table[filled["slot"].to_numpy(), filled["byte"].to_numpy()] = filled["mask"].to_numpy()
+    full = np.unpackbits(table, axis=1, bitorder="little").mean(0)[: len(languages)]
     return Filters(languages, table, full**HASHES)
 
 
