@@ -11,7 +11,7 @@ from .working import written
 REUSE_S = 21600.0
 
 
-def _root(tree: DataFrame, authors: DataFrame) -> DataFrame:
+def tree_roots(tree: DataFrame, authors: DataFrame) -> DataFrame:
     """(root_id, n, t0, platform0): edges, and time and platform of the root's own post or else its first child's."""
     own = authors.where("content_id = root_id").groupBy("root_id").agg(F.min("t").alias("at"), F.min_by("platform", "t").alias("p"))
     e = tree.groupBy("root_id").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.min_by("platform", F.struct("t", "target_id")).alias("first_p"))
@@ -31,15 +31,15 @@ def structure(tree: DataFrame) -> DataFrame:
     )
 
 
-def _with_parent(tree: DataFrame, root: DataFrame) -> DataFrame:
+def with_parent(tree: DataFrame, root: DataFrame) -> DataFrame:
     """Tree edges with the time and platform of the parent post; unknown parents give nulls."""
     parents = tree.select("root_id", F.col("target_id").alias("source_id"), F.col("t").alias("pt"), F.col("platform").alias("pp")).union(root.select("root_id", "root_id", "t0", "platform0"))
     return tree.join(parents, ["root_id", "source_id"], "left")
 
 
 def timing(tree: DataFrame, authors: DataFrame) -> DataFrame:
-    root = _root(tree, authors)
-    e = _with_parent(tree, root).join(root.select("root_id", "t0", "n"), "root_id")
+    root = tree_roots(tree, authors)
+    e = with_parent(tree, root).join(root.select("root_id", "t0", "n"), "root_id")
     order = Window.partitionBy("root_id").orderBy("t", "target_id")
     rate = Window.partitionBy("root_id").orderBy("t").rangeBetween(0, 60)
     e = e.withColumn("i", F.row_number().over(order)).withColumn("rate", F.count("*").over(rate)).withColumn("gap", F.col("t") - F.coalesce(F.lag("t").over(order), F.col("t0"))).withColumn("delay", F.col("t") - F.col("pt"))
@@ -63,8 +63,8 @@ def timing(tree: DataFrame, authors: DataFrame) -> DataFrame:
 
 
 def platforms(tree: DataFrame, authors: DataFrame) -> DataFrame:
-    root = _root(tree, authors)
-    e = _with_parent(tree, root).join(root.select("root_id", "t0"), "root_id")
+    root = tree_roots(tree, authors)
+    e = with_parent(tree, root).join(root.select("root_id", "t0"), "root_id")
     crossed = F.col("pp").isNull() | (F.col("pp") != F.col("platform"))
     return e.groupBy("root_id").agg(
         F.countDistinct("platform").alias("n_platforms"), F.avg(crossed.cast("double")).alias("cross_platform_edge_frac"),
@@ -72,20 +72,31 @@ def platforms(tree: DataFrame, authors: DataFrame) -> DataFrame:
     )
 
 
-def author_reuse(tree: DataFrame, authors: DataFrame) -> DataFrame:
-    """How far a cascade's authors also wrote in cascades that started in the six hours before it."""
-    root = _root(tree, authors).select("root_id", "start")
-    order = root.withColumn("ord", F.struct("start", "root_id"))
-    rows = authors.join(order, "root_id")
+def _shared_authors(tree: DataFrame, authors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(root_id, author_id, k): posts of each author in each cascade; and (c, author_id, p): cascades p within the six hours before c that the author wrote in too."""
+    root = tree_roots(tree, authors).select("root_id", "start")
+    rows = authors.join(root.withColumn("ord", F.struct("start", "root_id")), "root_id")
     per = rows.groupBy("root_id", "author_id").agg(F.count("*").alias("k"), F.first("ord").alias("ord"))
-    own = rows.groupBy("root_id").agg(F.count("*").alias("rows"), F.countDistinct("author_id").alias("authors"))
-    most = per.groupBy("root_id").agg(F.max("k").alias("most"))
     # equi-join on the author with a range, in time buckets of the window's length so that a busy author is split
     bucket = lambda c: F.floor(c / REUSE_S)
     now = per.select(F.col("root_id").alias("c"), "author_id", F.col("ord").alias("co"), F.explode(F.array(bucket(F.col("ord.start")), bucket(F.col("ord.start")) - 1)).alias("bucket"))
     past = per.select(F.col("root_id").alias("p"), "author_id", F.col("ord").alias("po"), bucket(F.col("ord.start")).alias("bucket"))
     both = now.join(past, ["author_id", "bucket"]).where((F.col("po") < F.col("co")) & (F.col("po.start") >= F.col("co.start") - REUSE_S))
-    prior = per.select("root_id", "author_id").join(both.groupBy(F.col("c").alias("root_id"), "author_id").agg(F.countDistinct("p").alias("prior")), ["root_id", "author_id"], "left").fillna(0, ["prior"])
+    return per, both
+
+
+def prior_cascades(tree: DataFrame, authors: DataFrame) -> DataFrame:
+    """(root_id, author_id, prior): in how many cascades of the six hours before this one each of its authors wrote."""
+    per, both = _shared_authors(tree, authors)
+    return per.select("root_id", "author_id").join(both.groupBy(F.col("c").alias("root_id"), "author_id").agg(F.countDistinct("p").alias("prior")), ["root_id", "author_id"], "left").fillna(0, ["prior"])
+
+
+def author_reuse(tree: DataFrame, authors: DataFrame) -> DataFrame:
+    """How far a cascade's authors also wrote in cascades that started in the six hours before it."""
+    per, both = _shared_authors(tree, authors)
+    own = per.groupBy("root_id").agg(F.sum("k").alias("rows"), F.count("*").alias("authors"))
+    most = per.groupBy("root_id").agg(F.max("k").alias("most"))
+    prior = prior_cascades(tree, authors)
     p = prior.groupBy("root_id").agg(F.avg("prior").alias("prior_author_mean"), F.max("prior").alias("prior_author_max"), F.avg((F.col("prior") > 0).cast("double")).alias("prior_author_frac"), F.percentile("prior", 0.75).alias("prior_author_p75"), F.avg((F.col("prior") >= 3).cast("double")).alias("prior_author_frac_ge3"))
     shared = both.groupBy(F.col("c").alias("root_id"), "p").agg(F.countDistinct("author_id").alias("shared"))
     linked = both.select(F.col("c").alias("root_id"), "p", "author_id").distinct().join(shared.where("shared >= 2"), ["root_id", "p"]).groupBy("root_id").agg(F.countDistinct("author_id").alias("linked"))

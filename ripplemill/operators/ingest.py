@@ -14,7 +14,9 @@ RECORD = "id string, platform string, type string, author string, text string, t
 
 def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``raw`` (topic, partition, offset, value string) to (records, dead letters)."""
-    parsed = raw.withColumn("r", F.from_json(strip_nul(F.col("value")), RECORD + ", _corrupt_record string", {"mode": "PERMISSIVE"}))
+    parsed = raw.withColumn("r", F.from_json("value", RECORD + ", _corrupt_record string", {"mode": "PERMISSIVE"}))
+    clean = parsed.withColumn("r", strip_nul(F.col("r"), parsed.schema["r"].dataType))
+    parsed = clean
     bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull() | F.coalesce(F.col("r.id"), F.lit("")).isin("")
     dead = parsed.where(bad).select("topic", "partition", "offset", F.when(F.col("r._corrupt_record").isNotNull() | F.col("r").isNull(), "not JSON").otherwise("no id").alias("error"), "value")
     records = parsed.where(~bad).select("topic", "partition", "offset", "r.*").drop("_corrupt_record")

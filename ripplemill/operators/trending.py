@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import lookup
+from ..functions.scalars import short_code
 
 KINDS = ["named_entity", "repo", "content"]
 SLOTS = 12
-# Platform codes of the topic list.
-CODES = {"bluesky": "bsky", "mastodon": "mdn", "hn": "hn", "github": "gh"}
 
 
 def trending(nodes: DataFrame, edges: DataFrame, as_of, minutes: float, limit: int = 50) -> DataFrame:
@@ -62,8 +60,8 @@ def by_spread(rows: DataFrame) -> DataFrame:
 def topics(rows: DataFrame, alarms: DataFrame, as_of, recent_s: float) -> DataFrame:
     """Trending rows with short platform codes, and ``breaking`` where an alarm (id, t) is recent."""
     loud = alarms.where(F.col("t") >= as_of - recent_s).select("id").distinct().withColumn("breaking", F.lit(True))
-    short = F.array_sort(F.array_distinct(F.transform(F.split("platforms", ","), lambda x: lookup(CODES, x, "?"))))
-    return rows.join(loud, "id", "left").fillna(False, ["breaking"]).withColumn("short", F.concat_ws(",", F.filter(short, lambda x: x != "?")))
+    short = F.array_sort(F.array_distinct(F.transform(F.split("platforms", ","), short_code)))
+    return rows.join(loud, "id", "left").fillna(False, ["breaking"]).withColumn("short", F.concat_ws(",", short))
 
 
 def steps(arrivals: DataFrame, rows: DataFrame) -> DataFrame:

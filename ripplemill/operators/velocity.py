@@ -74,7 +74,7 @@ def _median(x: Column) -> Column:
     return (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2 + 1).cast("int"))) / 2
 
 
-def zscores(v: DataFrame) -> DataFrame:
+def zscores(v: DataFrame, digits: int = 4) -> DataFrame:
     """z of the mean and deviation, and of the median and its deviation, of the last 60 samples before each."""
     before = Window.partitionBy("entity_id").orderBy("arrival").rowsBetween(-HISTORY, -1)
     h = v.withColumns({"std": F.stddev_pop("velocity").over(before), "h": F.collect_list("velocity").over(before)}).where(F.size("h") >= LEAST)
@@ -83,8 +83,8 @@ def zscores(v: DataFrame) -> DataFrame:
     h = h.withColumn("mad", _median(F.transform("h", lambda x: F.abs(x - F.col("med")))))
     return h.select(
         "entity_id", "arrival", "velocity",
-        F.when(F.col("std") > 1e-12, F.round((F.col("velocity") - F.col("mean")) / F.col("std"), 4)).alias("zscore"),
-        F.when(F.col("mad") > 1e-12, F.round((F.col("velocity") - F.col("med")) / (1.4826 * F.col("mad")), 4)).alias("robust"),
+        F.when(F.col("std") > 1e-12, F.round((F.col("velocity") - F.col("mean")) / F.col("std"), digits)).alias("zscore"),
+        F.when(F.col("mad") > 1e-12, F.round((F.col("velocity") - F.col("med")) / (1.4826 * F.col("mad")), digits)).alias("robust"),
     )
 
 
@@ -131,7 +131,7 @@ class Baseline:
         self.v: deque = deque(maxlen=HISTORY)
         self.n: deque = deque(maxlen=HISTORY)
         self.mean = self.var = None
-        self.s, self.threshold = 0.0, threshold
+        self.s, self.gain, self.threshold, self.exact = 0.0, 0.0, threshold, (None, None, None)
 
     def rate(self) -> tuple[float, float | None]:
         """Poisson rate of the quieter four fifths; shape of the winsorised negative binomial, if overdispersed."""
@@ -161,12 +161,14 @@ class Baseline:
             rate, shape = self.rate()
             poisson = upper_z(log_tail(n, rate, None))
             negbin = poisson if shape is None else upper_z(log_tail(n, rate, shape))
-            self.s = max(0.0, self.s + poisson - SLACK)
+            self.gain = poisson - SLACK
+            self.s = max(0.0, self.s + self.gain)
             cusum, fired = self.s, self.s >= self.threshold
             if fired:
                 self.s = 0.0
         self.v.append(v)
         self.n.append(n)
+        self.exact = (ewma, poisson, negbin)
         r = lambda x: None if x is None else round(x, 4)
         return r(ewma), r(poisson), r(negbin), r(cusum), fired
 

@@ -146,18 +146,39 @@ def b4_trimmed_poisson(spark, sf):
 
 
 def _replies(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "Organic").when(F.col("doc_id") % 4 == 1, "bot storm").otherwise("coordinated_amplification").alias("c"), (F.col("doc_id") % 13 / 10).alias("sure"), "source", "lang")
-    evidence = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit(" "))).when(F.col("doc_id") % 5 == 1, F.lit(None)).otherwise(F.array("lang", F.lit("")))
-    body = F.to_json(F.struct(F.col("c").alias("classification"), F.col("sure").alias("confidence"), F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.coalesce(evidence, F.array().cast("array<string>"))).alias("evidence")))
-    return d.select(F.col("doc_id").alias("anomaly_id"), F.concat(F.lit("entity:"), "source").alias("node_id"), F.col("lang").alias("platform"), F.concat(F.lit("<think>{no}</think>\n```json\n"), body, F.lit("\n```")).alias("reply"))
+    """Replies on all documents: classes as they should be, in capitals and made up; confidences as numbers, texts, truths and words; steps missing; tools that found something, nothing, other nodes, or were not called."""
+    k = lambda n: F.col("doc_id") % n
+    d = table(spark, sf, "documents")
+    c = F.when(k(4) == 0, "Organic").when(k(4) == 1, "bot storm").when(k(4) == 2, "organic").otherwise("coordinated_amplification")
+    sure = F.when(k(6) == 0, (k(13) / 10).cast("string")).when(k(6) == 1, F.concat(F.lit('" '), (k(13) / 10).cast("string"), F.lit(' "'))).when(k(6) == 2, F.lit("true")).when(k(6) == 3, F.lit('"high"')).when(k(6) == 4, F.lit("null")).otherwise(F.lit("-1e-1"))
+    steps = F.when(k(7) != 0, F.lit(', "reasoning_steps": ["a", "b"]')).otherwise(F.lit(""))
+    signals = F.when(k(5) == 0, F.lit('"ab"')).when(k(5) == 1, F.lit("[]")).otherwise(F.concat(F.lit('["'), "lang", F.lit('", 7]')))
+    body = F.concat(F.lit('{"classification": "'), c, F.lit('", "confidence": '), sure, F.lit(', "signals": '), signals, steps, F.lit("}"))
+    reply = F.when(k(3) == 0, F.concat(F.lit("<think>{no}</think>\n```json\n"), body, F.lit("\n``` and {more}"))).when(k(3) == 1, F.concat(F.lit("So: "), body, F.lit(" I hope."))).otherwise(body)
+    event = lambda tool, empty: F.struct(F.lit(tool).alias("tool"), F.concat(F.lit("saw "), "source").alias("summary"), F.lit(empty).alias("empty"))
+    events = F.when(k(11) == 0, F.array().cast("array<struct<tool: string, summary: string, empty: boolean>>")).when(k(11) == 1, F.array(event("get_path", True))).when(k(11) == 2, F.array(event("search_similar_trends", False))).otherwise(F.array(event("get_path", True), event("get_activity", False)))
+    return d.select(F.col("doc_id").alias("anomaly_id"), F.concat(F.lit("entity:"), "source").alias("node_id"), F.col("lang").alias("platform"), reply.alias("reply"), events.alias("events"))
+
+
+#: The same verdicts from the numbers that the replies were made of.
+JUDGED = """j0 AS (SELECT doc_id AS anomaly_id, 'entity:' || source AS trend, lang AS platform_origin, doc_id % 7 <> 0 AND doc_id % 6 NOT IN (3, 4) AND doc_id % 11 <> 0 AS valid, doc_id % 11 IN (1, 2) AS bare,
+  CASE doc_id % 4 WHEN 2 THEN 'organic' WHEN 3 THEN 'coordinated_amplification' ELSE 'uncertain' END AS named, CASE doc_id % 6 WHEN 2 THEN 1.0::DOUBLE WHEN 5 THEN -0.1::DOUBLE ELSE doc_id % 13 / 10.0::DOUBLE END AS sure,
+  CASE doc_id % 5 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN []::VARCHAR[] ELSE [lang, '7'] END AS said, CASE WHEN doc_id % 11 = 1 THEN ['get_path: saw ' || source] WHEN doc_id % 11 = 2 THEN ['search_similar_trends: saw ' || source] ELSE ['get_path: saw ' || source, 'get_activity: saw ' || source] END AS seen FROM documents),
+ j1 AS (SELECT *, CASE WHEN bare THEN 'uncertain' ELSE named END AS classification, CASE WHEN bare THEN least(sure, 0.3) ELSE sure END AS confidence, CASE WHEN bare THEN list_prepend('the tools found no graph evidence for this node', said) ELSE said END AS signals FROM j0)"""
+
+
+@query(f", {JUDGED} SELECT anomaly_id, valid, CASE WHEN valid THEN classification END AS classification, CASE WHEN valid THEN round(confidence, 6) END AS confidence, CASE WHEN valid THEN array_to_string(signals, '|') END AS signals, CASE WHEN valid THEN array_to_string(seen, '|') END AS evidence FROM j1")
+def x11_x12_verdicts(spark, sf):
+    joined = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("|", c)).alias(c)
+    return P.verdicts(_replies(spark, sf)).select("anomaly_id", "valid", "classification", "confidence", joined("signals"), joined("evidence")).transform(_r)
 
 
 @query(
-    "SELECT doc_id AS anomaly_id, doc_id % 7 <> 0 AS valid, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 IN (0, 1) OR doc_id % 4 = 1 THEN 'uncertain' WHEN doc_id % 4 = 0 THEN 'organic' ELSE 'coordinated_amplification' END AS classification, "
-    "CASE WHEN doc_id % 7 <> 0 THEN round(least(CASE WHEN doc_id % 5 IN (0, 1) THEN 0.3 ELSE 1.0 END, doc_id % 13 / 10.0::DOUBLE), 6) END AS confidence FROM documents"
+    f", {JUDGED} SELECT anomaly_id, trend, platform_origin, classification, round(confidence, 6) AS confidence, '[' || array_to_string(list_transform(signals, lambda x: '\"' || x || '\"'), ',') || ']' AS signals, '[]' AS similar_past_cases, 2 AS agent_reasoning_steps, '[\"a\",\"b\"]' AS reasoning_steps_detail, confidence < 0.55 AS needs_review FROM j1 WHERE valid"
 )
-def x11_x12_verdicts(spark, sf):
-    return P.verdicts(_replies(spark, sf)).select("anomaly_id", "valid", "classification", "confidence").transform(_r)
+def w7_case_files(spark, sf):
+    """The case files that valid verdicts give, with their counted steps and whether they wait for a review."""
+    return P.case_files(P.verdicts(_replies(spark, sf))).transform(_r)
 
 
 @query("SELECT id, starts_with(id, 'entity:') OR starts_with(id, 'github:repo:') AS topic FROM n")
@@ -165,7 +186,7 @@ def x13_topics(spark, sf):
     return graph(spark, sf).nodes.select("id", P.is_topic(F.col("id")).alias("topic"))
 
 
-@query("SELECT doc_id AS anomaly_id FROM documents WHERE doc_id % 7 = 0")
+@query(f", {JUDGED} SELECT anomaly_id FROM j1 WHERE NOT valid")
 def w6_w7_open_anomalies(spark, sf):
     """Anomalies that no case file settles, of verdicts on all of them."""
     r = _replies(spark, sf)
@@ -227,24 +248,11 @@ def m7_attributions(spark, sf):
     return L.attributed(L.logistic(few).fit(rows), rows, few, "row_id", 2)
 
 
-@query()
-def e9_e10_detectors(spark, sf):
-    """Cards of two detectors on held-out topics at the thresholds that tuning topics choose."""
-    m = A.mentions(graph(spark, sf).edges)
-    z = written(A.zscores(A.velocity(m)).join(m.select("entity_id", "arrival", "t"), ["entity_id", "arrival"]), "z")
-    scores = z.select(F.lit("zscore").alias("detector"), "entity_id", "t", F.col("zscore").alias("z")).union(z.select(F.lit("robust"), "entity_id", "t", F.col("robust")))
-    at = A.threshold_scores(scores, [1.5, 2.0, 2.5, 3.0, 4.0])
-    first = m.groupBy("entity_id").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    clock = first.select("entity_id", ((F.col("b") - F.col("a")) / 86400).alias("days"))
-    onsets = posts(spark, sf).where("value > 60").select(F.col("topic").alias("entity_id"), F.col("t").alias("onset"))
-    tuning = lambda df, on: df.where((F.pmod(F.xxhash64("entity_id"), F.lit(2)) == 0) == F.lit(on))
-    cards = [A.scorecard(tuning(at, x), tuning(onsets, x), tuning(clock, x), ["detector", "threshold"]) for x in (True, False)]
-    return A.pick_and_hold_out(cards[0], cards[1], 10.0).transform(_r)
-
-
 @query()
 def x10_seen_set(spark, sf):
     """Records of the raw log, each id of a platform once."""
     return X.parse(_raw(spark, sf))[0].groupBy("platform").agg(F.count("*").alias("n"))
 
 
+ORACLE_SQL["p10_plausible_words"] = ORACLE_SQL["p10_plausible_of_all_words"]
+ORACLE_SQL["p11_strip_nul_all"] = ORACLE_SQL["p11_strip_nul_everywhere"]

@@ -84,7 +84,7 @@ def p5_prefixes(spark, sf):
 @query
 def p8_p12_p15_projection(spark, sf):
     n = graph(spark, sf).nodes.where("type <> 'content'")
-    return n.select("id", S.lookup(S.SHORT, F.col("platform"), "?").alias("short"), F.coalesce(S.node_url(F.col("id"), F.col("type"), F.col("label")), F.lit("-")).alias("url"), F.nullif(F.col("type"), F.lit("author")).alias("kind")).where("short <> '?'")
+    return n.select("id", S.short_code(F.col("platform")).alias("short"), F.coalesce(S.node_url(F.col("id"), F.col("type"), F.col("label")), F.lit("-")).alias("url"), F.nullif(F.col("type"), F.lit("author")).alias("kind"))
 
 
 @query
@@ -96,29 +96,34 @@ def p9_language_gate(spark, sf):
 
 @query
 def p10_plausible_entities(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.split(F.col("text"), " ")[0].alias("w")).select("doc_id", S.plausible_entity(F.col("w")).alias("plausible"))
+    """The lines of all documents, each with its line end, as they might be tagged."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "w"))
+    return lines.select("doc_id", "line", S.plausible_entity(F.concat("w", F.lit("\n"))).alias("plausible")).transform(_r)
 
 
 @query
 def p11_strip_nul(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 3 = 0")
-    raw = F.concat(F.lit('{"a": "'), F.col("lang"), F.lit("\\u0000x"), F.lit('"}'))
-    return d.select("doc_id", F.get_json_object(S.strip_nul(raw), "$.a").alias("a"))
+    """Records with NUL in a text, a list and a key, and with a text that only looks like an escaped NUL; stripped once parsed."""
+    d = table(spark, sf, "documents")
+    raw = F.to_json(F.struct(F.concat("lang", F.lit("\x00x")).alias("a"), F.array(F.lit("\x00"), F.concat(F.lit("\\u0000"), "source")).alias("b"), F.create_map(F.lit("k\x00"), F.lit("v\x00")).alias("c")))
+    parsed = d.select("doc_id", F.from_json(raw, "a string, b array<string>, c map<string, string>").alias("r"))
+    r = S.strip_nul(F.col("r"), parsed.schema["r"].dataType)
+    return parsed.select("doc_id", r.alias("r")).select("doc_id", "r.a", F.concat_ws("|", "r.b").alias("b"), F.concat_ws(",", F.map_keys("r.c"), F.map_values("r.c")).alias("c"))
 
 
 @query
 def p10_plausible_words(spark, sf):
-    """All words of all documents; p10_plausible_entities judges a document's first."""
+    """All words of all documents; p10_plausible_entities judges lines."""
     words = F.split(F.coalesce("text", F.lit("")), " ")
     return table(spark, sf, "documents").select("doc_id", F.size(F.filter(words, S.plausible_entity)).alias("plausible"), F.size(words).alias("words")).transform(_r)
 
 
 @query
 def p11_strip_nul_all(spark, sf):
-    """Texts of all documents with a NUL put in; p11_strip_nul takes every third document."""
+    """Texts of all documents with a NUL put in."""
     raw = F.to_json(F.struct(F.concat(F.col("text"), F.lit("\x00x")).alias("a")))
-    return table(spark, sf, "documents").select("doc_id", F.get_json_object(S.strip_nul(raw), "$.a").alias("a"))
+    parsed = table(spark, sf, "documents").select("doc_id", F.from_json(raw, "a string").alias("r"))
+    return parsed.select("doc_id", S.strip_nul(F.col("r.a"), parsed.schema["r"].dataType["a"].dataType).alias("a"))
 
 
 @query
@@ -519,12 +524,13 @@ def b3_b6_sequential(spark, sf):
 
 @query
 def b3_ewma(spark, sf):
-    return A.sequential_scores(A.velocity(A.mentions(graph(spark, sf).edges).where("entity_id = 'entity:org:click'"))).select("arrival", "ewma").transform(_r)
+    """The exponentially weighted score of every sample of every topic."""
+    return A.sequential_scores(A.velocity(A.mentions(graph(spark, sf).edges))).select("entity_id", "arrival", "ewma").transform(_r)
 
 
 @query
 def b4_poisson_tail(spark, sf):
-    n = A.velocity(A.mentions(graph(spark, sf).edges)).select("entity_id", "arrival", F.least("n_events", F.lit(12)).alias("n"))
+    n = A.velocity(A.mentions(graph(spark, sf).edges)).select("entity_id", "arrival", F.col("n_events").alias("n"))
     return n.select("entity_id", "arrival", S.poisson_tail(F.col("n"), F.lit(4.0)).alias("tail")).transform(_r)
 
 

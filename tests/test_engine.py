@@ -200,9 +200,45 @@ def test_stream_scores_as_the_batch_does(spark, tmp_path):
 def test_verdict_cases(spark):
     from ripplemill.operators import agent
 
-    replies = ['{"classification": "ORGANIC", "confidence": "0.9", "evidence": ["a"]}', '<think>{"x": 1}</think>```json {"classification": "Organic", "confidence": 7, "evidence": []}```', '{"classification": "organic", "confidence": 1}', "none", None, '{"classification": "made up", "confidence": "high", "evidence": [" ", "b"]}']
-    got = agent.verdicts(spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "k int, reply string")).orderBy("k").collect()
-    assert [(r.valid, r.classification, r.confidence) for r in got] == [(True, "organic", 0.9), (True, "uncertain", 0.3), (False, None, None), (False, None, None), (False, None, None), (True, "uncertain", 0.0)]
+    rest = ', "signals": ["steady growth"], "reasoning_steps": ["checked the path"]}'
+    good = '{"classification": "organic", "confidence": 0.8' + rest
+    found, none, others = [("get_path", "3 posts", False)], [("get_path", "nothing", True)], [("search_similar_trends", "two", False)]
+    cases = [
+        (good, found, "organic", 0.8),
+        (f"```json\n{good}\n```", found, "organic", 0.8),
+        (f"```\n{good}\n``` and {{more}}", found, "organic", 0.8),
+        (f"Here is my analysis.\n{good}\nHope that helps!", found, "organic", 0.8),
+        (f'<think>{{"x": 1}}</think>{good}', found, "organic", 0.8),
+        (good.replace('"organic"', '"ORGANIC"'), found, "uncertain", 0.8),
+        (good.replace('"organic"', '"definitely_bots"'), found, "uncertain", 0.8),
+        (good.replace('"organic"', "7"), found, "uncertain", 0.8),
+        (good.replace("0.8", '"0.42"'), found, "organic", 0.42),
+        (good.replace("0.8", "7"), found, "organic", 7.0),
+        (good.replace("0.8", "true"), found, "organic", 1.0),
+        (good.replace("0.8", '"1e-1"'), found, "organic", 0.1),
+        (good.replace("0.8", '"high"'), found, None, None),
+        (good.replace("0.8", "null"), found, None, None),
+        (good.replace("0.8", "[1]"), found, None, None),
+        (good.replace('["steady growth"]', "3"), found, None, None),
+        *((good.replace(f'"{k}"', '"other"'), found, None, None) for k in agent.KEYS),
+        ('{"classification": "organic", "confidence": 1, "evidence": ["a"]}', found, None, None),
+        ("I could not determine an answer.", found, None, None),
+        ("} {", found, None, None),
+        (None, found, None, None),
+        (good, [], None, None),
+        (good, None, None, None),
+        (good, none, "uncertain", 0.3),
+        (good, others, "uncertain", 0.3),
+        (good.replace("0.8", "0.1"), none, "uncertain", 0.1),
+        (good, none + found, "organic", 0.8),
+    ]
+    rows = spark.createDataFrame([(i, r, e) for i, (r, e, _, _) in enumerate(cases)], "k int, reply string, events array<struct<tool: string, summary: string, empty: boolean>>")
+    got = agent.verdicts(rows).orderBy("k").collect()
+    assert [(r.classification, r.confidence) for r in got] == [(c, n) for _, _, c, n in cases]
+    assert [r.valid for r in got] == [c is not None for _, _, c, _ in cases]
+    last = got[-1]
+    assert (last.signals, last.reasoning_steps, last.evidence) == (["steady growth"], ["checked the path"], ["get_path: nothing", "get_path: 3 posts"])
+    assert got[-4].signals == [agent.NOTHING_FOUND, "steady growth"] and got[-4].evidence == ["get_path: nothing"]
 
 
 def test_ancestries_of_cycles_and_joins(spark):
