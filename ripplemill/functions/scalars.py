@@ -91,6 +91,13 @@ def at_uri_id(uri: Column) -> Column:
     return F.when(uri.startswith("at://") & (F.size(parts) == 3), F.concat(F.lit("bluesky:"), parts[0], F.lit("_"), parts[2]))
 
 
+def id_at_uri(node_id: Column) -> Column:
+    """The inverse of ``at_uri_id``, split at the first underscore; null for what is no such id."""
+    raw = F.regexp_replace(node_id, "^bluesky:", "")
+    did, key = F.substring_index(raw, "_", 1), F.regexp_extract(raw, r"(?s)^[^_]*_(.*)$", 1)
+    return F.when(did.startswith("did:") & (key != ""), F.concat(F.lit("at://"), did, F.lit("/app.bsky.feed.post/"), key))
+
+
 def parsed_verdict(reply: Column) -> Column:
     """The JSON object of a model's reply, without its thinking: the first fenced one, else from the first brace to the last; empty if none."""
     plain = F.regexp_replace(reply, r"(?s)<think>.*?</think>", "")

@@ -187,3 +187,20 @@ def temporal_split(s: DataFrame, share: float = 0.8) -> DataFrame:
 
 def folds(s: DataFrame, k: int = 5, seed: int = 3) -> DataFrame:
     return _hashed(s, seed).withColumn("fold", ((F.col("r") - 1) % k).cast("int")).drop("r")
+
+
+def shape_comparison(real: DataFrame, other: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, real_p50, real_p90, other_p50, other_p90) of two populations on the same features."""
+
+    def quantiles(rows: DataFrame, name: str) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics]))
+        return rows.select(each.alias("x")).groupBy("x.metric").agg(F.percentile("x.v", 0.5).alias(f"{name}_p50"), F.percentile("x.v", 0.9).alias(f"{name}_p90"))
+
+    return quantiles(real, "real").join(quantiles(other, "other"), "metric", "full")
+
+
+def spread(repeats: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """(by, metric, mean, least, most, repeats) of each metric over repeated runs; undefined values don't count."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics]))
+    rows = repeats.select(*by, each.alias("x")).select(*by, "x.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    return rows.groupBy(*by, "metric").agg(F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"), F.count("*").alias("repeats"))

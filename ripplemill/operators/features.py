@@ -108,6 +108,17 @@ def author_reuse(tree: DataFrame, authors: DataFrame) -> DataFrame:
     )
 
 
+#: The features that depend on other cascades.
+HISTORY = ["prior_author_mean", "prior_author_max", "prior_author_frac", "prior_author_p75", "prior_author_frac_ge3", "coauthor_linked_frac", "coauthor_overlap_max"]
+
+
+def alone(tree: DataFrame, authors: DataFrame) -> DataFrame:
+    """``author_reuse`` of each cascade by itself: with no other before it, all that depends on history is 0."""
+    own = authors.join(tree.select("root_id").distinct(), "root_id", "left_semi").groupBy("root_id", "author_id").agg(F.count("*").alias("k"))
+    own = own.groupBy("root_id").agg((F.count("*") / F.sum("k")).alias("unique_author_ratio"), (F.max("k") / F.sum("k")).alias("max_author_share"))
+    return own.select("*", *[F.lit(0.0).alias(c) for c in HISTORY])
+
+
 def root_attachment(tree: DataFrame, steps: int = 200) -> DataFrame:
     """The share a of children that choose the root (else any earlier post alike) of greatest likelihood, on a grid."""
     i = F.row_number().over(Window.partitionBy("root_id").orderBy("t", "target_id")) - 1

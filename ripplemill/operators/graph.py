@@ -66,10 +66,13 @@ def top_nodes(edges: DataFrame, since, limit: int) -> DataFrame:
     return edges.where(F.col("t") >= since).groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(limit)
 
 
-def cascade_roots(edges: DataFrame) -> DataFrame:
-    """Reshared posts that are nobody's child."""
+def cascade_roots(edges: DataFrame, exclude: str | None = None, limit: int | None = None) -> DataFrame:
+    """Reshared posts that are nobody's child; without those whose id begins with ``exclude``, and the first ``limit`` by id."""
     r = edges.where("edge_type = 'reshare'")
-    return r.select(F.col("source_id").alias("root_id")).distinct().join(r.select(F.col("target_id").alias("root_id")), "root_id", "left_anti")
+    tops = r.select(F.col("source_id").alias("root_id"))
+    tops = tops if exclude is None else tops.where(~F.col("root_id").startswith(exclude))
+    roots = tops.distinct().join(r.select(F.col("target_id").alias("root_id")), "root_id", "left_anti")
+    return roots if limit is None else roots.orderBy("root_id").limit(limit)
 
 
 def reshare_trees(edges: DataFrame, roots: DataFrame, max_depth: int = TREE_DEPTH, paths: DataFrame | None = None) -> DataFrame:
@@ -130,3 +133,15 @@ def trace(edges: DataFrame, root: str, rows: int = 12) -> DataFrame:
     tree = propagation_path(edges.where("edge_type = 'reshare'"), root, rows)
     first = Window.orderBy("t", "target_id")
     return tree.orderBy("t", "target_id").limit(rows).select("target_id", "depth", (F.col("t") - F.first("t").over(first)).alias("offset_s"))
+
+
+def labelled_trace(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``trace`` rows with the label of each post (``nodes``: id, label); a post that was never captured says so."""
+    label = nodes.where("label <> ''").groupBy(F.col("id").alias("target_id")).agg(F.min("label").alias("label"))
+    return rows.join(label, "target_id", "left").fillna("(not captured)", ["label"])
+
+
+def path_sample(path: DataFrame, rows: int = 25) -> DataFrame:
+    """The first edges of a path by depth, time and target, with the number of all its edges."""
+    total = path.agg(F.count("*").alias("edges_total"))
+    return path.orderBy("depth", F.col("t").asc_nulls_last(), "target_id").limit(rows).select("source_id", "target_id", "depth").crossJoin(F.broadcast(total))

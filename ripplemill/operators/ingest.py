@@ -12,16 +12,22 @@ NODE = "array<struct<id: string, type: string, platform: string, label: string,
 RECORD = "id string, platform string, type string, author string, text string, title string, langs array<string>, tags array<string>, parent_id string, repo string, actor string, created_utc string, created_at string, ingested_at string"
 
 
-def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``raw`` (topic, partition, offset, value string) to (records, dead letters)."""
+def decode(raw: DataFrame) -> DataFrame:
+    """``raw`` (topic, partition, offset, value string) with the record's fields and ``error``: null, or why it is a dead letter."""
     parsed = raw.withColumn("r", F.from_json("value", RECORD + ", _corrupt_record string", {"mode": "PERMISSIVE"}))
     clean = parsed.withColumn("r", strip_nul(F.col("r"), parsed.schema["r"].dataType))
-    parsed = clean
-    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull() | F.coalesce(F.col("r.id"), F.lit("")).isin("")
-    dead = parsed.where(bad).select("topic", "partition", "offset", F.when(F.col("r._corrupt_record").isNotNull() | F.col("r").isNull(), "not JSON").otherwise("no id").alias("error"), "value")
-    records = parsed.where(~bad).select("topic", "partition", "offset", "r.*").drop("_corrupt_record")
+    broken = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
+    error = F.when(broken, "not JSON").when(F.coalesce(F.col("r.id"), F.lit("")) == "", "no id")
+    return clean.select("topic", "partition", "offset", "value", error.alias("error"), "r.*").drop("_corrupt_record")
+
+
+def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``raw`` to (records, dead letters), each record once."""
+    decoded = decode(raw)
+    records = decoded.where("error IS NULL").drop("error", "value")
     first = Window.partitionBy("platform", "id").orderBy("partition", "offset")
-    return records.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n"), dead
+    once = records.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    return once, decoded.where("error IS NOT NULL").select("topic", "partition", "offset", "error", "value")
 
 
 def _meta(**values):
@@ -87,3 +93,20 @@ def flatten_commits(raw: DataFrame) -> DataFrame:
     uri = F.concat_ws("/", F.concat(F.lit("at://"), "did"), "collection", "rkey")
     flat = c.where("operation = 'create'").select(F.regexp_replace(at_uri_id(uri), "^bluesky:", "").alias("id"), F.col("did").alias("author"), "record.text", uri.alias("uri"))
     return flat.where("id IS NOT NULL")
+
+
+# Fixed value: the layout of a status on a public timeline.
+STATUS = "id string, content string, language string, in_reply_to_id string, url string, created_at string, account struct<acct: string>, tags array<struct<name: string>>, reblogs_count long, favourites_count long, reblog struct<id: string, language: string>"
+
+
+def flatten_statuses(raw: DataFrame) -> DataFrame:
+    """Records of the statuses (value, JSON) that have a text or come from another; a boost's language may be that of what it boosts."""
+    s = raw.select(F.from_json("value", STATUS).alias("s")).select("s.*")
+    known = lambda c: F.nullif(c, F.lit(""))
+    parent = F.coalesce(known(F.col("reblog.id")), known(F.col("in_reply_to_id")))
+    flat = s.select(
+        "id", F.when(F.col("reblog").isNotNull(), "boost").otherwise("status").alias("type"), F.lit("mastodon").alias("platform"), strip_tags(F.coalesce("content", F.lit(""))).alias("text"), F.col("account.acct").alias("author"),
+        F.coalesce(F.transform("tags", lambda t: t["name"]), F.array().cast("array<string>")).alias("tags"), parent.alias("parent_id"), F.array(F.coalesce(known(F.col("language")), known(F.col("reblog.language")), F.lit(""))).alias("langs"),
+        F.coalesce("reblogs_count", F.lit(0)).alias("reblogs"), F.coalesce("favourites_count", F.lit(0)).alias("favourites"), "url", F.col("created_at").alias("created_utc"),
+    )
+    return flat.where("id IS NOT NULL AND (text <> '' OR parent_id IS NOT NULL)")

@@ -6,13 +6,16 @@ from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .evaluation import folds, log_loss
+from .evaluation import folds, log_loss, roc_auc
+from .working import written
 
 
 def labelled(features: DataFrame, labels: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -51,6 +54,46 @@ def best_of(candidates: dict[str, Pipeline], rows: DataFrame, k: int = 3) -> Dat
     return reduce(DataFrame.union, cards).select("name", "log_loss").orderBy("log_loss", "name")
 
 
+def nested_search(rows: DataFrame, columns: list[str], outer: int = 5, inner: int = 3, depths: tuple = (2, 3), rounds: tuple = (5, 15), seed: int = 1) -> DataFrame:
+    """(fold, depth, rounds, inner_loss, log_loss, roc_auc): for each outer fold the parameters that inner folds of the other rows choose, and how they do on the fold.
+
+    ``rows`` (row_id, y, *columns). The grid's models of an inner search are fitted side by side;
+    the fold that scores them takes no part in the choice.
+    """
+    spark, dealt = rows.sparkSession, written(folds(rows, outer), "outer")
+    scores, picks = [], []
+    for f in range(outer):
+        rest = folds(dealt.where(F.col("fold") != f).drop("fold"), inner, seed=7 + f)
+        pipeline = trees(columns, seed=seed)
+        model = pipeline.getStages()[-1]
+        grid = ParamGridBuilder().addGrid(model.maxDepth, list(depths)).addGrid(model.maxIter, list(rounds)).build()
+        loss = MulticlassClassificationEvaluator(metricName="logLoss", labelCol="y")
+        search = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=loss, numFolds=inner, foldCol="fold", parallelism=4, seed=seed)
+        found = search.fit(rest)
+        best = min(range(len(grid)), key=lambda k: (found.avgMetrics[k], k))  # noqa: B023
+        picks.append((f, int(grid[best][model.maxDepth]), int(grid[best][model.maxIter]), float(found.avgMetrics[best])))
+        held = scored(found.bestModel, dealt.where(F.col("fold") == f))
+        scores.append(log_loss(held).crossJoin(roc_auc(held)).withColumn("fold", F.lit(f)))
+    chosen = spark.createDataFrame(picks, "fold int, depth int, rounds int, inner_loss double")
+    return chosen.join(reduce(DataFrame.union, scores), "fold").select("fold", "depth", "rounds", "inner_loss", "log_loss", "roc_auc")
+
+
+def skew(model: Pipeline, context: DataFrame, alone: DataFrame, k: int = 5) -> DataFrame:
+    """(auc_in_context, auc_alone): a model fitted on features in context, scoring each fold on those and on features of each row by itself.
+
+    ``context`` and ``alone`` (row_id, y, ..) hold the same rows.
+    """
+    dealt = written(folds(context, k), "context")
+    paired = written(alone.join(dealt.select("row_id", "fold"), "row_id"), "alone")
+    both: list[list[DataFrame]] = [[], []]
+    for f in range(k):
+        fitted = model.fit(dealt.where(F.col("fold") != f))
+        for out, rows in zip(both, (dealt, paired)):
+            out.append(scored(fitted, rows.where(F.col("fold") == f)).select("row_id", "y", "p"))
+    a, b = (roc_auc(written(reduce(DataFrame.union, x), "scores")).withColumnRenamed("roc_auc", n) for x, n in zip(both, ("auc_in_context", "auc_alone")))
+    return a.crossJoin(b)
+
+
 def calibrated(held: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` with p made monotone to the shares of 1 among ``held`` (y, p)."""
     model = IsotonicRegression(featuresCol="p", labelCol="y").fit(held.select("p", F.col("y").cast("double").alias("y")))

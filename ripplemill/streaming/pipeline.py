@@ -1,7 +1,8 @@
 """Structured Streaming: raw records into merged tables.
 
-``ingest`` writes records, edges, nodes, mentions and dead letters; what an earlier batch has
-stored isn't stored again. ``deduplicated``, ``hopping_velocity`` and ``scored`` are operators
+``ingest`` writes edges, nodes, mentions and dead letters. A bounded seen-set in front of it
+refuses records that come again, and edges are compared with what is stored of the same days
+only, so a batch costs the same however much has been stored. ``deduplicated``, ``hopping_velocity`` and ``scored`` are operators
 on streams of their own (``scored`` over the mentions that ``ingest`` stores, for one).
 """
 
@@ -15,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ingest import extract, merge_edges, merge_nodes, parse
+from ..operators.ingest import decode, extract, merge_edges, merge_nodes
 from ..operators.velocity import THRESHOLDS, Baseline
+from .seen import MOST, SHARDS, first_seen, rocks
 
 
 def deduplicated(records: DataFrame, ts: str = "ts", within: str = "1 hour") -> DataFrame:
@@ -56,39 +58,39 @@ def scored(mentions: DataFrame, window_s: float = 3600.0, warm_s: float = 0.0, c
     return mentions.select("entity_id", "t", "arrival").groupBy("entity_id").applyInPandasWithState(step, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def _stored(spark: SparkSession, path: str, number: int, schema: str) -> DataFrame:
-    """What batches other than this one have written; a replay doesn't see its own rows."""
+def _stored(spark: SparkSession, path: str, number: int, schema: str, days: list[str]) -> DataFrame:
+    """What earlier batches have written for these days; a replay doesn't see its own rows, other days are not read."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(there):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(f"{schema}, batch long").parquet(path).where(F.col("batch") < number).drop("batch")
+    stored = spark.read.schema(f"{schema}, batch long, day string").parquet(path)
+    return stored.where((F.col("batch") < number) & F.col("day").isin(days)).drop("batch", "day")
 
 
 def writer(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: what is new in a batch, under its own number, so that a replay overwrites itself.
+    """For foreachBatch over decoded records: what is new in a batch, under its own number, so that a replay overwrites itself.
 
-    Records that an earlier batch has taken are left out, and edges that it has stored too.
-    Nodes are stored as they arrive; ``nodes`` merges them.
+    Edges that an earlier batch has stored are left out. Nodes are stored as they arrive;
+    ``nodes`` merges them.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        records, dead = parse(batch)
-        known = _stored(spark, f"{path}/records", number, "platform string, id string")
-        same = [F.col(f"new.{c}").eqNullSafe(F.col(f"known.{c}")) for c in ("platform", "id")]
-        found = extract(records.alias("new").join(known.alias("known"), same, "left_anti")).cache()
+        batch = batch.cache()
+        found = extract(batch.where("error IS NULL").drop("error", "value")).cache()
         edges = found.select(F.explode("edges").alias("e"), F.col("partition").alias("part"), F.col("offset").alias("arrival")).select("e.*", F.struct("part", "arrival").alias("arrival"))
-        old = _stored(spark, f"{path}/edges", number, "source_id string, target_id string, platform string, ts timestamp")
-        merge_edges(edges, old).withColumn("arrival", F.col("arrival.arrival")).write.mode("overwrite").parquet(f"{path}/edges/batch={number}")
+        edges = edges.withColumn("day", F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("none")))
+        days = [r["day"] for r in edges.select("day").distinct().collect()]
+        old = _stored(spark, f"{path}/edges", number, "source_id string, target_id string, platform string, ts timestamp", days)
+        merge_edges(edges, old).withColumn("arrival", F.col("arrival.arrival")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/edges/batch={number}")
         seen = F.coalesce(F.try_to_timestamp("created_at"), F.try_to_timestamp("ingested_at"))
         nodes = found.select(F.explode("nodes").alias("n"), F.col("partition").alias("part"), F.col("offset").alias("arrival"), seen.alias("seen")).select("n.*", "part", "arrival", "seen")
         nodes.write.mode("overwrite").parquet(f"{path}/nodes/batch={number}")
         nodes.where("type IN ('named_entity', 'repo')").select(F.col("id").alias("entity_id"), "platform", "arrival", F.col("seen").alias("ts")).write.mode("overwrite").parquet(f"{path}/mentions/batch={number}")
-        dead.write.mode("overwrite").parquet(f"{path}/dead/batch={number}")
-        # last, so that a batch that stopped half way is done again whole
-        found.select("platform", "id").write.mode("overwrite").parquet(f"{path}/records/batch={number}")
+        batch.where("error IS NOT NULL").select("topic", "partition", "offset", "error", "value").write.mode("overwrite").parquet(f"{path}/dead/batch={number}")
         found.unpersist()
+        batch.unpersist()
 
     return write
 
@@ -99,5 +101,8 @@ def nodes(spark: SparkSession, path: str) -> DataFrame:
     return merge_nodes(n.withColumn("arrival", F.struct("batch", "part", "arrival")))
 
 
-def ingest(raw: DataFrame, path: str, checkpoint: str, **trigger):
-    return raw.writeStream.foreachBatch(writer(path)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def ingest(raw: DataFrame, path: str, checkpoint: str, most: int = MOST, shards: int = SHARDS, **trigger):
+    """Starts the query over ``raw`` (topic, partition, offset, value); its state and its files go on where they stopped."""
+    with rocks(raw.sparkSession):
+        fresh = first_seen(decode(raw), most, shards)
+        return fresh.writeStream.foreachBatch(writer(path)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
