@@ -27,7 +27,7 @@ def _path(spark: SparkSession, name: str) -> str:
 
 
 @query(
-    """, q0 AS (SELECT doc_id, ['hn', 'github'][(doc_id % 2 + 1)::INT] AS platform, 'r' || (doc_id * 7 % 61) AS id FROM documents), q1 AS (SELECT *, ('0x' || md5(platform || ':' || id)[1:8])::UBIGINT % 4 AS shard FROM q0),
+    """, q0 AS (SELECT doc_id, ['hn', 'github'][(doc_id % 2 + 1)::INT] AS platform, CASE WHEN doc_id % 3 = 0 THEN 'hot' || doc_id % 4 ELSE 'r' || (doc_id * 7 % 61) END AS id FROM documents), q1 AS (SELECT *, ('0x' || md5(platform || ':' || id)[1:8])::UBIGINT % 4 AS shard FROM q0),
  q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY doc_id) AS k FROM q1),
  wk AS (SELECT shard, 0::BIGINT AS k, NULL::BIGINT AS "offset", NULL::VARCHAR AS platform, NULL::VARCHAR AS id, false AS fresh, []::VARCHAR[] AS ids FROM (SELECT DISTINCT shard FROM q)
   UNION ALL SELECT q.shard, q.k, q.doc_id, q.platform, q.id, NOT list_contains(ids, q.platform || ':' || q.id), CASE WHEN list_contains(ids, q.platform || ':' || q.id) THEN ids WHEN len(ids) >= 20 THEN list_append(ids, q.platform || ':' || q.id)[11:] ELSE list_append(ids, q.platform || ':' || q.id) END
@@ -36,7 +36,7 @@ def _path(spark: SparkSession, name: str) -> str:
 def x10_bounded_seen_set(spark, sf):
     """Records of a source that repeats itself, past a seen-set of four shards with twenty ids each: a forgotten id is taken again."""
     d = table(spark, sf, "documents")
-    rows = d.select(F.lit("raw").alias("topic"), F.lit(0).alias("partition"), F.col("doc_id").alias("offset"), F.element_at(F.array(F.lit("hn"), F.lit("github")), (F.col("doc_id") % 2 + 1).cast("int")).alias("platform"), F.concat(F.lit("r"), F.col("doc_id") * 7 % 61).alias("id"), F.lit(None).cast("string").alias("error"))
+    rows = d.select(F.lit("raw").alias("topic"), F.lit(0).alias("partition"), F.col("doc_id").alias("offset"), F.element_at(F.array(F.lit("hn"), F.lit("github")), (F.col("doc_id") % 2 + 1).cast("int")).alias("platform"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("hot"), F.col("doc_id") % 4)).otherwise(F.concat(F.lit("r"), F.col("doc_id") * 7 % 61)).alias("id"), F.lit(None).cast("string").alias("error"))
     with seen.rocks(spark):
         return written(seen.first_seen(rows, 80, 4), "fresh").select("platform", "id", "offset")
 
@@ -111,7 +111,7 @@ def s14_j9_loss_audit(spark, sf):
 # --- loads
 
 
-@query(", f AS (SELECT author_id AS id, platform, min(event_id) AS arrival FROM p WHERE event_id % 2 = 0 AND event_id % 3 <> 0 GROUP BY 1, 2), s AS (SELECT author_id AS id, platform, min(event_id) AS arrival FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = author_id AND f.platform = p.platform) GROUP BY 1, 2) SELECT *, 1 AS load FROM f UNION ALL SELECT *, 2 FROM s")
+@query(", f AS (SELECT author_id AS id, platform, min(event_id) AS arrival FROM p WHERE event_id % 2 = 0 AND event_id % 3 <> 0 GROUP BY 1, 2), f2 AS (SELECT author_id AS id, platform, min(event_id) AS arrival FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = author_id AND f.platform = p.platform) GROUP BY 1, 2) SELECT *, 1 AS load FROM f UNION ALL SELECT *, 2 FROM f2")
 def s12_bulk_load(spark, sf):
     """Authors loaded three times: a part, all, all again. Each is stored once, by the load that first had it."""
     p = posts(spark, sf).select(F.col("author_id").alias("id"), "platform", F.col("event_id").alias("arrival"))
@@ -197,7 +197,7 @@ def g9_labelled_trace(spark, sf):
     return G.labelled_trace(G.trace(g.edges, ROOT), labels).transform(_r)
 
 
-@query("WITHPATH , ps AS (SELECT source_id, target_id, depth, row_number() OVER (ORDER BY depth, t NULLS LAST, target_id) AS k FROM path JOIN r USING (source_id, target_id) WHERE edge_type = 'reshare') SELECT source_id, target_id, depth::BIGINT AS depth, (SELECT count(*) FROM ps) AS edges_total FROM ps WHERE k <= 25")
+@query("WITHPATH , ps AS (SELECT source_id, target_id, depth, row_number() OVER (ORDER BY depth, t NULLS LAST, target_id) AS k FROM path JOIN r USING (source_id, target_id) WHERE path.edge_type = 'reshare') SELECT source_id, target_id, depth::BIGINT AS depth, (SELECT count(*) FROM ps) AS edges_total FROM ps WHERE k <= 25")
 def a16_path_sample(spark, sf):
     """The first 25 edges of a path, and how many there are."""
     return G.path_sample(G.propagation_path(graph(spark, sf).edges.where("edge_type = 'reshare'"), ROOT, 10), 25).transform(_r)

@@ -77,7 +77,7 @@ _SQL = {
     "o6_temporal_split": "SELECT row_id, row_number() OVER (ORDER BY t, row_id) <= floor(count(*) OVER () * 0.8::DOUBLE) AS train FROM s",
     "o8_o9_pareto": "WITHSWEEP SELECT round(threshold, 6) AS threshold, round(recall, 6) AS recall, fp FROM sw a WHERE NOT EXISTS (SELECT 1 FROM sw b WHERE b.fp <= a.fp AND b.recall >= a.recall AND (b.fp < a.fp OR b.recall > a.recall))",
     "o9_pick_threshold": "WITHSWEEP SELECT round(threshold, 6) AS threshold, round(recall, 6) AS recall, fp FROM sw WHERE recall >= 0.5 ORDER BY fp, recall DESC, threshold LIMIT 1",
-    "u2_set_difference": "SELECT user_id FROM p WHERE value > 20 EXCEPT SELECT user_id FROM p WHERE value > 99",
+    "u2_set_difference": "SELECT user_id FROM p WHERE value > 20 EXCEPT SELECT user_id FROM p WHERE value > 200",
     "g1_propagation_path": "WITHPATH SELECT source_id, target_id, edge_type, depth::BIGINT AS depth FROM path WHERE depth <= 6",
     "g2_cascade_size": "WITHPATH SELECT count(DISTINCT target_id) AS size FROM path",
     "g3_degrees": "SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT source_id AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT target_id, 1, 0 FROM e) GROUP BY 1",

@@ -338,7 +338,7 @@ def o9_pick_threshold(spark, sf):
 @query
 def u2_set_difference(spark, sf):
     p = posts(spark, sf)
-    return p.where("value > 20").select("user_id").distinct().subtract(p.where("value > 99").select("user_id")).transform(_r)
+    return p.where("value > 20").select("user_id").distinct().subtract(p.where("value > 200").select("user_id")).transform(_r)
 
 
 # --- graph
