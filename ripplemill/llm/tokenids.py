@@ -118,6 +118,13 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+def resolved(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a URI: a path without a scheme is in Spark's default file system, for the tasks as for Spark's own tables."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri if "://" in uri else uri.replace("file:/", "file:///", 1)
+
+
 #: Characters that texts cut here are made of; texts with any other are encoded whole.
 UNSURE = re.compile("[^\t-\r -~\xa1-\u024f\u2010-\u2027]")
 # How byte-level BPE cuts a text into words before it merges within them, for those characters.
@@ -242,7 +249,7 @@ def _write_shard(folder: str, tokenizer: str, end_id: int):
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Encode ``docs`` (doc_id, text) into files in ``folder`` (a URI all tasks can write); return the manifest.
+    """Encode ``docs`` (doc_id, text) into files in ``folder`` (which all tasks can write); return the manifest.
 
     One shuffle by ranges of doc_id (equal ones: of the text's first characters, since Spark
     samples what it cuts ranges by) orders the documents, in shards of about ``SHARD_BYTES``.
@@ -250,8 +257,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """
     spark = docs.sparkSession
     batches_of(spark)
-    if "://" not in folder:
-        folder = ("file://" if folder.startswith("/") else "file:") + folder.removeprefix("file:")
+    folder = resolved(spark, folder)
     made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(made)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -301,8 +307,7 @@ def _read_shards(folder: str):
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
-    if "://" not in folder:
-        folder = "file://" + folder.removeprefix("file:")
+    folder = resolved(spark, folder)
     shards = spark.read.parquet(f"{folder}/manifest")
     return shards.repartition(max(1, shards.count()), "shard").mapInArrow(_read_shards(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 

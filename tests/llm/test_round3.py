@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from ripplemill.llm import centroids, infill, languages, substrings, words
+from ripplemill.llm import centroids, infill, languages, substrings, tokenids, words
 
 # --- infilling
 
@@ -300,3 +300,15 @@ def test_runs_of_words_by_primes():
             assert len(seen) == len({tuple(word[k : k + n].tolist()) for k in range(len(h))})
     assert (words.PrimeRuns(word).of(np.arange(100), 50) != words.PrimeRuns(word, 1).of(np.arange(100), 50)).all()
     assert words.PrimeRuns(np.zeros(0, np.uint64)).of(np.zeros(1, np.int64), 0).shape == (1,)
+
+
+def test_token_folders_are_in_the_default_file_system(spark, tmp_path):
+    assert tokenids.resolved(spark, f"{tmp_path}/a") == tokenids.resolved(spark, f"file:{tmp_path}/a") == tokenids.resolved(spark, f"file://{tmp_path}/a") == f"file://{tmp_path}/a"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://cluster/")
+    conf.set("fs.viewfs.mounttable.cluster.link./shared", f"file://{tmp_path}")
+    try:
+        assert tokenids.resolved(spark, "/shared/a") == "viewfs://cluster/shared/a"
+    finally:
+        conf.set("fs.defaultFS", before)
