@@ -109,3 +109,11 @@ def poisson_tail(k: Column, mean: Column) -> Column:
     """P(X >= k), as one minus a sum; only for tails well above 1e-12."""
     below = F.aggregate(F.sequence(F.lit(0), F.greatest(k.cast("int") - 1, F.lit(0))), F.struct(F.lit(0.0).alias("s"), F.exp(-mean).alias("p")), lambda a, i: F.struct((a["s"] + a["p"]).alias("s"), (a["p"] * mean / (i + 1)).alias("p")), lambda a: a["s"])
     return F.when(k <= 0, 1.0).otherwise(1 - below)
+
+
+def negbin_tail(k: Column, mean: Column, shape: Column) -> Column:
+    """P(X >= k) of a negative binomial, as one minus a sum; only for tails well above 1e-12."""
+    q = shape / (shape + mean)
+    term = lambda a, i: a["p"] * (i + shape) / (i + 1) * (1 - q)
+    below = F.aggregate(F.sequence(F.lit(0), F.greatest(k.cast("int") - 1, F.lit(0))), F.struct(F.lit(0.0).alias("s"), F.pow(q, shape).alias("p")), lambda a, i: F.struct((a["s"] + a["p"]).alias("s"), term(a, i).alias("p")), lambda a: a["s"])
+    return F.when(k <= 0, 1.0).otherwise(1 - below)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import TREE_DEPTH, ancestries, reshare_trees, structural_virality, tree_authors
+from .graph import reshare_trees, structural_virality, tree_authors
 from .working import written
 
 REUSE_S = 21600.0
@@ -132,10 +132,10 @@ def root_attachment(tree: DataFrame, steps: int = 200) -> DataFrame:
 
 def all_features(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """All families joined; what they all read is written once."""
-    roots, paths = written(roots, "roots"), ancestries(edges.where("edge_type = 'reshare'"), TREE_DEPTH)
-    tree = written(reshare_trees(edges, roots, paths=paths), "tree")
+    roots = written(roots, "roots")
+    tree = written(reshare_trees(edges, roots), "tree")
     authors = written(tree_authors(edges, tree, roots), "authors")
     out = structure(tree)
-    for part in (timing(tree, authors), platforms(tree, authors), author_reuse(tree, authors), structural_virality(edges, roots, paths=paths), root_attachment(tree)):
+    for part in (timing(tree, authors), platforms(tree, authors), author_reuse(tree, authors), structural_virality(tree), root_attachment(tree)):
         out = out.join(part, "root_id", "left")
     return out.fillna(0)

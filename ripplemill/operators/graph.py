@@ -1,8 +1,9 @@
 """Traversal of the propagation graph by joins.
 
 From one node, levels are joined one after another, each written before the next. For all
-cascades at once, paths are doubled: those of length k joined with themselves give those of
-length 2k, so a depth of 40 takes six joins instead of forty.
+cascades at once, steps are doubled: paths of exactly k edges joined with themselves give those
+of 2k, and a path of any length is one of each power of two in it, so a depth of 40 takes six
+joins instead of forty, and what is kept is a row a post, not a row a pair of posts.
 """
 
 from __future__ import annotations
@@ -48,12 +49,49 @@ def ancestries(edges: DataFrame, max_depth: int = TREE_DEPTH) -> DataFrame:
     return found
 
 
+def descents(edges: DataFrame, roots: DataFrame, max_depth: int = TREE_DEPTH) -> DataFrame:
+    """(root_id, node, d): every path of at most ``max_depth`` edges down from each root, the empty one too. A node that several paths lead to is there for each."""
+    exact = written(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")), "steps")
+    parts, k = [roots.select("root_id", F.col("root_id").alias("node"), F.lit(0).alias("d"))], 1
+    while k <= max_depth and not exact.isEmpty():
+        # lengths below k are there; each of them goes k further
+        reach = reduce(DataFrame.union, parts)
+        further = reach.join(exact, F.col("node") == F.col("a")).where(F.col("d") + k <= max_depth)
+        parts.append(written(further.select("root_id", F.col("b").alias("node"), (F.col("d") + k).alias("d")), "reach"))
+        if 2 * k <= max_depth:
+            exact = written(exact.join(exact.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")), "steps")
+        k *= 2
+    return reduce(DataFrame.union, parts)
+
+
+def subtree_sizes(tree: DataFrame) -> DataFrame:
+    """(root_id, node, s): how many posts are at or below each post of each cascade, by doubling; ``tree`` (root_id, source_id, target_id), a post has one parent."""
+    exact = written(tree.select("root_id", F.col("source_id").alias("a"), F.col("target_id").alias("b")), "steps")
+    sizes = written(exact.select("root_id", F.col("a").alias("node")).union(exact.select("root_id", "b")).distinct().withColumn("s", F.lit(1).cast("long")), "sizes")
+    while not exact.isEmpty():
+        # posts less than k below are counted; those k below bring what is less than k below them
+        more = exact.join(sizes.withColumnRenamed("node", "b"), ["root_id", "b"]).groupBy("root_id", F.col("a").alias("node")).agg(F.sum("s").alias("more"))
+        sizes = written(sizes.join(more, ["root_id", "node"], "left").select("root_id", "node", (F.col("s") + F.coalesce("more", F.lit(0))).alias("s")), "sizes")
+        exact = written(exact.join(exact.select("root_id", F.col("a").alias("b"), F.col("b").alias("c")), ["root_id", "b"]).select("root_id", "a", F.col("c").alias("b")), "steps")
+    return sizes
+
+
 def on_platform(edges: DataFrame, platform: str | None = None) -> DataFrame:
     return edges if platform is None else edges.where(F.col("platform") == F.lit(platform))
 
 
 def cascade_size(edges: DataFrame, root: str, max_depth: int = 10) -> DataFrame:
-    return propagation_path(edges, root, max_depth).agg(F.countDistinct("target_id").alias("size"))
+    """How many different nodes are reached from ``root``, itself if a cycle leads back: each node goes on once, however many paths lead to it."""
+    steps = written(edges.select("source_id", "target_id").distinct(), "steps")
+    new = written(steps.where(F.col("source_id") == F.lit(root)).select(F.col("target_id").alias("id")).distinct(), "level")
+    seen = [new]
+    for _ in range(1, max_depth):
+        known = reduce(DataFrame.union, seen)
+        new = written(steps.join(new, F.col("source_id") == F.col("id"), "left_semi").select(F.col("target_id").alias("id")).distinct().join(known, "id", "left_anti"), "level")
+        if new.isEmpty():
+            break
+        seen.append(new)
+    return reduce(DataFrame.union, seen).agg(F.count("*").alias("size"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -75,12 +113,10 @@ def cascade_roots(edges: DataFrame, exclude: str | None = None, limit: int | Non
     return roots if limit is None else roots.orderBy("root_id").limit(limit)
 
 
-def reshare_trees(edges: DataFrame, roots: DataFrame, max_depth: int = TREE_DEPTH, paths: DataFrame | None = None) -> DataFrame:
-    """(root_id, source_id, target_id, ts, t, platform, depth) for all roots at once; ``paths``: the reshares' ancestries, if known."""
+def reshare_trees(edges: DataFrame, roots: DataFrame, max_depth: int = TREE_DEPTH) -> DataFrame:
+    """(root_id, source_id, target_id, ts, t, platform, depth) for all roots at once."""
     r = edges.where("edge_type = 'reshare'").select("source_id", "target_id", "ts", "t", "platform")
-    paths = ancestries(r, max_depth - 1) if paths is None else paths
-    above = paths.where(F.col("d") < max_depth).join(roots.select(F.col("root_id").alias("above")), "above").select(F.col("above").alias("root_id"), F.col("node").alias("source_id"), F.col("d"))
-    above = above.union(roots.select("root_id", "root_id", F.lit(0)))
+    above = descents(r, roots, max_depth - 1).withColumnRenamed("node", "source_id")
     return r.join(above, "source_id").select("root_id", "source_id", "target_id", "ts", "t", "platform", (F.col("d") + 1).alias("depth"))
 
 
@@ -91,18 +127,29 @@ def tree_authors(edges: DataFrame, tree: DataFrame, roots: DataFrame) -> DataFra
     return posts.join(a, "content_id").select("root_id", "content_id", "author_id", "t", "platform")
 
 
-def structural_virality(edges: DataFrame, roots: DataFrame, max_depth: int = TREE_DEPTH, paths: DataFrame | None = None) -> DataFrame:
-    """Mean distance of all pairs of a tree's posts, from the sizes of the subtrees below its edges."""
-    paths = ancestries(edges.where("edge_type = 'reshare'"), max_depth) if paths is None else paths
-    tops = paths.join(roots.select(F.col("root_id").alias("above")), "above").select(F.col("above").alias("root_id"), F.col("node").alias("ancestor"), F.col("d").alias("top"))
-    # how many paths lead down from a post, by their lengths; a path counts as far as the whole is not too deep
-    below = paths.groupBy(F.col("above").alias("ancestor"), "d").agg(F.count("*").alias("n")).groupBy("ancestor").agg(F.collect_list(F.struct("d", "n")).alias("below"))
-    deep = F.aggregate(F.filter(F.coalesce("below", F.expr("cast(array() as array<struct<d: int, n: bigint>>)")), lambda x: x["d"] + F.col("top") <= max_depth), F.lit(1).cast("long"), lambda s, x: s + x["n"])
-    s = tops.join(below, "ancestor", "left").withColumn("s", deep).groupBy("root_id", "ancestor").agg(F.sum("s").alias("s"))
+def structural_virality(tree: DataFrame) -> DataFrame:
+    """Mean distance of all pairs of a tree's posts, from the sizes of the subtrees below its edges. ``tree``: ``reshare_trees``; of several parents a post keeps the first."""
+    first = tree.groupBy("root_id", "target_id").agg(F.min_by("source_id", F.struct("depth", "t", "source_id")).alias("source_id"))
+    s = subtree_sizes(first).where("node <> root_id")
     per = s.groupBy("root_id").agg((F.count("*") + 1).alias("n"), F.sum("s").alias("s1"), F.sum(F.col("s") * F.col("s")).alias("s2"))
     return per.select("root_id", (2.0 * (F.col("n") * F.col("s1") - F.col("s2")) / (F.col("n") * (F.col("n") - 1))).alias("structural_virality"))
 
 
+def above(edges: DataFrame, posts: DataFrame, hops: int) -> DataFrame:
+    """The edges (source_id, target_id) that lead down to any of ``posts`` (node) within so many hops: levels upwards, each node once."""
+    steps, posts = written(edges.select("source_id", "target_id"), "steps"), written(posts.select("node"), "posts")
+    new, found, seen = posts, [], posts
+    for _ in range(hops):
+        level = written(steps.join(new.select(F.col("node").alias("target_id")), "target_id", "left_semi").select("source_id", "target_id"), "level")
+        if level.isEmpty():
+            break
+        found.append(level)
+        up = level.select(F.col("source_id").alias("node")).distinct()
+        # made of written levels only, so plans don't grow into each other
+        new, seen = up.join(seen, "node", "left_anti"), seen.union(up)
+    return reduce(DataFrame.union, found) if found else steps.where("false")
+
+
 def entity_activity(edges: DataFrame, entity: str, window_s: float = 3600.0, top: int = 5, hops: int = 20) -> DataFrame:
     """One row: mentions in the window that ends at the entity's latest, authors, and the cascades they belong to."""
     m = edges.where((F.col("edge_type") == "mentions") & (F.col("target_id") == entity)).select(F.col("source_id").alias("content_id"), "t")
@@ -110,7 +157,7 @@ def entity_activity(edges: DataFrame, entity: str, window_s: float = 3600.0, top
     a = edges.where("edge_type = 'authored'").select(F.col("target_id").alias("content_id"), F.col("source_id").alias("author_id"))
     authors = m.join(a, "content_id").groupBy("author_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("authors"), F.max("n").alias("most"))
     posts = m.select(F.col("content_id").alias("node")).distinct()
-    paths = ancestries(edges.where("edge_type = 'reshare'"), hops).join(posts, "node").select("node", F.struct("d", F.col("above").alias("root_id")).alias("top"))
+    paths = ancestries(above(edges.where("edge_type = 'reshare'"), posts, hops), hops).join(posts, "node").select("node", F.struct("d", F.col("above").alias("root_id")).alias("top"))
     roots = paths.union(posts.select("node", F.struct(F.lit(0).alias("d"), F.col("node").alias("root_id")))).groupBy(F.col("node").alias("origin")).agg(F.max("top").alias("top")).select("origin", "top.root_id")
     per_root = m.join(roots, m["content_id"] == roots["origin"]).groupBy("root_id").agg(F.count("*").alias("mentions"))
     tops = per_root.orderBy(F.desc("mentions"), "root_id").limit(top).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct((-F.col("mentions")).alias("m"), "root_id"))), lambda x: F.concat(x["root_id"], F.lit("="), (-x["m"]).cast("string")))).alias("top_cascades"))

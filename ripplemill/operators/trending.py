@@ -16,7 +16,8 @@ def trending(nodes: DataFrame, edges: DataFrame, as_of, minutes: float, limit: i
     w = minutes * 60
     recent = edges.where((F.col("t") >= as_of - w) & (F.col("t") <= as_of))
     prev = edges.where((F.col("t") >= as_of - 2 * w) & (F.col("t") < as_of - w))
-    n = nodes.where(F.col("type").isin(KINDS))
+    # only nodes that are mentioned now can trend
+    n = nodes.where(F.col("type").isin(KINDS)).join(recent.select(F.col("target_id").alias("id")).distinct(), "id", "left_semi")
     curr = n.select("id", F.col("type").alias("kind"), F.col("platform").alias("own")).groupBy("id").agg(F.min("kind").alias("kind"), F.min("own").alias("own"), F.count("*").alias("platform_rows"))
     c = recent.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("curr"), F.concat_ws(",", F.sort_array(F.collect_set("platform"))).alias("platforms"), F.min("t").alias("first"), F.max("t").alias("last"))
     p = prev.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("before"))

@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import poisson_tail
+from ..functions.scalars import negbin_tail, poisson_tail
+from .asof import velocity_at
+from .running import by_rows, by_time
 
 # How much history a baseline needs, where each fires, and the constants of ewma and cusum.
 HISTORY, LEAST = 60, 5
@@ -25,22 +27,15 @@ def mentions(edges: DataFrame) -> DataFrame:
 
 def velocity(m: DataFrame, window_s: float = 3600.0) -> DataFrame:
     """Each mention with the count of its entity's mentions in the window that ends at it, both ends included."""
-    w = Window.partitionBy("entity_id").orderBy("t").rangeBetween(-int(window_s), 0)
-    return m.withColumn("n_events", F.count("*").over(w)).withColumn("velocity", F.round(F.col("n_events") / F.lit(window_s / 60), 4))
+    rows, own, by = by_time(m, ["entity_id"], "t", int(window_s))
+    w = Window.partitionBy(*by).orderBy("t").rangeBetween(-int(window_s), 0)
+    counted = rows.withColumn("n_events", F.count("*").over(w)).where(own).select(*m.columns, "n_events")
+    return counted.withColumn("velocity", F.round(F.col("n_events") / F.lit(window_s / 60), 4))
 
 
 def late_velocity(m: DataFrame, window_s: float = 3600.0) -> DataFrame:
-    """Velocity in order of arrival: the window reaches back from the newest time seen, and counts what has arrived.
-
-    Times are put in buckets of the window's length, so a mention meets those of one or two
-    buckets of its entity only.
-    """
-    seen = m.withColumn("newest", F.max("t").over(Window.partitionBy("entity_id").orderBy("arrival")))
-    bucket = lambda t: F.floor(t / window_s)
-    a = seen.withColumn("bucket", F.explode(F.sequence(bucket(F.col("newest") - window_s), bucket(F.col("newest"))))).alias("a")
-    b = m.withColumn("bucket", bucket(F.col("t"))).alias("b")
-    joined = a.join(b, (F.col("a.entity_id") == F.col("b.entity_id")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("b.arrival") <= F.col("a.arrival")) & (F.col("b.t") >= F.col("a.newest") - window_s))
-    return joined.groupBy("a.entity_id", "a.arrival").agg(F.count("*").alias("n_events"))
+    """Velocity in order of arrival: the window reaches back from the newest time seen, and counts what has arrived."""
+    return velocity_at(m, None, window_s).select("entity_id", "arrival", "n_events")
 
 
 def active(m: DataFrame, as_of, window_s: float = 3600.0) -> DataFrame:
@@ -76,8 +71,9 @@ def _median(x: Column) -> Column:
 
 def zscores(v: DataFrame, digits: int = 4) -> DataFrame:
     """z of the mean and deviation, and of the median and its deviation, of the last 60 samples before each."""
-    before = Window.partitionBy("entity_id").orderBy("arrival").rowsBetween(-HISTORY, -1)
-    h = v.withColumns({"std": F.stddev_pop("velocity").over(before), "h": F.collect_list("velocity").over(before)}).where(F.size("h") >= LEAST)
+    rows, own, by = by_rows(v.select("entity_id", "arrival", "velocity"), ["entity_id"], "arrival", HISTORY)
+    before = Window.partitionBy(*by).orderBy("arrival").rowsBetween(-HISTORY, -1)
+    h = rows.withColumns({"std": F.stddev_pop("velocity").over(before), "h": F.collect_list("velocity").over(before)}).where(own & (F.size("h") >= LEAST))
     # summed in order, so that a mean of equal values is that value
     h = h.withColumn("mean", F.aggregate("h", F.lit(0.0), lambda a, x: a + x) / F.size("h")).withColumn("med", _median(F.col("h")))
     h = h.withColumn("mad", _median(F.transform("h", lambda x: F.abs(x - F.col("med")))))
@@ -88,15 +84,38 @@ def zscores(v: DataFrame, digits: int = 4) -> DataFrame:
     )
 
 
+def _counts_before(v: DataFrame) -> DataFrame:
+    """(entity_id, arrival, n_events, h): samples with five or more before them, and the last 60 counts before each, sorted."""
+    rows, own, by = by_rows(v.select("entity_id", "arrival", "n_events"), ["entity_id"], "arrival", HISTORY)
+    before = Window.partitionBy(*by).orderBy("arrival").rowsBetween(-HISTORY, -1)
+    return rows.withColumn("h", F.collect_list("n_events").over(before)).where(own & (F.size("h") >= LEAST)).select("entity_id", "arrival", "n_events", F.array_sort("h").alias("h"))
+
+
+def _rate(h: Column) -> Column:
+    """The Poisson rate of the quieter four fifths of sorted counts."""
+    keep = F.greatest(F.lit(1), F.floor((4 * F.size(h) + 4) / 5)).cast("int")
+    return (F.aggregate(F.slice(h, 1, keep), F.lit(0).cast("long"), lambda a, x: a + x) + 0.5) / (keep + 1)
+
+
 def poisson_tails(v: DataFrame) -> DataFrame:
     """(entity_id, arrival, rate, tail): the Poisson rate of the quieter four fifths of the last 60 counts, and P(X >= the sample's count) under it."""
-    before = Window.partitionBy("entity_id").orderBy("arrival").rowsBetween(-HISTORY, -1)
-    h = v.withColumn("h", F.array_sort(F.collect_list("n_events").over(before))).where(F.size("h") >= LEAST)
-    keep = F.greatest(F.lit(1), F.floor((4 * F.size("h") + 4) / 5)).cast("int")
-    h = h.withColumn("rate", (F.aggregate(F.slice("h", 1, keep), F.lit(0).cast("long"), lambda a, x: a + x) + 0.5) / (keep + 1))
+    h = _counts_before(v).withColumn("rate", _rate(F.col("h")))
     return h.select("entity_id", "arrival", "rate", poisson_tail(F.col("n_events"), F.col("rate")).alias("tail"))
 
 
+def negbin_tails(v: DataFrame) -> DataFrame:
+    """(entity_id, arrival, rate, shape, tail): as ``poisson_tails`` under a negative binomial whose spread is that of the counts below their ninth tenth; without a shape where they are not overdispersed."""
+    h = _counts_before(v).withColumn("rate", _rate(F.col("h")))
+    top = F.element_at("h", F.least(F.size("h"), F.floor(9 * F.size("h") / 10).cast("int") + 1))
+    h = h.withColumn("w", F.transform("h", lambda x: F.least(x, top).cast("double")))
+    h = h.withColumn("mean", F.aggregate("w", F.lit(0.0), lambda a, x: a + x) / F.size("w"))
+    spread = F.aggregate("w", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / (F.size("w") - 1)
+    h = h.withColumn("var", F.greatest(spread, F.col("rate")))
+    h = h.withColumn("shape", F.when(F.col("var") > F.col("rate") * (1 + 1e-9), F.col("rate") * F.col("rate") / (F.col("var") - F.col("rate"))))
+    tail = F.when(F.col("shape").isNull(), poisson_tail(F.col("n_events"), F.col("rate"))).otherwise(negbin_tail(F.col("n_events"), F.col("rate"), F.col("shape")))
+    return h.select("entity_id", "arrival", "rate", "shape", tail.alias("tail"))
+
+
 def log_tail(count: int, mean: float, shape: float | None) -> float:
     """ln P(X >= count) for Poisson, or for the negative binomial of that shape, summed in logs."""
     if count <= 0:

@@ -389,8 +389,7 @@ def g9_trace(spark, sf):
 
 @query
 def g12_structural_virality(spark, sf):
-    g = graph(spark, sf)
-    return G.structural_virality(g.edges, G.cascade_roots(g.edges)).transform(_r)
+    return G.structural_virality(_tree(spark, sf)[0]).transform(_r)
 
 
 def _tree(spark, sf):
