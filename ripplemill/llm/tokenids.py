@@ -25,6 +25,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -180,14 +181,15 @@ class Encoder:
 
     def _words(self, words: list[str], together: int = 500) -> list[bytes]:
         """Of each word; those of a space and letters go to the tokenizer many at a time, as a text that is cut at its spaces."""
-        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        plain, rest = [], []
+        for w in words:
+            (plain if w[0] == " " and w[1:].isalpha() else rest).append(w)
         known = dict(zip(rest, self._whole(rest)))
         groups = [plain[k : k + together] for k in range(0, len(plain), together)]
         for group, data in zip(groups, self._whole(["".join(g) for g in groups])):
             # a token stands for as many bytes as its name has characters
             ends = np.cumsum(self.width[np.frombuffer(data, self.kind)])
-            stop = np.cumsum([len(w.encode()) for w in group])
+            stop = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in group])
             cut = (np.searchsorted(ends, stop) + 1) * self.kind.itemsize
             if not np.array_equal(ends[cut // self.kind.itemsize - 1], stop):
                 known.update(zip(group, self._whole(group)))
@@ -208,6 +210,12 @@ class Encoder:
         return [self._whole([t])[0] if words is None else b"".join(map(of, words)) for t, words in zip(texts, each)]
 
 
+@lru_cache(maxsize=1)
+def kept_encoder(path: str, end_id: int) -> Encoder:
+    """The process's encoder with the words it has met: Spark gives a process many tasks, and each would meet most words again."""
+    return Encoder(path, end_id)
+
+
 def _write_shard(folder: str, tokenizer: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, store = TaskContext.get().partitionId(), None
@@ -216,7 +224,7 @@ def _write_shard(folder: str, tokenizer: str, end_id: int):
         for piece in in_pieces(batches, limit=1 << 20):
             if out is None:
                 store, path = _store(folder)
-                encode = Encoder(tokenizer, end_id)
+                encode = kept_encoder(tokenizer, end_id)
                 kind, end = encode.kind, np.array([end_id], encode.kind).tobytes()
                 # each attempt writes files of its own; the last step puts them in place
                 name, mark = f"{path}/{shard:06d}", uuid.uuid4().hex
