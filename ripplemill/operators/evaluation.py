@@ -170,7 +170,8 @@ def bootstrap_gain(s: DataFrame, replicates: int = 2000, seed: int = 5) -> DataF
 
 
 def _hashed(s: DataFrame, seed: int) -> DataFrame:
-    return numbered(s.withColumn("hash_", F.xxhash64("row_id", F.lit(seed))), ["hash_", "row_id"], ["y"]).drop("hash_")
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_id").cast("string")))
+    return numbered(s.withColumn("hash_", place), ["hash_", "row_id"], ["y"]).drop("hash_")
 
 
 def stratified(s: DataFrame, n: int, seed: int = 3) -> DataFrame:

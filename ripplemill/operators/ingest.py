@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,3 +112,9 @@ def flatten_statuses(raw: DataFrame) -> DataFrame:
         F.coalesce("reblogs_count", F.lit(0)).alias("reblogs"), F.coalesce("favourites_count", F.lit(0)).alias("favourites"), "url", F.col("created_at").alias("created_utc"),
     )
     return flat.where("id IS NOT NULL AND (text <> '' OR parent_id IS NOT NULL)")
+
+
+def without_prefix(tables: dict[str, DataFrame], ends: dict[str, list[str]], prefix: str) -> dict[str, DataFrame]:
+    """``tables`` without the rows that name an id beginning with ``prefix`` in any of their ``ends``; nulls name nothing."""
+    named = lambda columns: reduce(lambda a, b: a | b, [F.coalesce(F.col(c).startswith(prefix), F.lit(False)) for c in columns])
+    return {name: df.where(~named(ends[name])) for name, df in tables.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cases, detection, graphs, loads, models, streams  # noqa: F401  (each registers its queries)
+from . import cases, detection, features, graphs, loads, models, streams  # noqa: F401  (each registers its queries)
 from .oracles import ORACLE_SQL
 from .queries import QUERIES
 

@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import ingest as X
 from ..operators import loading as L
+from ..operators import trending as T
 from ..operators.working import shared_folder, written
 from ..sources.tables import graph, posts, table
 from ..streaming import monitor as M
 from ..streaming import seen
 from .cases import query
-from .queries import ROOT, _r
+from .oracles import ORACLE_SQL, stated
+from .queries import ROOT, _now, _r, _scored
 
 
 def _path(spark: SparkSession, name: str) -> str:
@@ -212,3 +215,55 @@ def p6_placeholders(spark, sf):
     real = p.where("event_id % 8 = 0").select(F.col("event_id").alias("id"), "platform", F.lit("content").alias("type"), F.lit("x").alias("label"), F.create_map(F.lit("k"), F.lit("v")).alias("metadata"), F.lit(2).alias("arrival"), "t")
     merged = X.merge_nodes(rows.union(real).withColumnRenamed("t", "seen"))
     return merged.where(F.map_contains_key("metadata", F.lit("placeholder"))).select("id")
+
+
+@query("SELECT 'nodes' AS name, count(*) AS n FROM n WHERE NOT starts_with(id, 'ev:1') UNION ALL SELECT 'edges', count(*) FROM e WHERE NOT (starts_with(source_id, 'ev:1') OR starts_with(target_id, 'ev:1')) UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE NOT starts_with('ev:' || vec_id, 'ev:1')")
+def w8_delete_everywhere(spark, sf):
+    """What is left of nodes, edges and vectors when all ids with a prefix go."""
+    g = graph(spark, sf)
+    vectors = table(spark, sf, "embeddings").select(F.concat(F.lit("ev:"), "vec_id").alias("node_id"))
+    left = X.without_prefix({"nodes": g.nodes, "edges": g.edges, "vectors": vectors}, {"nodes": ["id"], "edges": ["source_id", "target_id"], "vectors": ["node_id"]}, "ev:1")
+    counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in left.items()]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@query("WITHTREND , fa AS (SELECT e.target_id AS id, e.platform, floor((any_value(as_of) - min(e.t)) / 60)::BIGINT AS minutes_ago FROM e JOIN tr ON tr.id = e.target_id, now WHERE length(e.target_id) % 2 = 0 GROUP BY 1, 2) SELECT * FROM fa UNION ALL SELECT id, string_split(platforms, ',')[1], 0 FROM tr WHERE id NOT IN (SELECT id FROM fa)")
+def a8_steps(spark, sf):
+    """First arrivals of trending topics; a topic without any has its first platform, just now."""
+    g = graph(spark, sf)
+    now = _now(g.posts)
+    rows = T.trending(g.nodes, g.edges, now, 600.0)
+    return T.steps(T.first_arrivals(g.edges, rows.where(F.length("id") % 2 == 0).select("id"), now), rows).transform(_r)
+
+
+_KIND = "['repo', 'repo', 'content', 'content', 'content', 'named_entity', 'author'][(event_id % 7 + 1)::INT]"
+
+
+@query(
+    f", u AS (SELECT event_id, {_KIND} AS kind, ['github:repo:a/r', 'x:repo:r', 'hn:', 'hn:', 'bluesky:', 'entity:org:', 'hn:user:'][(event_id % 7 + 1)::INT] || event_id AS id, CASE event_id % 7 WHEN 3 THEN 'https://e.org/' || event_id WHEN 2 THEN '' END AS link, 'Big  Name ' || event_id AS label FROM p) "
+    "SELECT id, CASE WHEN kind = 'repo' AND starts_with(id, 'github:repo:') THEN 'https://github.com/' || id[13:] WHEN kind = 'content' AND link <> '' THEN link WHEN kind = 'content' AND starts_with(id, 'hn:') THEN 'https://news.ycombinator.com/item?id=' || id[4:] WHEN kind = 'named_entity' THEN 'https://hn.algolia.com/?q=' || replace(label, ' ', '+') END AS url FROM u"
+)
+def p15_addresses(spark, sf):
+    """Where nodes of every kind can be looked at: posts by the address they came with, else as items; some nowhere."""
+    i = F.col("event_id")
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (i % 7 + 1).cast("int"))
+    kind, prefix = pick("repo", "repo", "content", "content", "content", "named_entity", "author"), pick("github:repo:a/r", "x:repo:r", "hn:", "hn:", "bluesky:", "entity:org:", "hn:user:")
+    link = F.when(i % 7 == 3, F.concat(F.lit("https://e.org/"), i)).when(i % 7 == 2, "")
+    rows = posts(spark, sf).select(F.concat(prefix, i).alias("id"), kind.alias("kind"), link.alias("link"), F.concat(F.lit("Big  Name "), i).alias("label"))
+    return rows.select("id", S.node_url(F.col("id"), F.col("kind"), F.col("label"), F.col("link")).alias("url"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'link' WHEN 1 THEN CASE platform WHEN 'bluesky' THEN 'bsky' WHEN 'mastodon' THEN 'mdn' WHEN 'github' THEN 'gh' ELSE 'hn' END WHEN 2 THEN 'x' WHEN 3 THEN 'mdn' ELSE CASE platform WHEN 'bluesky' THEN 'bsky' WHEN 'mastodon' THEN 'mdn' WHEN 'github' THEN 'gh' ELSE 'hn' END END AS code FROM p")
+def p12_platform_codes(spark, sf):
+    """Codes of platforms in capitals, short already, and unknown."""
+    i = F.col("event_id")
+    name = F.when(i % 5 == 0, "linkedin").when(i % 5 == 1, F.upper("platform")).when(i % 5 == 2, "x").when(i % 5 == 3, "MDN").otherwise(F.col("platform"))
+    return posts(spark, sf).select("event_id", S.short_code(name).alias("code"))
+
+
+ORACLE_SQL["o7_stratified"] = stated("o7_stratified", "SELECT row_id, y FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('3:' || row_id), row_id) AS k FROM s) WHERE k <= 30")
+
+
+@query("SELECT row_id, (row_number() OVER (PARTITION BY y ORDER BY md5('3:' || row_id), row_id) - 1) % 5 AS fold FROM s")
+def m2_fold_of_each_row(spark, sf):
+    return E.folds(_scored(spark, sf)).select("row_id", "fold").transform(_r)

@@ -127,7 +127,7 @@ def e14_skew(spark, sf):
 @query()
 def m3_nested_search(spark, sf):
     rows, columns = _features(spark, sf)
-    return L.nested_search(rows, columns, 3, 2).transform(_r)
+    return L.nested_search(rows, columns, 3, 2, (2, 3), (2, 5)).transform(_r)
 
 
 @query(

@@ -322,7 +322,7 @@ def o6_temporal_split(spark, sf):
 
 @query
 def o7_stratified(spark, sf):
-    return E.stratified(_scored(spark, sf), 60).select("row_id", "y")
+    return E.stratified(_scored(spark, sf), 60).select("row_id", "y").transform(_r)
 
 
 @query
