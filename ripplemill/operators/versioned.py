@@ -87,7 +87,14 @@ class VersionedIndex:
         near = self._near(q, probes).select("query_id", "version", F.explode("cells").alias("cell"), F.col("vec").alias("q"))
         kind = dict(self.table().dtypes)["version"]
         near = written(near.withColumn("version", F.col("version").cast(kind)), "near")
-        found = self.table().join(near, ["version", "cell"]).where("vec_id <> query_id")
+        # at most all cells of the versions asked for: named in the filter, so that other partitions are not read
+        wanted: dict = {}
+        for r in near.select("version", "cell").distinct().collect():
+            wanted.setdefault(r["version"], []).append(r["cell"])
+        asked = F.lit(False)
+        for v, cells in sorted(wanted.items(), key=lambda x: str(x[0])):
+            asked = asked | ((F.col("version") == F.lit(v)) & F.col("cell").isin(sorted(cells)))
+        found = self.table().where(asked).join(near, ["version", "cell"]).where("vec_id <> query_id")
         return found.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("vec")), 9).alias("similarity"))
 
     def search(self, queries: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:

@@ -59,10 +59,9 @@ def w3_peaks_a_minute(spark, sf):
     """, hi AS (SELECT entity_id, arrival, n_events, list_sort(list(n_events) OVER (PARTITION BY entity_id ORDER BY arrival ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)) AS c FROM v),
  hh AS (SELECT *, greatest(1, (4 * len(c) + 4) // 5) AS keep, c[least(len(c), 9 * len(c) // 10 + 1)] AS top FROM hi WHERE len(c) >= 5), ra AS (SELECT *, (list_sum(c[1:keep]) + 0.5::DOUBLE) / (keep + 1) AS rate, list_transform(c, lambda x: least(x, top)) AS w FROM hh),
  sh AS (SELECT *, CASE WHEN greatest(list_var_samp(w), rate) > rate * (1 + 1e-9) THEN rate * rate / (greatest(list_var_samp(w), rate) - rate) END AS shape FROM ra)
- SELECT entity_id, arrival, round(rate, 6) AS rate, round(shape, 4) AS shape, round(CASE WHEN shape IS NULL THEN 1 - (SELECT coalesce(sum(exp(i * ln(rate) - rate - lgamma(i + 1))), 0) FROM range(0, n_events) g(i))
+ SELECT entity_id, arrival, round(rate, 6) AS rate, round(CASE WHEN shape IS NULL THEN 1 - (SELECT coalesce(sum(exp(i * ln(rate) - rate - lgamma(i + 1))), 0) FROM range(0, n_events) g(i))
   ELSE 1 - (SELECT coalesce(sum(exp(lgamma(i + shape) - lgamma(shape) - lgamma(i + 1) + shape * ln(shape / (shape + rate)) + i * ln(rate / (shape + rate)))), 0) FROM range(0, n_events) g(i)) END, 6) AS tail FROM sh"""
 )
 def b5_negbin_tails(spark, sf):
     """How unlikely each count is under a negative binomial of the sixty before it, or a Poisson where they are not overdispersed."""
-    t = A.negbin_tails(A.velocity(A.mentions(graph(spark, sf).edges))).transform(_r)
-    return t.withColumn("shape", F.round("shape", 4))
+    return A.negbin_tails(A.velocity(A.mentions(graph(spark, sf).edges))).drop("shape").transform(_r)

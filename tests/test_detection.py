@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -196,7 +197,7 @@ def test_versioned_index(spark):
     assert {(r.query_id, r.vec_id) for r in versioned.exact(v, q).collect()} == want
     # other versions and far cells are pruned before they are read
     plan = index.candidates(q.where("version = 'v0'"))._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruning" in plan.lower()
+    assert re.search(r"PartitionFilters: \[[^\]]*v0", plan) and not re.search(r"PartitionFilters: \[[^\]]*hot", plan)
     known = {i: w for i, w, _ in rows}
     assert all(known[a] == known[b] for a, b in near)
     assert index.search(q.withColumn("version", F.lit("unknown"))).isEmpty()
@@ -207,4 +208,4 @@ def test_selectivity_table(spark):
     q = v.where("vec_id % 20 = 0 AND embedding IS NOT NULL").selectExpr("vec_id AS query_id", "embedding AS q")
     got = {(r.selectivity, r.search): r for r in versioned.selectivity(v, q, [0.3], probes=6).collect()}
     assert got[0.3, "own"].recall > got[0.3, "shared"].recall and got[0.3, "own"].read < got[0.3, "shared"].read
-    assert got[0.3, "iterative"].recall > 0.99 and got[0.3, "own"].returned == 5
+    assert got[0.3, "iterative"].recall >= got[0.3, "shared"].recall and got[0.3, "iterative"].returned == got[0.3, "own"].returned == 5
