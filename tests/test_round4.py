@@ -1,13 +1,17 @@
 """Ties, large counts, long topics and many vectors: what failed on larger tables."""
 
 import math
+import random
+import statistics
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
-from ripplemill.functions import scalars
+from ripplemill.functions import scalars, tails
+from ripplemill.operators import running, velocity
 
 
 def test_rates_of_events_at_one_time(spark, tmp_path):
@@ -24,3 +28,65 @@ def test_rates_of_events_at_one_time(spark, tmp_path):
     df = spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (None, 0.0), (3.0, 2.0)], "a double, b double")
     one, two, three, four, five = (r.x for r in df.select(scalars.ratio(F.col("a"), F.col("b")).alias("x")).collect())
     assert (one, two, four, five) == (math.inf, -math.inf, None, 1.5) and math.isnan(three)
+
+
+def exact_tail(k, mean, shape):
+    """P(X >= k) by adding up 300 digits."""
+    with localcontext() as c:
+        c.prec = 300
+        m, s = Decimal(mean), None if shape is None else Decimal(shape)
+        p, below = (-m).exp() if s is None else ((s / (s + m)).ln() * s).exp(), Decimal(0)
+        for i in range(k):
+            below += p
+            p *= m / (i + 1) if s is None else (s + i) / (i + 1) * (m / (s + m))
+        return float(1 - below)
+
+
+def test_tails_of_large_counts():
+    """exp(-mean) is 0 beyond 745: a sum from there is 0 too."""
+    cases = [(k, k * f, s) for k in (1, 4, 60, 900, 2500) for f in (0.5, 0.97, 1.0, 1.2) for s in (None, 0.4, 8.0, 60.0, 3000.0, 1e12)]
+    got = np.exp(tails.log_tails([c[0] for c in cases], [c[1] for c in cases], [math.nan if c[2] is None else c[2] for c in cases]))
+    for c, x in zip(cases, got):
+        assert x == pytest.approx(exact_tail(*c), rel=1e-10, abs=1e-200), c
+    assert tails.log_tails([0, -3], [5.0, 5.0]).tolist() == [0.0, 0.0]
+
+
+def test_tails_of_busy_topics(spark):
+    rng = random.Random(3)
+    counts = [rng.randrange(1500, 2100) for _ in range(90)]
+    v = spark.createDataFrame([("hot", i, n) for i, n in enumerate(counts)], "entity_id string, arrival long, n_events long")
+    poisson, negbin = ({r.arrival: r for r in f(v).collect()} for f in (velocity.poisson_tails, velocity.negbin_tails))
+    assert set(poisson) == set(negbin) == set(range(5, 90))
+    for i in range(5, 90):
+        h = sorted(counts[max(0, i - 60) : i])
+        quiet = h[: (4 * len(h) + 4) // 5]
+        rate = (sum(quiet) + 0.5) / (len(quiet) + 1)
+        w = [min(x, h[min(len(h) - 1, 9 * len(h) // 10)]) for x in h]
+        var = max(statistics.variance(w), rate)
+        assert poisson[i].rate == rate and poisson[i].tail == pytest.approx(exact_tail(counts[i], rate, None), abs=1e-10)
+        assert negbin[i].shape == pytest.approx(rate * rate / (var - rate)) and negbin[i].tail == pytest.approx(exact_tail(counts[i], rate, rate * rate / (var - rate)), abs=1e-10)
+    column = spark.createDataFrame([(2000,), (3,), (0,), (None,)], "n long").select(scalars.poisson_tail(F.col("n"), F.lit(1990.0)).alias("x"))
+    assert [r.x for r in column.collect()] == [pytest.approx(exact_tail(2000, 1990, None), abs=1e-10), 1.0, 1.0, None]
+
+
+def test_scores_over_slices_and_batches(spark, monkeypatch):
+    """Topics longer than a slice and than a batch, against the state that walks each topic."""
+    monkeypatch.setattr("ripplemill.operators.history.by_rows", lambda *a: running.by_rows(*a, 70))
+    rng = random.Random(5)
+    rows, at = [], {"a": 0, "b": 0}
+    for i in range(900):
+        e = rng.choice("aab")
+        n = 4 if 300 < i < 520 else rng.randrange(1, 40)
+        rows.append((e, i, round(n / 60, 4), n))
+    v = spark.createDataFrame(rows, "entity_id string, arrival long, velocity double, n_events long").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = {(r.entity_id, r.arrival): (r.ewma, r.poisson, r.negbin, r.cusum, r.fired) for r in velocity.sequential_scores(v, 3.0).collect()}
+        ewma = {(r.entity_id, r.arrival): r.ewma for r in velocity.ewma_scores(v).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    states = {e: velocity.Baseline(3.0) for e in at}
+    assert len(got) == len(ewma) == len(rows)
+    for e, i, x, n in rows:
+        want = states[e].step(x, n)
+        assert got[e, i] == (want[0], *(None if y is None else pytest.approx(y, abs=1.5e-4) for y in want[1:4]), want[4]) and ewma[e, i] == want[0]
