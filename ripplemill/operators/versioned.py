@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .search import cosine
+from .search import cosine, nearest_pairs, ranked
 from .working import shared_folder, written
 
 MOST_CELLS = 1024
@@ -104,12 +104,9 @@ class VersionedIndex:
 
 
 def exact(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k nearest of each query's version by comparing all of them, first the best of each partition's rows."""
-    j = vectors.where(F.col("embedding").isNotNull()).join(queries, "version").where("vec_id <> query_id")
-    j = j.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("similarity"))
-    order = lambda *by: Window.partitionBy("query_id", *by).orderBy(F.desc("similarity"), "vec_id")
-    best = j.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("r", F.row_number().over(order("part"))).where(F.col("r") <= k)
-    return best.withColumn("rank", F.row_number().over(order())).where(F.col("rank") <= k).select("query_id", "vec_id", "similarity", "rank")
+    """The k nearest of each query's version, of all its vectors."""
+    some = vectors.where(F.col("embedding").isNotNull())
+    return ranked(nearest_pairs(some, queries, k, "version"), some, queries, k, "version").select("query_id", "vec_id", "similarity", "rank")
 
 
 def _card(truth: DataFrame, got: DataFrame, queries: int, k: int) -> tuple[float, float]:

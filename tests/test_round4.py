@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripplemill.functions import scalars, tails
-from ripplemill.operators import running, velocity
+from ripplemill.operators import running, search, velocity, versioned
 
 
 def test_rates_of_events_at_one_time(spark, tmp_path):
@@ -90,3 +90,33 @@ def test_scores_over_slices_and_batches(spark, monkeypatch):
     for e, i, x, n in rows:
         want = states[e].step(x, n)
         assert got[e, i] == (want[0], *(None if y is None else pytest.approx(y, abs=1.5e-4) for y in want[1:4]), want[4]) and ewma[e, i] == want[0]
+
+
+def test_nearest_by_blocks(spark, monkeypatch):
+    """Blocks of few rows against all pairs: ties, copies, an id under two labels, nulls and vectors of another length."""
+    monkeypatch.setattr(search, "BLOCK", 7)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    rng = random.Random(7)
+    rows = [(i, [float(rng.randrange(-3, 4)) + (x == 0) * 0.5 for x in range(4)], i % 2) for i in range(60)]
+    rows += [(60, rows[4][1], 0), (62, rows[4][1], 0), (4, [1.0, 0.5, 0.25, 1.0], 1), (64, None, 0), (66, [1.0, 2.0], 0), (68, [1.0, None, 0.0, 0.0], 0), (70, [1.0, 1.0, 1.0, 1.0], None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    q = v.where("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        dot = lambda x, y: sum(p * r for p, r in zip(x, y))
+        return dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))
+
+    for k in (3, 40):
+        want = set()
+        asked = [r for r in rows if r[0] % 4 == 0 and r[2] is not None]
+        for i in {r[0] for r in asked}:
+            met = [(j, cosine(x, y)) for _, x, a in (r for r in asked if r[0] == i) for j, y, b in rows if a == b and j != i]
+            met.sort(key=lambda r: (r[1] is None, -round(r[1] or 0.0, 9), r[0]))
+            want |= {(i, j, r + 1) for r, (j, _) in enumerate(met[:k])}
+        assert {(r.query_id, r.vec_id, r["rank"]) for r in search.top_k(v, q, k).collect()} == want
+    plain = v.where("vec_id < 60").withColumnRenamed("label", "version")
+    got = versioned.exact(plain, q.where("query_id < 60 AND query_id > 4").withColumnRenamed("label", "version"), 3)
+    near = search.top_k(v.where("vec_id < 60"), q.where("query_id < 60 AND query_id > 4"), 3)
+    assert {tuple(r) for r in got.select("query_id", "vec_id", "rank").collect()} == {tuple(r) for r in near.select("query_id", "vec_id", "rank").collect()}
