@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,13 +26,17 @@ BLOCK, QUERY_BLOCK, SLACK = 4096, 1024, 1e-8
 _PLAIN = "(v is not null AND size(v) > 0 AND forall(v, x -> x is not null AND abs(x) < 1e18) AND exists(v, x -> abs(x) > 1e-18))"
 
 
+def tasks(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _matrix(column: pa.ListScalar) -> np.ndarray:
     rows = column.values
     x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _best_of_blocks(k: int, key: str):
+def _best_of_blocks(k: int, key: list[str]):
     """(key, query_id, vec_id) of each query's k best of each block of vectors, and what is as near as rounding could tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,41 +47,48 @@ def _best_of_blocks(k: int, key: str):
                 near[wanted[:, None] == ids] = -np.inf
                 least = np.partition(near, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(near), -2.0)
                 a, b = np.nonzero(near >= np.maximum(least, -2.0)[:, None] - SLACK)
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(key)[i], len(a)), pa.array(wanted[a]), pa.array(ids[b]), pa.array(near[a, b])], [key, "query_id", "vec_id", "near"])
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(c)[i], len(a)) for c in key), pa.array(wanted[a]), pa.array(ids[b]), pa.array(near[a, b])], [*key, "query_id", "vec_id", "near"])
 
     return run
 
 
-def nearest_pairs(vectors: DataFrame, queries: DataFrame, k: int, key: str) -> DataFrame:
-    """(key, query_id, vec_id): pairs of equal ``key`` among which each query's k nearest are, for an exact comparison.
+def nearest_pairs(vectors: DataFrame, queries: DataFrame, k: int, key: list[str], within: list[str] | None = None) -> DataFrame:
+    """(key, query_id, vec_id): pairs among which each query's k nearest of equal ``key`` are, for an exact comparison.
 
-    Blocks of vectors meet blocks of queries, each pair as one product of matrices; vectors of
-    other lengths than the query's, with nulls or without direction are all given back.
-    ``vectors`` (vec_id, key, embedding), ``queries`` (query_id, key, q).
+    With ``within`` only rows that agree in those columns too are compared (buckets, cells); a
+    pair that meets in several is one pair. Blocks of vectors meet blocks of queries, each pair
+    as one product of matrices; vectors of other lengths than the query's, with nulls or without
+    direction are all given back. ``vectors`` (vec_id, key, within, embedding), ``queries``
+    (query_id, key, within, q).
     """
-    v = vectors.where(F.col(key).isNotNull()).select("vec_id", key, F.col("embedding").alias("v")).withColumns({"fine": F.coalesce(F.expr(_PLAIN), F.lit(False)), "length": F.size("v")})
-    q = queries.where(F.col(key).isNotNull()).select("query_id", key, F.col("q").alias("v")).withColumns({"fine": F.coalesce(F.expr(_PLAIN), F.lit(False)), "length": F.size("v")})
-    sizes = v.where("fine").groupBy(key, "length").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    part = [*key, *(within or [])]
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in part])
+    v = vectors.where(known).select("vec_id", *part, F.col("embedding").alias("v")).withColumns({"fine": F.coalesce(F.expr(_PLAIN), F.lit(False)), "length": F.size("v")})
+    q = queries.where(known).select("query_id", *part, F.col("q").alias("v")).withColumns({"fine": F.coalesce(F.expr(_PLAIN), F.lit(False)), "length": F.size("v")})
+    sizes = v.where("fine").groupBy(*part, "length").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     spread = lambda c, n: F.pmod(F.xxhash64(c), n)
-    packed = v.where("fine").join(F.broadcast(sizes), [key, "length"]).groupBy(key, "length", spread("vec_id", F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("x"))
-    counts = q.where("fine").groupBy(key, "length").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts"))
-    asked = q.where("fine").join(F.broadcast(counts), [key, "length"]).groupBy(key, "length", spread("query_id", F.col("parts")).alias("part")).agg(F.collect_list(F.struct("query_id", "v")).alias("y"))
+    packed = v.where("fine").join(F.broadcast(sizes), [*part, "length"]).groupBy(*part, "length", spread("vec_id", F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("x"))
+    counts = q.where("fine").groupBy(*part, "length").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts"))
+    asked = q.where("fine").join(F.broadcast(counts), [*part, "length"]).groupBy(*part, "length", spread("query_id", F.col("parts")).alias("part")).agg(F.collect_list(F.struct("query_id", "v")).alias("y"))
     # one row a pair of blocks, spread before they are multiplied
-    asked = asked.join(F.broadcast(sizes), [key, "length"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = packed.join(asked, [key, "length", "block"]).select(key, F.col("x.vec_id").alias("ids"), F.col("x.v").alias("v"), F.col("y.query_id").alias("wanted"), F.col("y.v").alias("q")).repartition(tasks)
-    schema = f"{key} {dict(vectors.dtypes)[key]}, query_id {dict(queries.dtypes)['query_id']}, vec_id {dict(vectors.dtypes)['vec_id']}, near double"
+    asked = asked.join(F.broadcast(sizes), [*part, "length"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = packed.join(asked, [*part, "length", "block"]).select(*key, F.col("x.vec_id").alias("ids"), F.col("x.v").alias("v"), F.col("y.query_id").alias("wanted"), F.col("y.v").alias("q")).repartition(tasks(vectors.sparkSession))
+    schema = ", ".join(f"{c} {dict(vectors.dtypes)[c]}" for c in key) + f", query_id {dict(queries.dtypes)['query_id']}, vec_id {dict(vectors.dtypes)['vec_id']}, near double"
     # a query's best of each block, thinned out to its best of all
+    near = met.mapInArrow(_best_of_blocks(k, key), schema)
+    if within:
+        near = near.groupBy(*key, "query_id", "vec_id").agg(F.max("near").alias("near"))
     order = Window.partitionBy("query_id").orderBy(F.desc("near"))
-    near = met.mapInArrow(_best_of_blocks(k, key), schema).withColumn("place", F.row_number().over(order))
-    near = near.withColumn("least", F.max(F.when(F.col("place") == k, F.col("near"))).over(Window.partitionBy("query_id"))).where(F.col("least").isNull() | (F.col("near") >= F.col("least") - SLACK)).select(key, "query_id", "vec_id")
-    other = v.alias("a").join(q.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}")).where("NOT a.fine OR NOT b.fine OR a.length <> b.length")
-    return near.union(other.where("vec_id <> query_id").select(f"a.{key}", "query_id", "vec_id")).distinct()
+    near = near.withColumn("place", F.row_number().over(order))
+    near = near.withColumn("least", F.max(F.when(F.col("place") == k, F.col("near"))).over(Window.partitionBy("query_id"))).where(F.col("least").isNull() | (F.col("near") >= F.col("least") - SLACK)).select(*key, "query_id", "vec_id")
+    same = reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in part])
+    other = v.alias("a").join(q.alias("b"), same).where("NOT a.fine OR NOT b.fine OR a.length <> b.length")
+    return near.union(other.where("vec_id <> query_id").select(*[f"a.{c}" for c in key], "query_id", "vec_id")).distinct()
 
 
-def ranked(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, key: str) -> DataFrame:
+def ranked(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, key: list[str]) -> DataFrame:
     """Pairs (key, query_id, vec_id) compared in full: each query's k nearest."""
-    j = pairs.join(vectors.select(key, "vec_id", "embedding"), [key, "vec_id"]).join(queries.select(key, "query_id", "q"), [key, "query_id"]).select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("similarity"))
+    j = pairs.join(vectors.select(*key, "vec_id", "embedding"), [*key, "vec_id"]).join(queries.select(*key, "query_id", "q"), [*key, "query_id"]).select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("similarity"))
     # ordered by nine places, given whole: rounded once more, nine places would be rounded twice
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "vec_id")
     return j.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -84,7 +96,7 @@ def ranked(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, key
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Exact: each query (query_id, q, label) with its k nearest vectors of the same label, itself left out."""
-    return ranked(nearest_pairs(vectors, queries, k, "label"), vectors, queries, k, "label")
+    return ranked(nearest_pairs(vectors, queries, k, ["label"]), vectors, queries, k, ["label"])
 
 
 def approximate(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 16, together: int = 2, width: float = 0.25, seed: int = 11) -> DataFrame:
@@ -102,10 +114,9 @@ def approximate(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int
     model = lsh.fit(v)
     each = lambda df: model.transform(df).withColumn("h", F.transform("h", lambda y: vector_to_array(y)[0].cast("long")))
     keys = F.posexplode(F.array(*[F.xxhash64(F.slice("h", 1 + t * together, together)) for t in range(tables)])).alias("table", "bucket")
-    near = each(v).select("vec_id", "label", keys).join(each(q).select("query_id", "label", keys), ["label", "table", "bucket"]).where("vec_id <> query_id").select("query_id", "vec_id").distinct()
-    j = near.join(vectors, "vec_id").join(queries.select("query_id", "q"), "query_id").select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return j.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # rows meet in each of their buckets by blocks: what is found does not depend on how often two rows share one
+    near = nearest_pairs(each(v).select("vec_id", "label", "embedding", keys), each(q).select("query_id", "label", "q", keys), k, ["label"], ["table", "bucket"])
+    return ranked(near, vectors, queries, k, ["label"]).withColumn("similarity", F.round("similarity", 9))
 
 
 def not_embedded(nodes: DataFrame, embeddings: DataFrame, key: list[str]) -> DataFrame:

@@ -106,7 +106,7 @@ class VersionedIndex:
 def exact(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The k nearest of each query's version, of all its vectors."""
     some = vectors.where(F.col("embedding").isNotNull())
-    return ranked(nearest_pairs(some, queries, k, "version"), some, queries, k, "version").select("query_id", "vec_id", "similarity", "rank")
+    return ranked(nearest_pairs(some, queries, k, ["version"]), some, queries, k, ["version"]).select("query_id", "vec_id", "similarity", "rank")
 
 
 def _card(truth: DataFrame, got: DataFrame, queries: int, k: int) -> tuple[float, float]:
