@@ -13,14 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .search import cosine, nearest_pairs, ranked
+from .search import cosine, nearest_pairs, ranked, tasks
 from .working import shared_folder, written
 
 MOST_CELLS = 1024
 PROBES = 4
+#: Vectors of a version for which each of its cells is one task's.
+SHARE = 1_000_000
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -70,7 +72,10 @@ class VersionedIndex:
         seeds = {k: np.array([x[i] for i in sorted(x)], np.float32) for k, x in middles.items()}
         seeds = {k: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30) for k, x in seeds.items()}
         index = cls(spark, path, seeds)
-        index._near(v, 1).select("vec_id", "vec", "version", F.col("cells")[0].alias("cell")).write.partitionBy("version", "cell").parquet(path)
+        # a cell's rows meet before they are written, so that not every task writes a file for every cell; a large version's cells are dealt to several tasks
+        placed = index._near(v, 1).select("vec_id", "vec", "version", F.col("cells")[0].alias("cell")).join(F.broadcast(sizes), "version")
+        dealt = placed.repartition(tasks(spark), "version", "cell", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / SHARE)))
+        dealt.select("vec_id", "vec", "version", "cell").write.partitionBy("version", "cell").parquet(path)
         return index
 
     def _near(self, rows: DataFrame, probes: int) -> DataFrame:
@@ -81,26 +86,46 @@ class VersionedIndex:
     def table(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
-    def candidates(self, queries: DataFrame, probes: int = PROBES) -> DataFrame:
-        """(query_id, vec_id, similarity) of all vectors in the nearest cells of each query (query_id, version, q), itself left out."""
+    def _met(self, queries: DataFrame, probes: int) -> tuple[DataFrame, DataFrame, list[str]]:
+        """(near, found, key): queries by the cells that they ask for, the vectors of these cells, and what has to agree. Where a query asks for all cells, its version alone."""
         q = queries.where(F.col("q").isNotNull()).select("query_id", "version", F.col("q").cast("array<float>").alias("vec"))
-        near = self._near(q, probes).select("query_id", "version", F.explode("cells").alias("cell"), F.col("vec").alias("q"))
         kind = dict(self.table().dtypes)["version"]
-        near = written(near.withColumn("version", F.col("version").cast(kind)), "near")
+        if probes >= max((len(x) for x in self.seeds.values()), default=0):
+            known = q.where(F.col("version").isin(list(self.seeds)))
+            near, key = written(known.select("query_id", F.col("version").cast(kind).alias("version"), F.col("vec").alias("q")), "near"), ["version"]
+        else:
+            near = self._near(q, probes).select("query_id", F.col("version").cast(kind).alias("version"), F.explode("cells").alias("cell"), F.col("vec").alias("q"))
+            near, key = written(near, "near"), ["version", "cell"]
         # at most all cells of the versions asked for: named in the filter, so that other partitions are not read
         wanted: dict = {}
-        for r in near.select("version", "cell").distinct().collect():
-            wanted.setdefault(r["version"], []).append(r["cell"])
+        for r in near.select(*key).distinct().collect():
+            wanted.setdefault(r[0], []).extend(r[1:])
         asked = F.lit(False)
         for v, cells in sorted(wanted.items(), key=lambda x: str(x[0])):
-            asked = asked | ((F.col("version") == F.lit(v)) & F.col("cell").isin(sorted(cells)))
-        found = self.table().where(asked).join(near, ["version", "cell"]).where("vec_id <> query_id")
-        return found.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("vec")), 9).alias("similarity"))
+            asked = asked | ((F.col("version") == F.lit(v)) & (F.col("cell").isin(sorted(cells)) if cells else F.lit(True)))
+        return near, self.table().where(asked), key
 
-    def search(self, queries: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
-        """Each query's k nearest (rank from 1) among the vectors of its version's nearest cells."""
-        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-        return self.candidates(queries, probes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    def candidates(self, queries: DataFrame, probes: int = PROBES) -> DataFrame:
+        """(query_id, vec_id, similarity) of all vectors in the nearest cells of each query (query_id, version, q), itself left out."""
+        near, found, key = self._met(queries, probes)
+        j = found.join(near, key).where("vec_id <> query_id")
+        return j.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("vec")), 9).alias("similarity"))
+
+    def compared(self, queries: DataFrame, probes: int = PROBES) -> int:
+        """How many rows ``candidates`` has, from the sizes of cells."""
+        near, found, key = self._met(queries, probes)
+        met = near.groupBy(*key).agg(F.count("*").alias("q")).join(found.groupBy(*key).agg(F.count("*").alias("n")), key).agg(F.sum(F.col("q") * F.col("n"))).first()[0]
+        own = near.select(*key, F.col("query_id").alias("vec_id")).join(found.select(*key, "vec_id"), [*key, "vec_id"]).count()
+        return (met or 0) - own
+
+    def search(self, queries: DataFrame, k: int = 5, probes: int = PROBES, among: DataFrame | None = None) -> DataFrame:
+        """Each query's k nearest (rank from 1) among the vectors of its version's nearest cells; with ``among`` (vec_id) among those of them."""
+        near, found, key = self._met(queries, probes)
+        found = found.withColumnRenamed("vec", "embedding")
+        found = found if among is None else found.join(among, "vec_id", "left_semi")
+        asked = near.select("query_id", "version", "q").distinct()
+        best = ranked(nearest_pairs(found, near, k, ["version"], key[1:]), found, asked, k, ["version"])
+        return best.withColumn("similarity", F.round("similarity", 9))
 
 
 def exact(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -134,12 +159,12 @@ def selectivity(vectors: DataFrame, queries: DataFrame, shares: list[float], k:
         mine = v.where("version = 'target'").select("vec_id")
         q_all = q.withColumn("version", F.lit("all"))
         cells = len(everything.seeds["all"])
-        tried = [("shared", lambda: everything.search(q_all, k, probes).join(mine, "vec_id", "left_semi"), lambda: everything.candidates(q_all, probes))]
+        tried = [("shared", lambda: everything.search(q_all, k, probes).join(mine, "vec_id", "left_semi"), lambda: everything.compared(q_all, probes))]
 
         def iterate():
-            p, order = probes, Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+            p = probes
             while True:
-                got = written(everything.candidates(q_all, p).join(mine, "vec_id", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "iterated")
+                got = written(everything.search(q_all, k, p, mine), "iterated")
                 if p >= cells or got.groupBy("query_id").count().where(F.col("count") >= k).count() >= n:
                     return got, p
                 p = min(cells, 2 * p)
@@ -148,12 +173,12 @@ def selectivity(vectors: DataFrame, queries: DataFrame, shares: list[float], k:
             began = time.perf_counter()
             got = written(run(), name)
             ms = 1000 * (time.perf_counter() - began) / max(1, n)
-            rows.append((share, name, *_card(truth, got, n, k), read().count() / max(1, n), ms))
+            rows.append((share, name, *_card(truth, got, n, k), read() / max(1, n), ms))
         began = time.perf_counter()
         got, p = iterate()
-        rows.append((share, "iterative", *_card(truth, got, n, k), everything.candidates(q_all, p).count() / max(1, n), 1000 * (time.perf_counter() - began) / max(1, n)))
+        rows.append((share, "iterative", *_card(truth, got, n, k), everything.compared(q_all, p) / max(1, n), 1000 * (time.perf_counter() - began) / max(1, n)))
         began = time.perf_counter()
         got = written(own.search(q, k, probes), "own")
         ms = 1000 * (time.perf_counter() - began) / max(1, n)
-        rows.append((share, "own", *_card(truth, got, n, k), own.candidates(q, probes).count() / max(1, n), ms))
+        rows.append((share, "own", *_card(truth, got, n, k), own.compared(q, probes) / max(1, n), ms))
     return spark.createDataFrame(rows, "selectivity double, search string, recall double, returned double, read double, ms double")

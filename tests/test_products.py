@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ripplemill.operators import search
+from ripplemill.operators import search, versioned
 
 
 def close_vectors(spark, n, versions=2, seed=5):
@@ -54,3 +54,22 @@ def test_buckets_do_not_make_pairs(spark, monkeypatch):
     assert seen and seen[0] < 20 * 60
     exact = {(r.query_id, r.vec_id) for r in search.top_k(v, q, 3).collect()}
     assert len({(r.query_id, r.vec_id) for r in got} & exact) >= 0.9 * len(exact)
+
+
+def test_cells_do_not_make_pairs(spark, monkeypatch):
+    rows, v, q = close_vectors(spark, 900, 3)
+    v, q = v.withColumnRenamed("label", "version"), q.withColumnRenamed("label", "version")
+    index = versioned.VersionedIndex.build(v)
+    # a cell is written by one task, however many tasks there are
+    assert index.table().select(F.input_file_name().alias("f")).distinct().count() == index.table().select("version", "cell").distinct().count()
+    seen = compared_in_full(monkeypatch, versioned)
+    for probes in (3, versioned.MOST_CELLS):
+        all_ = index.candidates(q, probes).collect()
+        assert index.compared(q, probes) == len(all_)
+        for among in (None, v.where("vec_id % 4 = 1").select("vec_id")):
+            want = set()
+            for i in {r.query_id for r in all_}:
+                mine = sorted((-r.similarity, r.vec_id) for r in all_ if r.query_id == i and (among is None or r.vec_id % 4 == 1))
+                want |= {(i, j, -s, k + 1) for k, (s, j) in enumerate(mine[:4])}
+            assert {tuple(r) for r in index.search(q, 4, probes, among).select("query_id", "vec_id", "similarity", "rank").collect()} == want
+    assert len(seen) == 4 and max(seen) < 45 * 20
