@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import reshare_trees, structural_virality, tree_authors
-from .working import written
+from .working import finely_dealt, written
 
 REUSE_S = 21600.0
 
@@ -87,17 +87,19 @@ def _shared_authors(tree: DataFrame, authors: DataFrame) -> tuple[DataFrame, Dat
 
 def prior_cascades(tree: DataFrame, authors: DataFrame) -> DataFrame:
     """(root_id, author_id, prior): in how many cascades of the six hours before this one each of its authors wrote."""
-    per, both = _shared_authors(tree, authors)
+    return _prior(*_shared_authors(tree, authors))
+
+
+def _prior(per: DataFrame, both: DataFrame) -> DataFrame:
     return per.select("root_id", "author_id").join(both.groupBy(F.col("c").alias("root_id"), "author_id").agg(F.countDistinct("p").alias("prior")), ["root_id", "author_id"], "left").fillna(0, ["prior"])
 
 
 def author_reuse(tree: DataFrame, authors: DataFrame) -> DataFrame:
     """How far a cascade's authors also wrote in cascades that started in the six hours before it."""
-    per, both = _shared_authors(tree, authors)
+    per, both = (written(x, "shared") for x in _shared_authors(tree, authors))
     own = per.groupBy("root_id").agg(F.sum("k").alias("rows"), F.count("*").alias("authors"))
     most = per.groupBy("root_id").agg(F.max("k").alias("most"))
-    prior = prior_cascades(tree, authors)
-    p = prior.groupBy("root_id").agg(F.avg("prior").alias("prior_author_mean"), F.max("prior").alias("prior_author_max"), F.avg((F.col("prior") > 0).cast("double")).alias("prior_author_frac"), F.percentile("prior", 0.75).alias("prior_author_p75"), F.avg((F.col("prior") >= 3).cast("double")).alias("prior_author_frac_ge3"))
+    p = _prior(per, both).groupBy("root_id").agg(F.avg("prior").alias("prior_author_mean"), F.max("prior").alias("prior_author_max"), F.avg((F.col("prior") > 0).cast("double")).alias("prior_author_frac"), F.percentile("prior", 0.75).alias("prior_author_p75"), F.avg((F.col("prior") >= 3).cast("double")).alias("prior_author_frac_ge3"))
     shared = both.groupBy(F.col("c").alias("root_id"), "p").agg(F.countDistinct("author_id").alias("shared"))
     linked = both.select(F.col("c").alias("root_id"), "p", "author_id").distinct().join(shared.where("shared >= 2"), ["root_id", "p"]).groupBy("root_id").agg(F.countDistinct("author_id").alias("linked"))
     j = own.join(most, "root_id").join(p, "root_id").join(shared.groupBy("root_id").agg(F.max("shared").alias("shared")), "root_id", "left").join(linked, "root_id", "left")
@@ -131,11 +133,12 @@ def root_attachment(tree: DataFrame, steps: int = 200) -> DataFrame:
 
 
 def all_features(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """All families joined; what they all read is written once."""
-    roots = written(roots, "roots")
-    tree = written(reshare_trees(edges, roots), "tree")
-    authors = written(tree_authors(edges, tree, roots), "authors")
-    out = structure(tree)
-    for part in (timing(tree, authors), platforms(tree, authors), author_reuse(tree, authors), structural_virality(tree), root_attachment(tree)):
-        out = out.join(part, "root_id", "left")
-    return out.fillna(0)
+    """All families joined. What they all read is written once, and each family by itself, so that a task holds what one of them sorts."""
+    with finely_dealt(edges.sparkSession, edges.where("edge_type = 'reshare'").count()):
+        roots = written(roots, "roots")
+        tree = written(reshare_trees(edges, roots), "tree")
+        authors = written(tree_authors(edges, tree, roots), "authors")
+        out = structure(tree)
+        for part in (timing(tree, authors), platforms(tree, authors), author_reuse(tree, authors), structural_virality(tree), root_attachment(tree)):
+            out = out.join(written(part, "family"), "root_id", "left")
+        return written(out.fillna(0), "features")

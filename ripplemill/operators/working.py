@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +30,21 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+#: Rows, and bytes of a shuffle, that one task is dealt in ``finely_dealt``.
+TASK_ROWS, TASK_BYTES = 50_000, 4 << 20
+
+
+@contextmanager
+def finely_dealt(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside deals its shuffles of about so many rows to a number of tasks that grows with them, so that no task's memory does."""
+    wanted = {"spark.sql.shuffle.partitions": max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{TASK_BYTES}b"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
