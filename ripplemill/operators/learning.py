@@ -44,7 +44,7 @@ def scored(model, rows: DataFrame) -> DataFrame:
 
 def out_of_fold(pipeline: Pipeline, rows: DataFrame, k: int = 5) -> DataFrame:
     """``rows`` (row_id, y, ..) with p from the model that was fitted without the row's fold."""
-    dealt = folds(rows, k)
+    dealt = written(folds(rows, k), "folds")  # each fold's model reads it again
     return reduce(DataFrame.union, [scored(pipeline.fit(dealt.where(F.col("fold") != f)), dealt.where(F.col("fold") == f)) for f in range(k)])
 
 
@@ -111,8 +111,9 @@ def attributed(model, rows: DataFrame, columns: list[str], key: str, k: int = 5)
     means = rows.agg(*[F.avg(c).alias(c) for c in columns]).first()
     out = scored(model, rows.select(key, *columns)).select(key, *columns, "p")
     for c in columns:
-        without = scored(model, out.select(key, *[F.lit(float(means[c] or 0.0)).alias(x) if x == c else F.col(x) for x in columns])).select(key, F.col("p").alias(f"p_{c}"))
-        out = out.join(without, key)
+        # the same rows once more with one column replaced, so that nothing has to be joined
+        moved = model.transform(out.withColumns({"own_": F.col(c), c: F.lit(float(means[c] or 0.0))}))
+        out = moved.select(*[F.col("own_").alias(x) if x == c else F.col(x) for x in out.columns], vector_to_array("probability")[1].alias(f"p_{c}"))
     return out.select(key, "p", top_by_size({c: F.col("p") - F.col(f"p_{c}") for c in columns}, k).alias("top"))
 
 

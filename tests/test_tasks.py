@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from ripplemill.operators import features, graph, working
+from ripplemill.operators import features, graph, learning, working
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +42,19 @@ def test_settings_return_after_an_error(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
         1 / 0
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_models_read_what_is_written(spark):
+    """Scores out of fold and attributions don't repeat what their rows come from, nor join."""
+    rows = spark.range(120).selectExpr("id AS row_id", "cast(id % 2 AS double) AS y", "cast(id % 7 + id % 2 AS double) AS a", "cast(id % 5 AS double) AS b")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    scores = learning.out_of_fold(learning.logistic(["a", "b"]), rows, 2)
+    assert "Window" not in plan(scores) and scores.count() == 120
+    model = learning.logistic(["a", "b"]).fit(rows)
+    got = learning.attributed(model, rows, ["a", "b"], "row_id", 2)
+    assert "Join" not in plan(got)
+    mean = rows.selectExpr("avg(a)").first()[0]
+    p = {r.row_id: r.p for r in learning.scored(model, rows).collect()}
+    without = {r.row_id: r.p for r in learning.scored(model, rows.selectExpr("row_id", f"{mean}D AS a", "b")).collect()}
+    for r in got.collect():
+        assert r.p == p[r.row_id] and dict((x.feature, x.value) for x in r.top)["a"] == pytest.approx(p[r.row_id] - without[r.row_id], abs=1e-12)
