@@ -1,8 +1,9 @@
 """Fitting the text classifiers on a bounded sample of labelled documents, and scoring all documents.
 
-A learner goes over fixed shards of the sample at the same time; after each pass the driver
-averages, for each coordinate, the changes of the shards that saw it. The driver holds the
-model (2**18 coordinates), never documents.
+A learner goes over fixed shards of the sample at the same time; after each pass tasks
+average, for each coordinate, the changes of the shards that saw it, a slab of coordinates a
+group. The driver holds the model (2**18 coordinates) and gets one slab after another, never
+documents or the shards' own changes.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .words import in_pieces
 MAX_TRAINING_DOCS = 12_000
 MAX_TRAINING_BYTES = 96 << 20
 SHARDS = 4
+#: Coordinates whose changes are averaged together, and tasks that write the averages of a pass.
+SLAB, WRITERS = 1 << 13, 4
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -54,11 +57,30 @@ def _shard_learner(learn: Callable, options: tuple, state):
             c = {k: row.column(k).to_pylist() for k in ("a", "b", "kinds", "y")}
             learn(own, [(np.frombuffer(a, k.split()[0]), np.frombuffer(b, k.split()[1]), y) for a, b, k, y in zip(c["a"], c["b"], c["kinds"], c["y"])])
         i = np.flatnonzero((own.n != n) | (own.z != z))
-        return pa.table({"i": [i.astype(np.int32).tobytes()], "dz": [(own.z - z)[i].tobytes()], "dn": [(own.n - n)[i].tobytes()]})
+        cuts = np.searchsorted(i, np.arange(0, len(z) + SLAB, SLAB))
+        parts = [(k, i[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        shard, changes = table["shard"][0].as_py(), (own.z - z, own.n - n)
+        return pa.table(
+            [pa.array([k for k, _ in parts], pa.int32()), pa.array([shard] * len(parts), pa.int32()), pa.array([p.astype(np.int32).tobytes() for _, p in parts], pa.binary()), *(pa.array([c[p].tobytes() for _, p in parts], pa.binary()) for c in changes)],
+            names=["slab", "shard", "i", "dz", "dn"],
+        )
 
     return one_shard
 
 
+def _averaged(table: pa.Table) -> pa.Table:
+    """Of one slab's coordinates the mean change of the shards that saw them."""
+    z, n, seen = np.zeros(SLAB), np.zeros(SLAB), np.zeros(SLAB)
+    slab = table["slab"][0].as_py()
+    for row in table.sort_by("shard").to_pylist():
+        i = np.frombuffer(row["i"], np.int32) - slab * SLAB
+        seen[i] += 1
+        z[i] += np.frombuffer(row["dz"])
+        n[i] += np.frombuffer(row["dn"])
+    seen = np.maximum(seen, 1)
+    return pa.table({"slab": pa.array([slab], pa.int32()), "dz": [(z / seen).tobytes()], "dn": [(n / seen).tobytes()]})
+
+
 def fit(sample: DataFrame, examples: Callable, learn: Callable, model: Ftrl, passes: int) -> Ftrl:
     """``examples(texts)`` gives two arrays a text; ``learn(model, [(a, b, y)])`` goes over them once."""
     spark = sample.sparkSession
@@ -74,18 +96,18 @@ def fit(sample: DataFrame, examples: Callable, learn: Callable, model: Ftrl, pas
     space = Workspace(spark, "fit")
     features = space.keep(sample.mapInArrow(featurise, "shard int, rank long, y int, a binary, b binary, kinds string"), "features")
     options = (model.alpha, model.beta, model.l1, model.l2)
-    for _ in range(passes):
+    for k in range(passes):
         state = spark.sparkContext.broadcast((model.z, model.n))
-
-        got = features.groupBy("shard").applyInArrow(_shard_learner(learn, options, state), "i binary, dz binary, dn binary").collect()
-        change, seen = [np.zeros_like(model.z), np.zeros_like(model.n)], np.zeros(len(model.z))
-        for row in sorted(got, key=lambda r: bytes(r["i"])):
-            i = np.frombuffer(row["i"], np.int32)
-            seen[i] += 1
-            change[0][i] += np.frombuffer(row["dz"])
-            change[1][i] += np.frombuffer(row["dn"])
-        model = Ftrl(*options, z=model.z + change[0] / np.maximum(seen, 1), n=model.n + change[1] / np.maximum(seen, 1))
+        changes = features.groupBy("shard").applyInArrow(_shard_learner(learn, options, state), "slab int, shard int, i binary, dz binary, dn binary")
+        means = changes.groupBy("slab").applyInArrow(_averaged, "slab int, dz binary, dn binary").coalesce(WRITERS)
+        z, n = model.z.copy(), model.n.copy()
+        for row in space.keep(means, f"pass-{k}").toLocalIterator():
+            own = slice(row["slab"] * SLAB, min((row["slab"] + 1) * SLAB, len(z)))
+            z[own] += np.frombuffer(row["dz"])[: own.stop - own.start]
+            n[own] += np.frombuffer(row["dn"])[: own.stop - own.start]
+        model = Ftrl(*options, z=z, n=n)
         state.destroy()
+        space.drop(f"pass-{k}")
     space.drop("features")
     return model
 

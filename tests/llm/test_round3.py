@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from ripplemill.llm import centroids, infill, languages, substrings, tokenids, words
+from ripplemill.llm import centroids, fitting, infill, languages, linear, substrings, tokenids, words
 
 # --- infilling
 
@@ -312,3 +312,44 @@ def test_token_folders_are_in_the_default_file_system(spark, tmp_path):
         assert tokenids.resolved(spark, "/shared/a") == "viewfs://cluster/shared/a"
     finally:
         conf.set("fs.defaultFS", before)
+
+
+# --- fitting
+
+
+def test_a_pass_reaches_the_driver_slab_by_slab(spark, monkeypatch):
+    """The mean changes of four shards against a plain loop; the driver is never sent a shard's changes whole."""
+    rng = random.Random(31)
+    edges = [0, fitting.SLAB - 1, fitting.SLAB, linear.SIZE - 1]
+    rows = [(k % fitting.SHARDS, k, k % 3 % 2, " ".join(map(str, sorted({*rng.sample(range(linear.SIZE), 2000), *edges[: k % 5]}))).encode()) for k in range(40)]
+
+    def examples(texts):
+        each = [np.array(t.split(), np.int64) for t in texts]
+        return [(i, np.full(len(i), 1 / len(i), np.float32)) for i in each]
+
+    want = linear.Ftrl(0.5, 1.0, 0.1, 0.0)
+    for _ in range(2):
+        z, n, seen = (np.zeros(linear.SIZE + 1) for _ in range(3))
+        for shard in range(fitting.SHARDS):
+            own = linear.Ftrl(0.5, 1.0, 0.1, 0.0, z=want.z.copy(), n=want.n.copy())
+            linear.train_quality(own, [(*examples([t])[0], y) for s, _, y, t in rows if s == shard])
+            z, n, seen = z + own.z - want.z, n + own.n - want.n, seen + ((own.z != want.z) | (own.n != want.n))
+        want = linear.Ftrl(0.5, 1.0, 0.1, 0.0, z=want.z + z / np.maximum(seen, 1), n=want.n + n / np.maximum(seen, 1))
+
+    sample = spark.createDataFrame(rows, "shard int, rank long, y int, text binary")
+    frame, sent = type(sample), []
+    each = frame.toLocalIterator
+
+    def noted(self, *a, **b):
+        for row in each(self, *a, **b):
+            sent.append(sum(len(v) for v in row if isinstance(v, (bytes, bytearray))))
+            yield row
+
+    def refused(self):
+        raise AssertionError("changes are collected at once")
+
+    monkeypatch.setattr(frame, "toLocalIterator", noted)
+    monkeypatch.setattr(frame, "collect", refused)
+    got = fitting.fit(sample, examples, linear.train_quality, linear.Ftrl(0.5, 1.0, 0.1, 0.0), 2)
+    assert np.allclose(got.z, want.z, rtol=0, atol=1e-12) and np.allclose(got.n, want.n, rtol=0, atol=1e-12) and np.count_nonzero(got.n) > 20_000
+    assert 0 < max(sent) <= 16 * fitting.SLAB and len(sent) == 2 * (linear.SIZE // fitting.SLAB + 1)
