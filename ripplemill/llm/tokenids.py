@@ -42,7 +42,7 @@ SAMPLE = 256
 PIECE = 4096
 #: Bytes of text a shard, about.
 SHARD_BYTES = 32 << 20
-#: Words that an encoder remembers.
+#: Words that an encoder remembers in each of two generations.
 MOST_WORDS = 150_000
 
 
@@ -148,8 +148,8 @@ class Encoder:
     """The tokenizer's ids of whole texts as bytes, with a store of the words met lately.
 
     Byte-level BPE merges inside words only, so a text's ids are those of its words one
-    after another: each distinct word is given to the tokenizer once. Texts with special
-    tokens or with rare characters are encoded whole. So are all texts with another kind of
+    after another: each distinct word is given to the tokenizer once, and again if it has not
+    been met for ``most`` others. Texts with special tokens or with rare characters are encoded whole. So are all texts with another kind of
     tokenizer, or if the start-up check finds that words and whole texts give other ids.
     """
 
@@ -157,7 +157,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tok, self.most, self.known, self.earlier = Tokenizer.from_file(path), most, {}, {}
         self.kind = np.dtype("<u2" if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         with open(path) as f:
             spec = json.load(f)
@@ -179,33 +179,36 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str], together: int = 500) -> list[bytes]:
-        """Of each word; those of a space and letters go to the tokenizer many at a time, as a text that is cut at its spaces."""
-        plain, rest = [], []
-        for w in words:
-            (plain if w[0] == " " and w[1:].isalpha() else rest).append(w)
-        known = dict(zip(rest, self._whole(rest)))
+    def _learn(self, words: set[str], together: int = 500) -> None:
+        """Words of a space and letters go to the tokenizer many at a time, as a text that is cut at its spaces."""
+        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        rest = list(words.difference(plain))
+        self.known.update(zip(rest, self._whole(rest)))
         groups = [plain[k : k + together] for k in range(0, len(plain), together)]
-        for group, data in zip(groups, self._whole(["".join(g) for g in groups])):
+        texts = ["".join(g) for g in groups]
+        for group, text, data in zip(groups, texts, self._whole(texts)):
             # a token stands for as many bytes as its name has characters
             ends = np.cumsum(self.width[np.frombuffer(data, self.kind)])
-            stop = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in group])
-            cut = (np.searchsorted(ends, stop) + 1) * self.kind.itemsize
-            if not np.array_equal(ends[cut // self.kind.itemsize - 1], stop):
-                known.update(zip(group, self._whole(group)))
+            raw = np.frombuffer(text.encode(), np.uint8)
+            stop = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
+            cut = np.searchsorted(ends, stop) + 1
+            if not np.array_equal(ends[cut - 1], stop):
+                self.known.update(zip(group, self._whole(group)))
                 continue
-            cut = [0, *cut.tolist()]
-            known.update(zip(group, [data[a:b] for a, b in zip(cut, cut[1:])]))
-        return [known[w] for w in words]
+            cut = [0, *(cut * self.kind.itemsize).tolist()]
+            self.known.update(zip(group, [data[a:b] for a, b in zip(cut, cut[1:])]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._whole(texts)
         each = [None if UNSURE.search(t) or self.special and self.special.search(t) else self.words(t) for t in texts]
         if len(self.known) > self.most:
-            self.known.clear()
-        new = list({w for words in each if words for w in words}.difference(self.known))
-        self.known.update(zip(new, self._words(new)))
+            # words that are still met come over from the earlier generation, the others go with it
+            self.earlier, self.known = self.known, {}
+        new = set().union(*[words for words in each if words]).difference(self.known)
+        met = [w for w in new if w in self.earlier]
+        self.known.update(zip(met, map(self.earlier.__getitem__, met)))
+        self._learn(new.difference(met))
         of = self.known.__getitem__
         return [self._whole([t])[0] if words is None else b"".join(map(of, words)) for t, words in zip(texts, each)]
 

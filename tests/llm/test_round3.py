@@ -353,3 +353,21 @@ def test_a_pass_reaches_the_driver_slab_by_slab(spark, monkeypatch):
     got = fitting.fit(sample, examples, linear.train_quality, linear.Ftrl(0.5, 1.0, 0.1, 0.0), 2)
     assert np.allclose(got.z, want.z, rtol=0, atol=1e-12) and np.allclose(got.n, want.n, rtol=0, atol=1e-12) and np.count_nonzero(got.n) > 20_000
     assert 0 < max(sent) <= 16 * fitting.SLAB and len(sent) == 2 * (linear.SIZE // fitting.SLAB + 1)
+
+
+# --- token ids
+
+
+def test_words_still_met_are_encoded_once():
+    """An encoder that has met too many words forgets those not met lately, not all; what it gives stays that of whole texts."""
+    path = str(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    encode, rng = tokenids.Encoder(path, 2, most=300), random.Random(5)
+    often = [f" often{c}" for c in "abcdefghij"]
+    batches = [["x" + "".join(rng.sample(often, 10)) + "".join(f" {''.join(rng.choices('aeioubcdé', k=9))}" for _ in range(60)) + " 12, don't\n  end" for _ in range(3)] for _ in range(12)]
+    given, whole, most = [], encode._whole, 0
+    encode._whole = lambda texts: given.append("".join(texts)) or whole(texts)
+    for batch in batches:
+        assert encode(batch) == whole(batch)
+        most = max(most, len(encode.known) + len(getattr(encode, "earlier", ())))
+    assert all(sum(text.count(w) for text in given) == 1 for w in often)
+    assert 300 < most < 1100
